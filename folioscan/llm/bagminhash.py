@@ -108,7 +108,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = []
             for salt in (1, 2):
                 code = mix(item * U64(2 * salt + 1) + mix(count.astype(np.uint64) * _STEP + U64(salt)))
-                total = np.concatenate([[0], np.cumsum(code, dtype=np.uint64)]).astype(np.uint64)
+                total = np.zeros(len(code) + 1, np.uint64)
+                np.cumsum(code, out=total[1:])
                 at = np.searchsorted(text, np.arange(n + 1))
                 sums.append((total[at[1:]] - total[at[:-1]]).view(np.int64))
             size = np.bincount(text, weights=count, minlength=n).astype(np.int64) if len(text) else np.zeros(n, np.int64)

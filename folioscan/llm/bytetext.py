@@ -72,9 +72,12 @@ def slices(batch: pa.RecordBatch, column: str = "text", budget: int = SLICE_BYTE
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    low = np.cumprod(np.concatenate([[1], np.full(4095, base, np.uint64)]).astype(np.uint64), dtype=np.uint64)
-    high = np.cumprod(np.concatenate([[1], np.full(max(0, n // 4096), pow(base, 4096, 1 << 64), np.uint64)]).astype(np.uint64), dtype=np.uint64)
-    return (high[:, None] * low[None, :]).ravel()[:n]
+    def run(factor: int, length: int) -> np.ndarray:
+        out = np.full(length, factor, np.uint64)
+        out[0] = 1
+        return np.cumprod(out, dtype=np.uint64)
+
+    return (run(pow(base, 4096, 1 << 64), n // 4096 + 1)[:, None] * run(base, 4096)[None, :]).ravel()[:n]
 
 
 _cache: dict[int, np.ndarray] = {}
