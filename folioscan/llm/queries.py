@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, decontaminate, mixing, quality, sharding
+from . import bagminhash, decontaminate, mixing, preference, quality, sharding, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_norm_sorted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.op1_norm_sorted_topk(table(spark, sf_dir, "embeddings"))
+
+
 def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op3_pu_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -20,6 +24,10 @@ def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.op5_bagminhash(table(spark, sf_dir, "documents"))
 
 
+def op6_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.op6_preference_pairs(table(spark, sf_dir, "conversations"))
+
+
 def op7_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op7_minimax_shards(table(spark, sf_dir, "documents"))
 
@@ -33,8 +41,8 @@ def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_pu_quality, op5_bagminhash, op7_minimax_shards, op9_sainte_lague, op10_wu_manber)}
+    return {f.__name__: f for f in (op1_norm_sorted_topk, op3_pu_quality, op5_bagminhash, op6_preference_pairs, op7_minimax_shards, op9_sainte_lague, op10_wu_manber)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_norm_sorted_topk": topk.ORACLE, "op6_preference_pairs": preference.ORACLE}
