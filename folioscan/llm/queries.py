@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, decontaminate, mixing, preference, quality, sharding, topk
+from . import bagminhash, chunks, decontaminate, mixing, preference, quality, sharding, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op7_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op7_minimax_shards(table(spark, sf_dir, "documents"))
 
 
+def op8_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.op8_gear_chunks(table(spark, sf_dir, "documents"))
+
+
 def op9_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op9_sainte_lague(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_norm_sorted_topk, op3_pu_quality, op5_bagminhash, op6_preference_pairs, op7_minimax_shards, op9_sainte_lague, op10_wu_manber)}
+    return {f.__name__: f for f in (op1_norm_sorted_topk, op3_pu_quality, op5_bagminhash, op6_preference_pairs, op7_minimax_shards, op8_gear_chunks, op9_sainte_lague, op10_wu_manber)}
 
 
 def oracle_sql() -> dict[str, str]:
