@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, chunks, decontaminate, mixing, preference, quality, sharding, topk
+from . import bagminhash, chunks, decontaminate, mixing, preference, quality, sharding, topk, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_norm_sorted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.op1_norm_sorted_topk(table(spark, sf_dir, "embeddings"))
 
 
+def op2_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op2_noisy_channel(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op3_pu_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,7 +49,7 @@ def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_norm_sorted_topk, op3_pu_quality, op5_bagminhash, op6_preference_pairs, op7_minimax_shards, op8_gear_chunks, op9_sainte_lague, op10_wu_manber)}
+    return {f.__name__: f for f in (op1_norm_sorted_topk, op2_noisy_channel, op3_pu_quality, op5_bagminhash, op6_preference_pairs, op7_minimax_shards, op8_gear_chunks, op9_sainte_lague, op10_wu_manber)}
 
 
 def oracle_sql() -> dict[str, str]:
