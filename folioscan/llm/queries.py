@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, chunks, decontaminate, mixing, preference, quality, sharding, topk, toxicity
+from . import bagminhash, chunks, decontaminate, mixing, preference, quality, sharding, suffixes, topk, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op3_pu_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.op4_suffix_merge(table(spark, sf_dir, "documents"))
+
+
 def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.op5_bagminhash(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_norm_sorted_topk, op2_noisy_channel, op3_pu_quality, op5_bagminhash, op6_preference_pairs, op7_minimax_shards, op8_gear_chunks, op9_sainte_lague, op10_wu_manber)}
+    return {f.__name__: f for f in (op1_norm_sorted_topk, op2_noisy_channel, op3_pu_quality, op4_suffix_merge, op5_bagminhash, op6_preference_pairs, op7_minimax_shards, op8_gear_chunks, op9_sainte_lague, op10_wu_manber)}
 
 
 def oracle_sql() -> dict[str, str]:
