@@ -52,7 +52,7 @@ def _nearest_sql(threshold: float | None) -> str:
     keep = "" if threshold is None else f"WHERE s >= {threshold}"
     return f"""WITH {SCORED}, ranked AS (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id)::INTEGER AS rank FROM scored {keep})
-      SELECT query_id, rank, vec_id, round(s, 6) AS score FROM ranked WHERE rank <= 5"""
+      SELECT query_id, rank, vec_id, s AS score FROM ranked WHERE rank <= 5"""
 
 
 WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
@@ -130,7 +130,7 @@ def _dense(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]
 def _nearest(spark: SparkSession, sf_dir: str, threshold: float | None) -> DataFrame:
     questions, index, dim = _dense(spark, sf_dir)
     near = retrieve.knn(questions, index, OPTIONS.top_k, dim, threshold)
-    return near.select(F.col("query").alias("query_id"), "rank", F.col("item").alias("vec_id"), F.round("score", 6).alias("score"))
+    return near.select(F.col("query").alias("query_id"), "rank", F.col("item").alias("vec_id"), "score")
 
 
 @query(_nearest_sql(None))
@@ -159,7 +159,7 @@ def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.posexplode(vectors.normalised(vectors.doubles(F.col("embedding")))).alias("pos", "value")).withColumn("value", F.round("value", 6))
 
 
-@query(f"WITH {SCORED} SELECT query_id, vec_id, round(s, 6) AS cosine FROM scored")
+@query(f"WITH {SCORED} SELECT query_id, vec_id, s AS cosine FROM scored")
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row against the stated questions: the questions travel in blocks of 256, the scores are column expressions."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", vectors.normalised(vectors.doubles(F.col("embedding"))).alias("u"))
@@ -167,7 +167,7 @@ def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_blocks = -(-asked.count() // 256) or 1
     blocks = asked.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("vec_id", "u")).alias("asked"))
     met = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocks, "block")
-    scores = F.transform("asked", lambda q: F.struct(q["vec_id"].alias("query_id"), F.round(F.round(vectors.dot(q["u"], F.col("u")), retrieve.DIGITS), 6).alias("cosine")))
+    scores = F.transform("asked", lambda q: F.struct(q["vec_id"].alias("query_id"), F.round(vectors.dot(q["u"], F.col("u")), retrieve.DIGITS).alias("cosine")))
     return met.select("vec_id", F.explode(scores).alias("s")).select("s.query_id", "vec_id", "s.cosine")
 
 
@@ -262,24 +262,24 @@ def _document_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_text_scores_sql("documents", "doc_id::VARCHAR", "text")}
-SELECT query_id, rank, item AS doc_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item)::INTEGER AS rank FROM hits) WHERE rank <= 5""")
+SELECT query_id, rank, item AS doc_id, s AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item)::INTEGER AS rank FROM hits) WHERE rank <= 5""")
 def text_similarity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = retrieve.knn(retrieve.question_vectors(_questions(spark, sf_dir), DIM), _document_index(spark, sf_dir), OPTIONS.top_k, DIM)
-    return near.select(F.col("query").alias("query_id"), "rank", F.col("item").alias("doc_id"), F.round("score", 6).alias("score"))
+    return near.select(F.col("query").alias("query_id"), "rank", F.col("item").alias("doc_id"), "score")
 
 
 @query(f"""WITH {_vectors_sql("d", "documents", "doc_id::VARCHAR", "text")}, {KEYWORDS}, {_keyword_hits_sql("documents", "doc_id::VARCHAR")}
-SELECT query_id, rank, item AS doc_id, round(s, 6) AS score FROM fallback""")
+SELECT query_id, rank, item AS doc_id, s AS score FROM fallback""")
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = retrieve.keyword_search(keywords_topk(spark, sf_dir), _document_index(spark, sf_dir), DIM, OPTIONS.top_k)
-    return found.select("query_id", "rank", F.col("item").alias("doc_id"), F.round("score", 6).alias("score"))
+    return found.select("query_id", "rank", F.col("item").alias("doc_id"), "score")
 
 
 @query(f"""WITH {_vectors_sql("d", "documents", "doc_id::VARCHAR", "text")}, {KEYWORDS}, {_keyword_hits_sql("documents", "doc_id::VARCHAR")}
-SELECT query_id, item AS doc_id, round(max(s), 6) AS score, count(*) AS n_keywords FROM kw_hits GROUP BY ALL""")
+SELECT query_id, item AS doc_id, max(s) AS score, count(*) AS n_keywords FROM kw_hits GROUP BY ALL""")
 def dedup_best_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = retrieve.keyword_hits(keywords_topk(spark, sf_dir), _document_index(spark, sf_dir), DIM, OPTIONS.top_k)
-    return hits.groupBy("query_id", F.col("item").alias("doc_id")).agg(F.round(F.max("score"), 6).alias("score"), F.count(F.lit(1)).alias("n_keywords"))
+    return hits.groupBy("query_id", F.col("item").alias("doc_id")).agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("n_keywords"))
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,9 +289,9 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("item", "chunk_id").join(chunks.select("chunk_id", "content", "source"), "chunk_id").select("query_id", "rank", "chunk_id", "content", "source", "score", "path")
 
 
-@query(f"{RETRIEVED} SELECT query_id, rank, chunk_id, round(score, 6) AS score, path FROM named")
+@query(f"{RETRIEVED} SELECT query_id, rank, chunk_id, score, path FROM named")
 def retrieve_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hits(spark, sf_dir).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"), "path")
+    return _hits(spark, sf_dir).select("query_id", "rank", "chunk_id", "score", "path")
 
 
 @query(f"{RETRIEVED} SELECT query_id, context, context_used FROM context")

@@ -1,7 +1,8 @@
 """Files as rows: scan, decode, parse, with an error column instead of a failure.
 
 A document folder is listed by Spark's binaryFile source (regular files of the folder itself; names
-that start with ``.`` or ``_`` are skipped). TXT is decoded by Spark; Word and PDF go through a
+that start with ``.`` or ``_`` are skipped). That source leaves out files of no bytes; they are
+taken from the file system's listing. TXT is decoded by Spark; Word and PDF go through a
 parser on Arrow batches. ``.docx`` needs the standard library only; PDF needs an optional package
 and gives error rows without it, as a binary ``.doc`` does.
 """
@@ -39,6 +40,11 @@ def scan(spark: SparkSession, directory: str, extensions: tuple[str, ...] | None
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
     files = spark.read.format("binaryFile").load(directory)
+    listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    empty = [(f.getPath().toString(), f.getModificationTime() / 1000) for f in listed if f.isFile() and f.getLen() == 0 and f.getPath().getName()[0] not in "._"]
+    if empty:
+        rows = spark.createDataFrame(empty, "path string, seconds double")
+        files = files.unionByName(rows.select("path", F.timestamp_millis((F.col("seconds") * 1000).cast("long")).alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit("").cast("binary").alias("content")))
     return files if extensions is None else files.filter(extension(F.col("path")).isin(*extensions))
 
 
