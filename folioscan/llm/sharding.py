@@ -1,10 +1,10 @@
 """Sharding by a minimax contiguous partition.
 
 Texts are dealt to hash buckets (equal texts always to one bucket), and the buckets in hash order
-are the ordered atomic groups. The smallest shard capacity that fits them into ``n_shards``
+are the ordered atomic groups; buckets larger than an even share come first. The smallest shard capacity that fits them into ``n_shards``
 contiguous runs is found by binary search with a greedy check, and the runs are cut there. What
 is left after each cut is solved again for the shards that remain, so that a group larger than an
-even share does not leave the shards behind it uneven.
+even share does not leave the other shards uneven.
 
 The driver holds one size per bucket, at most ``buckets`` rows whatever the input. A shard is off
 its even share by one bucket at most, or by the largest group of equal texts.
@@ -62,6 +62,17 @@ def cut_points(sizes: np.ndarray, shards: int) -> list[int]:
     return cuts
 
 
+def shard_of_bucket(weight: np.ndarray, shards: int) -> tuple[dict[int, int], list[int]]:
+    """Shards of the buckets larger than an even share, and the first bucket of each shard for the others."""
+    large = [int(b) for b in np.argsort(-weight, kind="stable")[:shards] if weight[b] * shards > weight.sum()]
+    others = np.setdiff1d(np.arange(len(weight)), large)
+    order = np.concatenate([np.array(large, np.int64), others])
+    cuts = np.array(cut_points(weight[order], shards))
+    shard = np.searchsorted(cuts, np.arange(len(order)), "right") - 1
+    first = [int(others[k]) if k < len(others) else len(weight) for k in np.searchsorted(shard[len(large) :], np.arange(shards))]
+    return {b: int(shard[k]) for k, b in enumerate(large)}, first
+
+
 def _bucket(text: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(text), F.lit(buckets)).cast("int")
 
@@ -89,9 +100,12 @@ def placed(rows: DataFrame, n_shards: int = 8, buckets: int = BUCKETS) -> DataFr
     weight = np.zeros(buckets, np.int64)
     for row in rows.groupBy("_bucket").agg(F.sum("size").alias("size")).collect():
         weight[row["_bucket"]] = row["size"]
+    large, first = shard_of_bucket(weight, n_shards)
     shard = F.lit(0)
-    for k, cut in enumerate(cut_points(weight, n_shards)[1:], 1):
-        shard = F.when(F.col("_bucket") >= cut, F.lit(k)).otherwise(shard)
+    for k, bucket in enumerate(first[1:], 1):
+        shard = F.when(F.col("_bucket") >= bucket, F.lit(k)).otherwise(shard)
+    for bucket, k in large.items():
+        shard = F.when(F.col("_bucket") == bucket, F.lit(k)).otherwise(shard)
     rows = rows.withColumn("shard", shard.cast("int"))
     starts, taken = [], [0] * n_shards
     counts = rows.groupBy("shard", "_cell").agg(F.count(F.lit(1)).alias("n")).collect()
