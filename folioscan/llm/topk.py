@@ -199,9 +199,13 @@ def top_k(rows: DataFrame, k: int = K, query_step: int = QUERY_STEP) -> DataFram
     floors = staged(asked.mapInArrow(_floors(held, basis, k), "block long, q_ids binary, q_vectors binary, floor binary"), "floors")
     names = sorted(r["block"] for r in floors.select("block").collect())  # one for QUERY_BLOCK queries
     numbers = spark.createDataFrame([(b, i) for i, b in enumerate(names)], "block long, q_block int")
-    # each part goes to each block of queries: both sides are blobs, a few for each task
+    # each part meets each block of queries, both as blobs; a block goes to ``spread`` places, so that its parts don't meet in one task
+    spread = max(1, parts.count() // 2)
     met = parts.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1)) if names else F.array().cast("array<int>")))
-    found = met.join(floors.join(numbers, "block"), "q_block").select("q_ids", "q_vectors", "floor", "ids", "vectors").mapInArrow(_searched(basis, k), "query_id long, vec_id long, score long")
+    met = met.withColumn("place", F.pmod(F.xxhash64("ids"), F.lit(spread)).cast("int"))
+    asked = floors.join(numbers, "block").withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    keys, n = ["q_block", "place"], partitions(spark)  # a fixed number of tasks: the blobs are small but the work is not
+    found = met.repartition(n, *keys).join(asked.repartition(n, *keys), keys).select("q_ids", "q_vectors", "floor", "ids", "vectors").mapInArrow(_searched(basis, k), "query_id long, vec_id long, score long")
     window = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -14,7 +14,7 @@ with a z value of ``LEAST_Z`` or more count. A text's score is a logistic
 function of the sum of its distinct features' log-odds, fitted on the same rows.
 
 Defined cases: null and empty texts get the score of a text without evidence; contradicting or
-null labels take no part; without a toxic label every score is 0; repeated rows are scored alike;
+null labels take no part; without a toxic label every score is next to 0; repeated rows are scored alike;
 a null doc_id is scored and is not held out; an empty table gives no rows. Texts are whole.
 """
 
@@ -338,8 +338,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
         w = p * (1 - p) + 1e-6
-        g = np.array([((p - y) * x).sum() + 0.1 * a, (p - y).sum()])
-        h = np.array([[(w * x * x).sum() + 0.1, (w * x).sum()], [(w * x).sum(), w.sum()]])
+        g = np.array([((p - y) * x).sum() + 0.1 * a, (p - y).sum() + 1e-3 * b])
+        h = np.array([[(w * x * x).sum() + 0.1, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-3]])
         step = np.linalg.solve(h, g)
         a, b = a - float(np.clip(step[0], -2, 2)), b - float(np.clip(step[1], -2, 2))
     return a, b
@@ -375,7 +375,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, remaind
         strong &= odds >= log(4)
         names, weights = only[strong], odds[strong]
         fit = rows.select("label", "text").mapInArrow(_evidence(held, names, weights), "label int, evidence double").collect()
-        slope, shift = _logistic(np.log1p(np.array([r["evidence"] for r in fit])), np.array([r["label"] for r in fit], np.float64))
+        if any(r["label"] for r in fit):
+            slope, shift = _logistic(np.log1p(np.array([r["evidence"] for r in fit])), np.array([r["label"] for r in fit], np.float64))
     scored = docs.mapInArrow(_evidence(held, names, weights), "doc_id long, evidence double")
     score = 1 / (1 + F.exp(-(F.log1p("evidence") * slope + shift)))
     return scored.select("doc_id", F.coalesce(held_out("doc_id", modulus, remainder), F.lit(False)).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
