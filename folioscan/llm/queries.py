@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, chunks, decontaminate, mixing, preference, quality, sharding, suffixes, topk, toxicity
+from . import bagminhash, chunks, decontaminate, mixing, oracles, preference, quality, sharding, suffixes, topk, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,4 +57,10 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_norm_sorted_topk": topk.ORACLE, "op6_preference_pairs": preference.ORACLE}
+    return {
+        "op1_norm_sorted_topk": topk.ORACLE,
+        "op4_suffix_merge": oracles.SUFFIXES,
+        "op5_bagminhash": oracles.NEAR_DUPLICATES,
+        "op6_preference_pairs": preference.ORACLE,
+        "op10_wu_manber": oracles.DECONTAMINATION,
+    }
