@@ -30,6 +30,7 @@ remove nothing; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +49,7 @@ PREFIX = 24
 SPREAD = MATCH - PREFIX + 1  # prefixes in a window
 PIECE = 1 << 18
 #: Prefixes that one part may hold: its fingerprints take four bytes each.
-PART_PREFIXES = 4_000_000
+PART_PREFIXES = 500_000
 _PLACE = U64((1 << 24) - 1)
 
 
@@ -267,13 +268,17 @@ def windows_of(entry: bytes) -> list[tuple[int, bytes]]:
 
 
 class Answers:
-    """For each entry of each run the smallest document of its windows, and windows that differ."""
+    """For each entry of each run the smallest document of its windows.
+
+    Where an entry's windows differ, ``odd`` has (entry, window, smallest document) for the first
+    window and for each window whose document is not that of the window before it.
+    """
 
     def __init__(self, sizes: list[int]) -> None:
         self.low = [np.zeros(n, np.int64) for n in sizes]
-        self.odd: list[list[tuple[int, int, int]]] = [[] for _ in sizes]
+        self.odd = [(array("i"), array("B"), array("q")) for _ in sizes]
 
-    def settle(self, entries: list[tuple[bytes, int, list[tuple[int, int]]]]) -> None:
+    def settle(self, entries: list[list]) -> None:
         """The entries of one suffix start: bytes, smallest document, who holds them."""
         if len(entries) == 1:
             _, low, holders = entries[0]
@@ -287,10 +292,12 @@ class Answers:
                     least[w] = low
         for entry, _, holders in entries:
             lows = [least[w] for w in windows_of(entry)]
+            steps = [t for t in range(len(lows)) if t == 0 or lows[t] != lows[t - 1]]
             for run, i in holders:
                 self.low[run][i] = lows[0]
-                if lows.count(lows[0]) < len(lows):
-                    self.odd[run] += [(i, t, low) for t, low in enumerate(lows)]
+                if len(steps) > 1:
+                    for column, values in zip(self.odd[run], ([i] * len(steps), steps, [lows[t] for t in steps]), strict=True):
+                        column.extend(values)
 
 
 def settle_part(runs: list[tuple[np.ndarray, ...]]) -> Answers:
@@ -384,8 +391,7 @@ def _settled(table: pa.Table) -> pa.Table:
     answers = settle_part(runs)
     blobs = []
     for low, odd in zip(answers.low, answers.odd, strict=True):
-        wide = np.array(odd, np.int64).reshape(-1, 3)
-        blobs.append(pack(low, wide[:, 0].astype(np.int32), wide[:, 1].astype(np.uint8), wide[:, 2].copy()))
+        blobs.append(pack(low, *(np.frombuffer(x, x.typecode) if len(x) else np.zeros(0, x.typecode) for x in odd)))
     return pa.table({"slice": table.column("slice"), "part": table.column("part"), "answer": pa.array(blobs, pa.binary())})
 
 
@@ -402,12 +408,21 @@ def removed_bytes(own: Slice, answers: list[dict], parts: int) -> np.ndarray:
         np.add.at(change, own.first[rows[goes]], 1)
         np.add.at(change, own.last[rows[goes]] + MATCH, -1)
         if len(odd):
+            # entry numbers are not in order in odd: entries come in merged order, so sort the steps
+            order = np.lexsort((window, odd))
+            odd, window, odd_low = odd[order], window[order].astype(np.int64), odd_low[order]
+            until = np.append(window[1:], 0)
+            final = np.append(odd[1:] != odd[:-1], True)
             begin, end = np.searchsorted(odd, np.arange(len(low))), np.searchsorted(odd, np.arange(len(low)), "right")
-            for j in np.flatnonzero(~plain[entry]).tolist():
-                e = entry[j]
-                own_windows = window[begin[e] : end[e]][odd_low[begin[e] : end[e]] < document[j]].astype(np.int64) + own.first[rows[j]]
-                np.add.at(change, own_windows, 1)
-                np.add.at(change, own_windows + MATCH, -1)
+            own_rows = np.flatnonzero(~plain[entry])
+            count = (end - begin)[entry[own_rows]]
+            row = np.repeat(own_rows, count)
+            step = np.repeat(begin[entry[own_rows]], count) + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            goes = odd_low[step] < document[row]
+            row, step = row[goes], step[goes]
+            first = own.first[rows[row]]
+            np.add.at(change, first + window[step], 1)
+            np.add.at(change, np.where(final[step], own.last[rows[row]] + 1, first + until[step]) - 1 + MATCH, -1)
     return np.cumsum(change[:-1]) > 0
 
 
