@@ -4,7 +4,8 @@ Trusted positives and unlabelled web text, an estimated class prior, and the non
 risk: prior * E_p[loss(+f)] + max(0, E_u[loss(-f)] - prior * E_p[loss(-f)]) for a linear f with
 logistic loss, minimised by Adam; where the second term is negative, its gradient is reversed.
 
-Inputs of f are shares of byte-class pairs in a text, and how much of it is repeated lines; ids,
+Inputs of f are shares of byte-class pairs in a text, and how much of it is repeated lines and
+words that follow themselves; ids,
 languages and sources take no part. Features of all documents are written once and serve training,
 the prior and scoring. The prior is the least ratio, over thresholds, of unlabelled to positive
 documents above it by a first classifier; its counts cover all documents. The fit uses at most
@@ -54,7 +55,7 @@ def _byte_classes() -> np.ndarray:
 
 
 BYTE_CLASS = _byte_classes()
-FEATURES = _CLASSES * _CLASSES + 3
+FEATURES = _CLASSES * _CLASSES + 4
 
 
 def features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -79,6 +80,11 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             length = end - start
             out[:, pairs] = np.bincount(text, weights=length * again, minlength=n) / np.maximum(1, sizes)
             out[:, pairs + 1] = np.bincount(text, weights=again, minlength=n) / np.maximum(1, np.bincount(text, minlength=n))
+        text, start, end = edges((raw != 32) & ((raw < 9) | (raw > 13)), offsets)
+        if len(text) > 1:
+            hashes = span_hashes(raw.astype(np.uint64) + np.uint64(1), start, end)
+            again = (hashes[1:] == hashes[:-1]) & (text[1:] == text[:-1])
+            out[:, pairs + 3] = np.sqrt(np.bincount(text[1:], weights=again, minlength=n) / np.maximum(1, np.bincount(text, minlength=n)))
     out[:, pairs + 2] = np.log1p(sizes) / 10
     return out
 
@@ -124,11 +130,17 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds:
 
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The least ratio of the unlabelled to the positive share above a threshold; arguments are histograms by score."""
+    """The least ratio of the unlabelled to the positive share above a threshold; arguments are histograms by score.
+
+    The least of many noisy ratios is too small; the spread of either share is added for that.
+    """
     p = np.cumsum(positive[::-1]) / max(1, positive.sum())
     u = np.cumsum(unlabelled[::-1]) / max(1, unlabelled.sum())
     wide = p >= 0.5
-    return float(np.clip((u[wide] / p[wide]).min(), 0.02, 0.98)) if wide.any() and unlabelled.sum() else 0.5
+    if not wide.any() or not unlabelled.sum():
+        return 0.5
+    spread = positive.sum() ** -0.5 + unlabelled.sum() ** -0.5
+    return float(np.clip(((u[wide] + spread) / p[wide]).min(), 0.02, 0.98))
 
 
 def _scored(weights: np.ndarray, bias: float):
