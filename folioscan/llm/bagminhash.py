@@ -17,7 +17,9 @@ a bucket. Instead of all pairs of a bucket, each member meets the bucket's hub,
 meets most others over all its bands; links are verified exactly and united into components. Only
 where a bucket's members lie in several components afterwards, the members outside of the bucket's
 largest component meet the members of the other components, so no link found by the bands is
-lost. With 24 bands of 4 registers, a pair at similarity 0.8 shares no bucket with probability
+lost. Of these pairs, those that can't be links are left out before any text moves: windows that
+no other candidate has (counted over all candidates of such buckets) can't be shared, and a pair
+of sizes a and b shares t / (1 + t) * (a + b) windows or more if its similarity is t. With 24 bands of 4 registers, a pair at similarity 0.8 shares no bucket with probability
 3e-6, at 0.9 with 1e-11.
 
 Defined cases: null texts and texts without words have no windows and are classes of their own;
@@ -171,18 +173,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     signed = staged(docs.mapInArrow(_signed, "doc_id long, n_shingles long, digest_a long, digest_b long, bands array<long>"), "signed")
     named = signed.filter("doc_id is not null and n_shingles > 0")
     equal = named.groupBy("digest_a", "digest_b").agg(F.min("doc_id").alias("node"))
+    equal = staged(equal, "equal")  # a join of plain tables, so that hot keys can be split
     members = staged(named.join(equal, ["digest_a", "digest_b"]).select("doc_id", "node", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands")), "members")
     rows = members.filter("bands is not null").select("node", F.explode("bands").alias("key")).distinct()
-    crowded = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    crowded = staged(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "crowded")
     shared = staged(rows.join(crowded, "key"), "shared")
     meets = shared.groupBy("node").agg(F.sum("n").alias("met"))
     known = staged(shared.join(meets, "node"), "known")
     hubs = known.groupBy("key").agg(F.max(F.struct("met", F.negative("node").alias("minus"))).alias("hub")).select("key", F.negative("hub.minus").alias("hub"))
+    hubs = staged(hubs, "hubs")
     pairs = known.join(hubs, "key").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     bags = staged(docs.join(shared.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_bags, "doc_id long, bag binary"), "bags").dropDuplicates(["doc_id"])
     links = _links(pairs, bags, threshold, "links")
     label = staged(_labelled(shared, components(links)), "labelled")
-    links = links.union(_links(_across(label), bags, threshold, "across"))
+    links = links.union(_links(_across(label, bags, threshold), bags, threshold, "across"))
     classes = components(links)
     tied = members.join(classes, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "node")).alias("class_id"))
     out = signed.select("doc_id", "n_shingles").join(tied, "doc_id", "left")
@@ -191,17 +195,35 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def _labelled(shared: DataFrame, classes: DataFrame) -> DataFrame:
     """key, node, label of the members of buckets that hold several components."""
-    own = shared.select("key", "node").join(classes, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    mixed = own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    return own.join(mixed, "key")
+    own = staged(shared.select("key", "node").join(classes, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "own")
+    several = staged(own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key"), "several")
+    return own.join(several, "key")
 
 
-def _across(labelled: DataFrame) -> DataFrame:
-    """The pairs that the hubs left open: members outside a bucket's largest component, with the members of its other components."""
-    sizes = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for node, bag in zip(batch.column("doc_id").to_pylist(), batch.column("bag"), strict=True):
+            codes = np.frombuffer(bag.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(np.full(len(codes), node, np.int64))], ["code", "node"])
+
+
+def _across(labelled: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """The pairs that the hubs left open and that may be links."""
+    nodes = labelled.select(F.col("node").alias("doc_id")).distinct()
+    own_bags = staged(bags.join(nodes, "doc_id", "left_semi"), "open")
+    alone = own_bags.mapInArrow(_codes, "code long, node long").groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.max("node").alias("node")).filter("n = 1")
+    facts = own_bags.select(F.col("doc_id").alias("node"), (F.octet_length("bag") / 8).alias("size")).join(alone.groupBy("node").agg(F.count(F.lit(1)).alias("alone")), "node", "left")
+    part = threshold / (1 + threshold) - 1e-9
+    members = labelled.join(facts, "node").select("key", "node", "label", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("open"))
+    members = staged(members, "open_members")
+    low = members.groupBy("key").agg(F.min("size").alias("low"))
+    sizes = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top")).select("key", F.col("top.label").alias("top"))
-    few = labelled.join(largest, "key").filter("label <> top").select("key", F.col("node").alias("a"), F.col("label").alias("label_a"))
-    met = few.join(labelled, "key").filter("label <> label_a and a <> node")
+    about = staged(low.join(largest, "key"), "about")
+    few = members.join(about, "key").filter("label <> top").filter(F.col("open") >= part * (F.col("size") + F.greatest(F.col("low"), threshold * F.col("size"))))
+    few = few.select("key", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("size").alias("size_a"), F.col("open").alias("open_a"))
+    needed = part * (F.col("size") + F.col("size_a"))
+    met = few.join(members, "key").filter((F.col("label") != F.col("label_a")) & (F.col("a") != F.col("node")) & (F.col("open") >= needed) & (F.col("open_a") >= needed))
     return met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
 

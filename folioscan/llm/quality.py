@@ -9,7 +9,7 @@ words that follow themselves; ids,
 languages and sources take no part. Features of all documents are written once and serve training,
 the prior and scoring. The prior is the least ratio, over thresholds, of unlabelled to positive
 documents above it by a first classifier; its counts cover all documents. The fit uses at most
-``SAMPLE`` positives and as many unlabelled documents, those with the smallest hash of their id.
+``SAMPLE`` positives and as many unlabelled documents, chosen by a hash of their id.
 
 Defined cases: null and empty texts have features of 0 and get a score; a label that is null or
 contradicted by another row takes no part; repeated rows are scored alike; without labels every
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import edges, slices, span_hashes
-from .common import held_out, staged
+from .common import bounded_sample, held_out, staged
 
 SAMPLE = 6000
 BINS = 400
@@ -165,9 +165,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainde
     known = trusted(labels, "quality", modulus, remainder)
     marked = rows.join(known, "doc_id", "left")
     chosen = staged(marked.select("doc_id", "features", "label"), "marked")
-    spread = F.xxhash64("doc_id", F.lit(17))
-    positive = chosen.filter("label = 1").orderBy(spread, "doc_id").limit(sample).select("features").toPandas()["features"]
-    unlabelled = chosen.filter("label is null").orderBy(spread, "doc_id").limit(sample).select("features").toPandas()["features"]
+    positive, unlabelled = (bounded_sample(chosen.filter(which), sample, 17).select("features").toPandas()["features"] for which in ("label = 1", "label is null"))
     if len(positive) == 0 or len(unlabelled) == 0:
         weights, bias = np.zeros(FEATURES), 0.0
     else:

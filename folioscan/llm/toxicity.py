@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import _BYTE_CODE, FOLD, U64, edges, mix, shingles, slices, span_hashes
-from .common import held_out
+from .common import bounded_sample, held_out
 from .quality import trusted
 
 SAMPLE = 8000
@@ -351,8 +351,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, remaind
     docs = docs.select("doc_id", "text")
     held = _held_model(spark, fit_model(docs))
     known = trusted(labels, "toxic", modulus, remainder)
-    spread = F.xxhash64("doc_id", F.lit(29))
-    ids = {k: [r["doc_id"] for r in known.filter(F.col("label") == k).orderBy(spread, "doc_id").limit(sample).collect()] for k in (0, 1)}
+    ids = {k: [r["doc_id"] for r in bounded_sample(known.filter(F.col("label") == k), sample, 29).collect()] for k in (0, 1)}
     names, weights, slope, shift = np.zeros(0, np.uint64), np.zeros(0), 0.0, -40.0
     if ids[1]:
         chosen = spark.createDataFrame([(i, k) for k in (0, 1) for i in ids[k]], "doc_id long, label int")
