@@ -148,3 +148,9 @@ def ingest_stats(parsed: DataFrame, chunks: DataFrame, before: int = 0) -> DataF
     files = parsed.agg(F.count_if(F.col("error").isNull()).alias("success"), F.count_if(F.col("error").isNotNull()).alias("failed"))
     counts = chunks.agg(F.count(F.lit(1)).alias("total_chunks"))
     return files.crossJoin(counts).withColumn("vector_count", F.lit(before) + F.col("total_chunks"))  # one row each
+
+
+def dataset_index(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row: total_documents, document_list in order of name, total_chunks; it is written with ``write.json``."""
+    named = documents.agg(F.count(F.lit(1)).alias("total_documents"), F.array_sort(F.collect_list("source")).alias("document_list"))
+    return named.crossJoin(chunks.agg(F.count(F.lit(1)).alias("total_chunks")))  # one row each

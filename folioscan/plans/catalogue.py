@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import chunking, tokens, vectors
+from ..functions import chunking, embedders, tokens, vectors
 from ..operators import answer, retrieve, store
 from ..options import Options
 
 Query = Callable[[SparkSession, str], DataFrame]
 OPTIONS = Options()
 DIM = OPTIONS.embedding_dim
+EMBEDDER = embedders.Hashed(DIM)
 #: Questions of the vector queries: the stated set of ids that this number divides.
 QUERY_STEP = 50
 #: Words of the stop-word query; the default list is Chinese.
@@ -258,34 +259,34 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _document_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"))
-    return retrieve.text_index(docs, DIM).persist()
+    return retrieve.text_index(docs, EMBEDDER).persist()
 
 
 @query(f"""WITH {_text_scores_sql("documents", "doc_id::VARCHAR", "text")}
 SELECT query_id, rank, item AS doc_id, s AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item)::INTEGER AS rank FROM hits) WHERE rank <= 5""")
 def text_similarity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = retrieve.knn(retrieve.question_vectors(_questions(spark, sf_dir), DIM), _document_index(spark, sf_dir), OPTIONS.top_k, DIM)
+    near = retrieve.knn(retrieve.question_vectors(_questions(spark, sf_dir), EMBEDDER), _document_index(spark, sf_dir), OPTIONS.top_k, DIM)
     return near.select(F.col("query").alias("query_id"), "rank", F.col("item").alias("doc_id"), "score")
 
 
 @query(f"""WITH {_vectors_sql("d", "documents", "doc_id::VARCHAR", "text")}, {KEYWORDS}, {_keyword_hits_sql("documents", "doc_id::VARCHAR")}
 SELECT query_id, rank, item AS doc_id, s AS score FROM fallback""")
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = retrieve.keyword_search(keywords_topk(spark, sf_dir), _document_index(spark, sf_dir), DIM, OPTIONS.top_k)
+    found = retrieve.keyword_search(keywords_topk(spark, sf_dir), _document_index(spark, sf_dir), EMBEDDER, OPTIONS.top_k)
     return found.select("query_id", "rank", F.col("item").alias("doc_id"), "score")
 
 
 @query(f"""WITH {_vectors_sql("d", "documents", "doc_id::VARCHAR", "text")}, {KEYWORDS}, {_keyword_hits_sql("documents", "doc_id::VARCHAR")}
 SELECT query_id, item AS doc_id, max(s) AS score, count(*) AS n_keywords FROM kw_hits GROUP BY ALL""")
 def dedup_best_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = retrieve.keyword_hits(keywords_topk(spark, sf_dir), _document_index(spark, sf_dir), DIM, OPTIONS.top_k)
+    hits = retrieve.keyword_hits(keywords_topk(spark, sf_dir), _document_index(spark, sf_dir), EMBEDDER, OPTIONS.top_k)
     return hits.groupBy("query_id", F.col("item").alias("doc_id")).agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("n_keywords"))
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _windows(spark, sf_dir)
-    index = retrieve.text_index(chunks.select("chunk_id", "content"), DIM).persist()
-    found = retrieve.retrieve_with_fallback(_questions(spark, sf_dir), index, DIM, OPTIONS.top_k, OPTIONS.score_threshold)
+    index = retrieve.text_index(chunks.select("chunk_id", "content"), EMBEDDER).persist()
+    found = retrieve.retrieve_with_fallback(_questions(spark, sf_dir), index, EMBEDDER, OPTIONS.top_k, OPTIONS.score_threshold)
     return found.withColumnRenamed("item", "chunk_id").join(chunks.select("chunk_id", "content", "source"), "chunk_id").select("query_id", "rank", "chunk_id", "content", "source", "score", "path")
 
 
@@ -408,6 +409,21 @@ def collection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _windows(spark, sf_dir).agg(F.count(F.lit(1)).alias("document_count")).select(name, "document_count", F.lit(OPTIONS.chunk_size).alias("chunk_size"), F.lit(OPTIONS.top_k).alias("top_k"), F.lit(OPTIONS.score_threshold).alias("threshold"))
 
 
+@query(f"""WITH {WINDOWS} SELECT (SELECT count(*) FROM documents) AS total_documents,
+  (SELECT string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR) FROM documents) AS document_list, count(*) AS total_chunks FROM chunks""")
+def dataset_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source"))
+    return store.dataset_index(docs, _windows(spark, sf_dir)).withColumn("document_list", F.array_join("document_list", ","))
+
+
+@query("SELECT * FROM (VALUES ('a.txt', 12, 'first'), ('b.txt', 0, NULL)) t(source, n_chars, first_word)")
+def inline_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.files import inline
+
+    docs = inline(spark, {"a.txt": "first second", "b.txt": ""})
+    return docs.select("source", F.length("text").alias("n_chars"), F.get(tokens.words(F.col("text")), 0).alias("first_word"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

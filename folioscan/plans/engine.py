@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.chunking import recursive_chunks, with_chunk_ids
+from ..functions.embedders import Hashed
 from ..functions.tokens import STOP_WORDS
 from ..operators import answer, retrieve, store
 from ..options import Options
@@ -15,10 +16,11 @@ from ..sources import files
 
 
 class Engine:
-    """``generator`` and ``parsers`` are the replaceable parts; see ``operators.answer`` and ``sources.files``."""
+    """``embedder``, ``generator`` and ``parsers`` are the replaceable parts; see ``functions.embedders``, ``operators.answer`` and ``sources.files``."""
 
-    def __init__(self, spark: SparkSession, options: Options = Options(), generator=None, parsers=None, stop_words: tuple[str, ...] = STOP_WORDS) -> None:  # noqa: B008
+    def __init__(self, spark: SparkSession, options: Options = Options(), embedder=None, generator=None, parsers=None, stop_words: tuple[str, ...] = STOP_WORDS) -> None:  # noqa: B008
         self.spark, self.options, self.generator, self.parsers, self.stop_words = spark, options, generator, parsers, stop_words
+        self.embedder = embedder or Hashed(options.embedding_dim)
         self.collection = store.Collection(spark, options)
 
     def chunked(self, parsed: DataFrame) -> DataFrame:
@@ -26,7 +28,7 @@ class Engine:
         return with_chunk_ids(recursive_chunks(good, ["source", "file_path"], size=self.options.chunk_size, overlap=self.options.chunk_overlap))
 
     def indexed(self, chunks: DataFrame) -> DataFrame:
-        vectors = retrieve.text_index(chunks, self.options.embedding_dim).withColumnRenamed("item", "chunk_id")
+        vectors = retrieve.text_index(chunks, self.embedder).withColumnRenamed("item", "chunk_id")
         return chunks.join(vectors, "chunk_id")
 
     def ingest(self, scanned: DataFrame, mode: str = "append") -> DataFrame:
@@ -49,7 +51,7 @@ class Engine:
 
     def _params(self) -> str:
         o = self.options
-        return hashlib.sha256(f"{o.chunk_size},{o.chunk_overlap},{o.embedding_model},{o.embedding_dim}".encode()).hexdigest()[:16]
+        return hashlib.sha256(f"{o.chunk_size},{o.chunk_overlap},{o.embedding_model},{self.embedder.dim}".encode()).hexdigest()[:16]
 
     def ingest_if_changed(self, directory: str) -> str:
         """``empty``, ``cached``, ``reindexed``, or ``error: ...``; the manifest tells whether files or parameters have changed."""
@@ -68,11 +70,15 @@ class Engine:
             return f"error: {e}"
 
     def ingest_on_start(self, directory: str) -> bool:
-        """Ingest a folder if the index is empty."""
-        if not self.options.auto_ingest or not self.collection.is_empty():
+        """Ingest a folder if the index is empty; whether that was done. A failure is reported, not raised."""
+        try:
+            if not self.options.auto_ingest or not self.collection.is_empty():
+                return False
+            self.ingest_directory(directory)
+            return True
+        except Exception as e:
+            print(f"ingest on start failed: {e}")
             return False
-        self.ingest_directory(directory)
-        return True
 
     def hits(self, questions: DataFrame) -> DataFrame:
         """query_id, rank, chunk_id, content, source, score, path; a question's own top_k counts where it is given and not 0."""
@@ -80,7 +86,7 @@ class Engine:
         limit = F.coalesce(F.nullif(F.col("top_k"), F.lit(0)), F.lit(o.top_k))
         asked = questions.filter(F.length(F.trim("question")) > 0).withColumn("limit", limit)
         most = asked.agg(F.max("limit")).first()[0] or o.top_k
-        found = retrieve.retrieve_with_fallback(asked, index.withColumnRenamed("chunk_id", "item"), o.embedding_dim, most, o.score_threshold, stop_words=self.stop_words)
+        found = retrieve.retrieve_with_fallback(asked, index.withColumnRenamed("chunk_id", "item"), self.embedder, most, o.score_threshold, stop_words=self.stop_words)
         named = found.join(asked.select("query_id", "limit"), "query_id").filter("rank <= limit").withColumnRenamed("item", "chunk_id")
         return named.join(index.select("chunk_id", "content", "source"), "chunk_id").select("query_id", "rank", "chunk_id", "content", "source", "score", "path")
 
@@ -90,5 +96,9 @@ class Engine:
     def stats(self) -> DataFrame:
         return self.collection.stats()
 
+    def health(self) -> DataFrame:
+        """One row: status and the statistics."""
+        return self.stats().select(F.lit("healthy").alias("status"), F.struct("vector_store", "config").alias("stats"))
+
     def clear(self) -> None:
         self.collection.clear()

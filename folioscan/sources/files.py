@@ -104,3 +104,9 @@ def missing(spark: SparkSession, paths: list[str], files: DataFrame) -> DataFram
     asked = spark.createDataFrame([(p,) for p in paths], "file_path string")
     gone = asked.join(files.select(F.col("path").alias("file_path")), "file_path", "left_anti")
     return gone.select(basename(F.col("file_path")).alias("source"), "file_path", F.lit(None).cast("string").alias("text"), F.lit("file not found").alias("error"))
+
+
+def inline(spark: SparkSession, documents: dict[str, str]) -> DataFrame:
+    """source, file_path, text, error of documents given in code."""
+    rows = [(name, name, text, None) for name, text in documents.items()]
+    return spark.createDataFrame(rows, "source string, file_path string, text string, error string")

@@ -146,3 +146,27 @@ def test_collection_names(spark):
 def test_prompt_keeps_braces(spark):
     row = spark.range(1).select(answer.prompt(F.lit("{question}"), F.lit("{x}"), "C {context} Q {question}").alias("p")).first()
     assert row["p"] == "C {question} Q {x}"
+
+
+def test_custom_embedder_gets_small_batches_in_order(spark):
+    from folioscan.functions.embedders import Custom, Precomputed
+
+    def encode(texts):
+        assert len(texts) <= 10
+        return [[len(t), 1.0] for t in texts]
+
+    rows = spark.createDataFrame([(i, "x" * i) for i in range(25)], "k long, t string").coalesce(1)
+    got = {r["k"]: r["weights"] for r in Custom(encode, 2).vectors(rows, "k", "t").collect()}
+    assert all(abs(got[i][0] - i / (i * i + 1) ** 0.5) < 1e-12 for i in range(25))
+    table = spark.createDataFrame([(3, [3.0, 4.0])], "key long, vector array<double>")
+    assert [r["weights"] for r in Precomputed(table, 2).vectors(rows, "k", "t").collect()] == [[0.6, 0.8]]
+
+
+def test_engine_with_a_custom_embedder(spark, folder, tmp_path):
+    from folioscan.functions.embedders import Custom
+
+    engine = Engine(spark, Options(warehouse=str(tmp_path / "warehouse")), embedder=Custom(lambda texts: [[t.count("leave") + 1e-3, t.count("button")] for t in texts], 2))
+    engine.ingest_directory(folder)
+    hits = engine.hits(questions(spark, (1, "button", 1, True))).collect()
+    assert [r["chunk_id"] for r in hits] == ["manual.docx_0"]
+    assert engine.health().first()["status"] == "healthy"
