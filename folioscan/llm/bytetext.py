@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 U64 = np.uint64
 _GOLD = 0x9E3779B97F4A7C15
@@ -85,7 +85,7 @@ _cache: dict[int, np.ndarray] = {}
 
 def powers(base: int, n: int) -> np.ndarray:
     if base not in _cache or len(_cache[base]) < n:
-        _cache[base] = _powers(base, max(n, SLICE_BYTES + 65536))
+        _cache[base] = _powers(base, 1 << max(16, n.bit_length()))
     return _cache[base][:n]
 
 

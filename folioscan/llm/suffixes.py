@@ -48,6 +48,8 @@ MATCH = 50
 PREFIX = 24
 SPREAD = MATCH - PREFIX + 1  # prefixes in a window
 PIECE = 1 << 18
+#: Text in a slice; each slice sends a run to each part.
+SLICE = 4 << 20
 #: Prefixes that one part may hold: its fingerprints take four bytes each.
 PART_PREFIXES = 500_000
 _PLACE = U64((1 << 24) - 1)
@@ -326,7 +328,7 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column = batch.column("doc_id")
         named = column.is_valid().to_numpy(zero_copy_only=False)
         ids = column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        for first, end, raw, offsets in slices(batch):
+        for first, end, raw, offsets in slices(batch, budget=SLICE):
             blob = pack(ids[first:end], named[first:end], offsets.astype(np.int64), raw)
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(raw)], pa.int64()), pa.array([blob], pa.binary())], ["slice", "size", "blob"])
             number += 1
