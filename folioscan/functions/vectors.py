@@ -24,9 +24,13 @@ def norm(v: Column) -> Column:
 
 
 def normalised(v: Column) -> Column:
-    """The vector over its length, which counts as NORM_FLOOR at least."""
+    """The vector over its length, which counts as NORM_FLOOR at least.
+
+    The length is bound by an outer lambda; named inside the inner one, it would be worked out
+    again for every component.
+    """
     length = F.greatest(norm(v), F.lit(NORM_FLOOR))
-    return F.transform(v, lambda x: x / length)
+    return F.get(F.transform(F.array(length), lambda n: F.transform(v, lambda x: x / n)), 0)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -46,6 +50,6 @@ def hashed_postings(rows: DataFrame, key: str, text: str, dim: int) -> DataFrame
 def hashed_vectors(rows: DataFrame, key: str, text: str, dim: int) -> DataFrame:
     """key, buckets, weights: sparse vectors of unit length; texts without words have none."""
     one = F.struct("bucket", "tf")
-    listed = hashed_postings(rows, key, text, dim).groupBy(key).agg(F.sort_array(F.collect_list(one)).alias("p"))
-    length = F.sqrt(F.aggregate("p", F.lit(0.0), lambda s, x: s + x["tf"].cast("double") * x["tf"]))
-    return listed.select(key, F.col("p.bucket").alias("buckets"), F.transform("p", lambda x: x["tf"] / F.greatest(length, F.lit(NORM_FLOOR))).alias("weights"))
+    length = F.greatest(F.sqrt(F.sum(F.col("tf").cast("double") * F.col("tf"))), F.lit(NORM_FLOOR))
+    listed = hashed_postings(rows, key, text, dim).groupBy(key).agg(F.sort_array(F.collect_list(one)).alias("p"), length.alias("length"))
+    return listed.select(key, F.col("p.bucket").alias("buckets"), F.transform("p", lambda x: x["tf"] / F.col("length")).alias("weights"))
