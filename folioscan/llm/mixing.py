@@ -1,18 +1,19 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
-Every source has a target in words. The mix is made of equal blocks of words: whole blocks are
-given to sources, and inside a source to its shards, one by one to the highest quotient
-weight / (2 * seats + 1), so every quota is an integer and quotas sum to what is shared. A shard's
-documents in seeded order are a stream of words cut into blocks; its quota is met by reading the
-stream in full as often as the quota allows and then taking blocks in an order given by the seed.
+Every source has a target in words. The words of the mix are given to the sources one by one, each
+to the highest quotient weight / (2 * words + 1), so every quota is an integer and quotas sum to
+what is shared. A source's documents in seeded order are one stream of words, cut into equal blocks
+(the last one may be shorter); its quota is met by reading the stream in full as often as the quota
+allows, then taking blocks in an order given by the seed and the beginning of one block more.
 
 Sizes: a document's size is its number of words. A source's target stops at ``epochs`` times its
 size, and what it can't take is shared among the others by weight. A source that stops takes
-everything it has ``epochs`` times. Otherwise a block is read ``epochs`` times at most, and so is
+everything it has ``epochs`` times. Otherwise a word is read ``epochs`` times at most, and so is
 a document.
 
-The driver holds one row per source and shard; the number of shards falls as the number of
-sources rises, to ``CELLS`` rows in all (one per source at least).
+A stream is summed up in shards, and a shard begins where the one before it ends; blocks take no
+notice of shards. The driver holds one row per source and shard; the number of shards falls as the
+number of sources rises, to ``CELLS`` rows in all (one per source at least).
 
 Defined cases: a null text has no words; null is a source of its own, the last in order; documents
 without words take nothing; repeated rows are rows of their own, equal rows are interchangeable;
@@ -24,6 +25,7 @@ from __future__ import annotations
 import heapq
 from math import gcd
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code point order, repeated.
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
-#: Blocks in the whole mix, and rows that the driver may hold.
+#: Blocks in the whole mix, which set how finely a stream is read, and rows that the driver may hold.
 BLOCKS = 1 << 18
 CELLS = 1 << 17
 SEED = 20240611
@@ -58,10 +60,10 @@ def targets(sizes: list[int], weights: list[float], epochs: int = EPOCHS) -> lis
 
 def apportion(weights: list[float], seats: int, limits: list[int]) -> list[int]:
     """Sainte-Lague: each seat to the highest weight / (2 * held + 1) that is below its limit; ties to the earlier."""
-    held = [0] * len(weights)
-    heap = [(-w, i) for i, w in enumerate(weights) if w > 0 and limits[i] > 0]
+    held = _sure(weights, seats, limits)
+    heap = [(-w / (2 * held[i] + 1), i) for i, w in enumerate(weights) if w > 0 and held[i] < limits[i]]
     heapq.heapify(heap)
-    for _ in range(seats):
+    for _ in range(seats - sum(held)):
         if not heap:
             break
         _, i = heap[0]
@@ -73,6 +75,22 @@ def apportion(weights: list[float], seats: int, limits: list[int]) -> list[int]:
     return held
 
 
+def _sure(weights: list[float], seats: int, limits: list[int]) -> list[int]:
+    """Seats that each one has in any case: those above a quotient that at most ``seats`` reach, less two for rounding."""
+    w, most = np.array(weights, np.float64), np.array(limits, np.int64)
+    if not (w > 0).any():
+        return [0] * len(weights)
+
+    def above(quotient: float) -> np.ndarray:
+        return np.minimum(np.floor((w / quotient + 1) / 2), most).astype(np.int64)
+
+    low, high = float(w.max()) / (2 * seats + 3), 2 * float(w.max())
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (low, middle) if above(middle).sum() <= seats else (middle, high)
+    return np.maximum(above(high) - 2, 0).tolist()
+
+
 def _step(blocks: int, seed: int) -> int:
     """A step that walks through all of 0..blocks-1."""
     step = seed % max(1, blocks) or 1
@@ -82,26 +100,28 @@ def _step(blocks: int, seed: int) -> int:
 
 
 def _plan(cells: list[tuple], names: list, goal: dict, sizes: dict, seed: int) -> tuple[list[tuple], int]:
-    """A row per cell: source, cell, full readings, blocks of the stream, blocks to take, step, start."""
-    total = sum(sizes.values())
-    block = max(1, total // BLOCKS)
+    """A row per cell: source, cell, its place in the source's stream, and for the source full readings, blocks of the stream, blocks to take, words of one block more, step, start."""
+    block = max(1, sum(sizes.values()) // BLOCKS)
     capped = {s for s in names if goal[s] >= EPOCHS * sizes[s]}
     shared = [s for s in names if s not in capped]
-    seats = round(sum(goal[s] for s in shared) / block)
+    quota = dict(zip(shared, apportion([goal[s] for s in shared], round(sum(goal[s] for s in shared)), [EPOCHS * sizes[s] for s in shared]), strict=True))
+    how = {}
+    for k, source in enumerate(names):
+        full, rest = (EPOCHS, 0) if source in capped else divmod(quota[source], sizes[source])
+        blocks = max(1, -(-sizes[source] // block))
+        step, start = _step(blocks, seed + 7919 * k), (seed + k) % blocks
+        short = blocks * block - sizes[source]  # what the last block lacks
+        turn = ((blocks - 1) * step + start) % blocks
+        how[source] = (full, blocks, *divmod(rest if rest < (turn + 1) * block - short else rest + short, block), step, start)
     by_source: dict = {s: [] for s in names}
     for source, cell, words in cells:
         by_source[source].append((cell, words))
-    quota = dict(zip(shared, apportion([goal[s] for s in shared], seats, [sum(EPOCHS * (w // block) for _, w in by_source[s]) for s in shared]), strict=True))
     rows = []
     for source, own in by_source.items():
-        own.sort()
-        if source in capped:
-            rows += [(source, cell, EPOCHS, words, 0, 1, 0) for cell, words in own]
-            continue
-        for (cell, words), q in zip(own, apportion([w for _, w in own], quota[source], [EPOCHS * (w // block) for _, w in own]), strict=True):
-            whole = words // block
-            full = q // whole if whole else 0
-            rows.append((source, cell, full, whole, q - full * whole, _step(whole, seed + 7919 * cell), (seed + cell) % max(1, whole)))
+        base = 0
+        for cell, words in sorted(own):
+            rows.append((source, cell, base, *how[source]))
+            base += words
     return rows, block
 
 
@@ -123,20 +143,20 @@ def mixed(spark, narrow: DataFrame, seed: int = SEED) -> DataFrame:
     keyed = narrow.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("_cell", F.pmod("_order", F.lit(shards)).cast("int"))
     cells = [(r["source"], r["_cell"], r["size"]) for r in keyed.groupBy("source", "_cell").agg(F.sum("size").alias("size")).collect()]
     plan, block = _plan(cells, names, goal, sizes, seed)
-    quotas = spark.createDataFrame([(*row, sizes[row[0]], goal[row[0]]) for row in plan], "q_source string, q_cell int, full long, whole long, extra long, step long, start long, source_size long, target double")
+    quotas = spark.createDataFrame([(*row, sizes[row[0]], goal[row[0]]) for row in plan], "q_source string, q_cell int, base long, full long, blocks long, extra long, part long, step long, start long, source_size long, target double")
     window = Window.partitionBy("source", "_cell").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     streamed = keyed.withColumn("_end", F.sum("size").over(window)).join(quotas, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("_cell") == F.col("q_cell")))
-    begin, end = F.col("_end") - F.col("size"), F.col("_end")
+    end = F.col("base") + F.col("_end")
+    begin = end - F.col("size")
     first, last = F.floor(begin / block).cast("long"), F.floor((end - 1) / block).cast("long")
 
-    def part(total, j):
-        chosen = (j < F.col("whole")) & (F.pmod(j * F.col("step") + F.col("start"), F.greatest(F.col("whole"), F.lit(1))) < F.col("extra"))
-        return total + F.when(chosen, F.least(end, (j + 1) * block) - F.greatest(begin, j * block)).otherwise(0)
+    def read(total, j):
+        turn = F.pmod(j * F.col("step") + F.col("start"), F.col("blocks"))
+        words = F.when(turn < F.col("extra"), F.lit(block)).when(turn == F.col("extra"), F.col("part")).otherwise(0)
+        return total + F.greatest(F.lit(0), F.least(end, j * block + words) - F.greatest(begin, j * block))
 
-    picked = F.when((F.col("size") > 0) & (F.col("extra") > 0), F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), part)).otherwise(F.lit(0))
-    # whole blocks only: the words behind a stream's last whole block aren't read, unless the source takes everything
-    covered = F.greatest(F.lit(0), F.least(end, F.col("whole") * block) - begin)
-    taken = (F.col("full") * covered + picked).cast("long")
+    picked = F.when((F.col("size") > 0) & (F.col("extra") + F.col("part") > 0), F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), read)).otherwise(F.lit(0))
+    taken = (F.col("full") * F.col("size") + picked).cast("long")
     kept = [c for c in narrow.columns if c not in ("source_size", "target", "taken")]
     return streamed.withColumn("taken", taken).select(*kept, "source_size", "target", "taken")
 

@@ -102,3 +102,32 @@ def test_mixed_documents_repeat_up_to_three_times(spark):
     counts = mixing.mixed_documents(docs).groupBy("doc_id").count().collect()
     assert {r["count"] for r in counts if r["doc_id"] < 5} == {3}
     assert mixing.mixed_documents(docs).columns == docs.columns
+
+
+def test_sources_smaller_than_a_block_meet_their_targets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCKS", 16)
+    rows = []
+    for i in range(4000):
+        source = "a" if i % 100 < 60 else "b" if i % 100 < 90 else "c" if i % 100 < 95 else "d"
+        rows.append((i, "w " * (1 + i % 23), "en", source, 0, 1))
+    rows += [(9000 + i, "x y z", "en", f"e{i}", 0, 1) for i in range(6)]
+    got = mixing.op9_sainte_lague(spark.createDataFrame(rows, DOCS)).toPandas()
+    assert (got.taken <= 3 * got["size"]).all() and (got.taken >= 0).all() and got.taken.sum() == got["size"].sum()
+    source = {r[0]: r[3] for r in rows}
+    for name, own in got.groupby(got.doc_id.map(source)):
+        assert abs(own.taken.sum() - own.target.iloc[0]) < 1, name
+
+
+def test_many_seats_are_dealt_as_one_by_one():
+    def slowly(weights, seats, limits):
+        held = [0] * len(weights)
+        for _ in range(seats):
+            open_ = [i for i, w in enumerate(weights) if w > 0 and held[i] < limits[i]]
+            if open_:
+                held[max(open_, key=lambda i: (weights[i] / (2 * held[i] + 1), -i))] += 1
+        return held
+
+    r = np.random.default_rng(5)
+    for _ in range(40):
+        weights, limits, seats = r.integers(0, 60, 6).tolist(), r.integers(0, 200, 6).tolist(), int(r.integers(0, 700))
+        assert mixing.apportion(weights, seats, limits) == slowly(weights, seats, limits)
