@@ -4,8 +4,8 @@ A gear hash rolls over a text's UTF-8 bytes; its value at a byte depends on the
 to it alone. A chunk ends where ``BITS`` bits of the hash are zero, not before ``LEAST`` bytes and
 not after ``MOST``, so an insertion moves the ends near it only and equal passages fall into equal
 chunks again. A chunk is known by a 128-bit digest. A chunk that also occurs in a document with a
-smaller doc_id is a repeat; runs of neighbouring repeats of ``RUN`` bytes or more are removed, and so is a
-document all of whose chunks repeat. Shorter runs stay: they are chance matches.
+smaller doc_id is a repeat, and every repeat is removed. A repeated passage goes as far as it is cut
+into whole chunks: what lies before its first and behind its last chunk end stays.
 
 A digest's first document is found by a pre-aggregated minimum; occurrences meet the repeated
 digests in a join whose hot keys Spark splits, as only one row stands on the other side.
@@ -32,7 +32,6 @@ from .common import staged
 WINDOW = 32
 LEAST, MOST = 32, 256
 BITS = 5
-RUN = 96
 #: Pseudo-random 32-bit numbers, one for each byte.
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)) >> U64(32)).astype(np.uint32)
 _MASK = np.uint32(((1 << BITS) - 1) << 24)
@@ -96,31 +95,19 @@ def chunk_table(docs: DataFrame) -> DataFrame:
     return own.mapInArrow(_chunked, "doc_id long, begin int, end int, a long, b long")
 
 
-def repeated_spans(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """doc_id, spans, n_repeats: what is removed from each document that holds repeats."""
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, spans: what is removed from each document that holds repeats."""
     chunks = staged(chunk_table(docs), "chunks")
     known = chunks.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("a", "b", "first")
     repeats = chunks.join(known, ["a", "b"]).filter("doc_id > first").select("doc_id", "begin", "end")
-    own = cut.collected(repeats).join(chunks.groupBy("doc_id").agg(F.max("end").cast("long").alias("size")), "doc_id")
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, counts = [], []
-            for spans, size in zip(batch.column("spans").to_pylist(), batch.column("size").to_pylist(), strict=True):
-                whole = cut.merged([(s["begin"], s["end"]) for s in spans])
-                found.append([{"begin": a, "end": b} for a, b in whole if b - a >= run or b - a == size])
-                counts.append(len(spans))
-            kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind), pa.array(counts, pa.int64())], ["doc_id", "spans", "n_repeats"])
-
-    return own.mapInArrow(runs, f"doc_id long, spans {cut.SPAN}, n_repeats long")
+    return cut.collected(repeats)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, text of each document without its repeated chunks."""
-    return cut.kept_text(cut.with_spans(docs, repeated_spans(docs).drop("n_repeats")))
+    return cut.kept_text(cut.with_spans(docs, repeated_spans(docs)))
 
 
 def op8_gear_chunks(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return cut.report(cut.with_spans(docs, repeated_spans(docs).drop("n_repeats")))
+    return cut.report(cut.with_spans(docs, repeated_spans(docs)))

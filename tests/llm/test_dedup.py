@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from itertools import pairwise
 
 import numpy as np
 import pytest
@@ -176,3 +177,17 @@ def test_repeated_passages_go_and_the_rest_stays(spark):
     kept = {x["doc_id"]: x["text"] for x in chunks.remove_repeats(frame(spark, docs)).collect()}
     assert hashlib.sha256(kept[51].encode()).hexdigest() == got[51]["kept_sha256"] and kept[61] == ""
     assert chunks.op8_gear_chunks(frame(spark, [])).count() == 0
+
+
+def test_every_repeated_chunk_goes_however_short(spark):
+    r = random.Random(21)
+    line = prose(r, 400)
+    line = line[slice(*next((b, e) for b, e in pairwise([0, *chunks.boundaries((np.flatnonzero((chunks.gear_hashes(np.frombuffer(line.encode(), np.uint8)) & chunks._MASK) == 0) + 1).tolist(), len(line))]) if 0 < b and e - b < 90))]
+    docs = [(i, line + prose(r, 40)) for i in range(12)]
+    got = {x["doc_id"]: x for x in chunks.op8_gear_chunks(frame(spark, docs)).collect()}
+    table = chunks.chunk_table(frame(spark, docs)).collect()
+    first = {}
+    for x in table:
+        first[x["a"], x["b"]] = min(x["doc_id"], first.get((x["a"], x["b"]), x["doc_id"]))
+    want = {i: sum(x["end"] - x["begin"] for x in table if x["doc_id"] == i and first[x["a"], x["b"]] < i) for i, _ in docs}
+    assert {i: got[i]["n_removed"] for i in got} == want and want[0] == 0 and all(want[i] == len(line) for i in range(1, 12))
