@@ -5,7 +5,8 @@ look-alike digits and signs, letters repeated, letters set apart by spaces or do
 for every character, the letters it may stand for; the Viterbi algorithm finds the reading of the
 highest channel times language-model probability. The language model is an interpolated trigram
 over folded characters; its counts come from all documents. Repeats give readings of their own
-(the run kept, two letters, one letter), and so does setting apart (joined or left as it is).
+(the run kept, two letters, one letter). Between letters set apart, every separator is dropped or
+kept as a word's end. Pieces end at signs that stand for no letter and may have any length.
 
 Scoring. Features of the restored text are its words and their first 4, 5 and 6 bytes. Log-odds of
 a feature come from at most ``SAMPLE`` toxic and as many other labelled documents, those that share
@@ -40,7 +41,8 @@ CANDIDATES = 200_000
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "+": "t", "|": "il"}
 #: Channel: probability that a sign stands for a letter, of each dropped repeat, of each dropped separator.
 SWAP, REPEAT, APART = 0.3, 0.3, 0.3
-LONGEST = 40
+#: Characters of a piece whose reading is kept for the next time.
+CACHED = 40
 
 _LETTER = np.zeros(256, bool)
 _LETTER[ord("a") : ord("z") + 1] = _LETTER[ord("A") : ord("Z") + 1] = True
@@ -83,13 +85,24 @@ class Model:
         p2 = (c2 + 5 * p1) / (c2.sum(axis=1, keepdims=True) + 5)
         p3 = (c3 + 5 * p2) / (c3.sum(axis=2, keepdims=True) + 5)
         self.log = np.log(p3).tolist()
-        self.read = lru_cache(maxsize=200_000)(self._read)
+        self._cached = lru_cache(maxsize=200_000)(self._read)
 
-    def _viterbi(self, word: str) -> tuple[float, str]:
-        """The best reading of one piece and its log-probability, boundaries on either side."""
-        states = {(0, 0): (0.0, "")}
+    def read(self, piece: str) -> str:
+        """The restored form of a piece of lower-case text."""
+        return self._cached(piece) if len(piece) <= CACHED else self._read(piece)
+
+    def _viterbi(self, word: str, joint: float | None = None) -> tuple[float, str]:
+        """The best reading of one piece and its log-probability, boundaries on either side.
+
+        ``joint``: the letters are set apart; joining two costs so much, and a word may end between any two.
+        """
+        states: dict = {(0, 0): (0.0, None)}
         swap, plain = log(SWAP), log(1 - SWAP)
-        for ch in word:
+        for i, ch in enumerate(word):
+            if i and joint is not None:
+                ended = max(((score + self.log[a][b][0], text) for (a, b), (score, text) in states.items()), key=lambda x: x[0])
+                states = {k: (score + joint, text) for k, (score, text) in states.items()}
+                states[0, 0] = ended[0], (ended[1], " ")
             options = [(ch, plain if ch in LOOKALIKES else 0.0)] + [(c, swap) for c in LOOKALIKES.get(ch, "")]
             after: dict = {}
             for c, cost in options:
@@ -97,35 +110,35 @@ class Model:
                 for (a, b), (score, text) in states.items():
                     s = score + cost + self.log[a][b][k]
                     if (b, k) not in after or s > after[b, k][0]:
-                        after[b, k] = s, text + c
+                        after[b, k] = s, (text, c)
             states = after
-        return max((score + self.log[a][b][0], text) for (a, b), (score, text) in states.items())
+        return max((score + self.log[a][b][0], _spelled(text)) for (a, b), (score, text) in states.items())
 
     def _read(self, piece: str) -> str:
         """The restored form of a piece of lower-case text."""
         apart = len(piece) > 2 and all(c in " ._-*" for c in piece[1::2]) and all(c not in " ._-*" for c in piece[::2])
-        forms = [(piece[::2], log(APART) * (len(piece) // 2) * 0.2)] if apart else [(piece, 0.0)]
+        form = piece[::2] if apart else piece
+        joint = log(APART) * 0.2 if apart else None
         best = None
-        for form, cost in forms:
-            for word, dropped in _collapsed(form):
-                score, text = self._viterbi(word)
-                score += cost + dropped
-                if best is None or score > best[0]:
-                    best = score, text
-        if apart:
-            # the first or the last letter may be a word of its own
-            for head, rest in ((piece[0], piece[2::2]), (piece[-1], piece[:-2:2])):
-                if len(rest) > 2:
-                    score, text = self._viterbi(rest)
-                    score += self._viterbi(head)[0] + log(APART) * (len(rest) - 1) * 0.2
-                    if score > best[0]:
-                        best = score, f"{head} {text}" if rest == piece[2::2] else f"{text} {head}"
-            left = sum(self._viterbi(c)[0] for c in piece[::2])
-            if left > best[0]:
-                return piece
+        for word, dropped in _collapsed(form):
+            score, text = self._viterbi(word, joint)
+            score += dropped + (joint or 0.0) * (len(form) - len(word))
+            if best is None or score > best[0]:
+                best = score, text
+        if apart and all(len(w) == 1 for w in best[1].split(" ")):
+            return piece
         return best[1]
 
 
+def _spelled(text: tuple | None) -> str:
+    """The characters of a chain of (chain before, character)."""
+    out = []
+    while text is not None:
+        text, c = text
+        out.append(c)
+    return "".join(reversed(out))
+
+
 def _symbol(c: str) -> int:
     return int(SYMBOL[ord(c)]) if ord(c) < 128 else 37
 
@@ -148,6 +161,18 @@ def _collapsed(word: str) -> list[tuple[str, float]]:
     return out
 
 
+def _foreign_signs(raw: np.ndarray) -> np.ndarray:
+    """Bytes of spaces, dashes, quotes and other punctuation outside ASCII; marks of no width aren't among them."""
+    out = np.zeros(len(raw), bool)
+    if len(raw) > 2 and (raw >= 128).any():
+        a, b, c = raw[:-2], raw[1:-1], raw[2:]
+        three = (a == 0xE2) & (((b == 0x80) & ((c < 0x8B) | (c > 0x8D))) | ((b == 0x81) & (c < 0xA0))) | (a == 0xE3) & (b == 0x80) & (c <= 0x83)
+        two = (raw[:-1] == 0xC2) & ~np.isin(raw[1:], np.array([0xAA, 0xAD, 0xB5, 0xBA], np.uint8))
+        for k, found in ((0, three), (1, three), (2, three), (0, two), (1, two)):
+            out[k : k + len(found)] |= found
+    return out
+
+
 def suspicious(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
     """(text index, start, end) of the pieces worth reading: look-alikes beside letters, runs, letters set apart."""
     n = len(raw)
@@ -162,12 +187,11 @@ def suspicious(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int
     triple[:-2] = (raw[:-2] == raw[1:-1]) & (raw[1:-1] == raw[2:])
     mark[1:] |= closing[1:] & letter[:-1] & ~triple[1:]
     mark[:-2] |= letter[:-2] & (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:])
-    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    text, start, end = edges(~space, offsets)
+    text, start, end = edges(((low != 0) | sign) & ~_foreign_signs(raw), offsets)
     out = []
     if len(text):
         marks = np.concatenate([[0], np.cumsum(mark)])
-        for i in np.flatnonzero((marks[end] > marks[start]) & (end - start <= LONGEST)).tolist():
+        for i in np.flatnonzero(marks[end] > marks[start]).tolist():
             out.append((int(text[i]), int(start[i]), int(end[i])))
     # single letters with one separator between each two, three or more in a row
     single_text, s, e = edges(letter | sign | (raw >= 128), offsets)
@@ -207,7 +231,7 @@ def restored_words(model: Model, raw: np.ndarray, offsets: np.ndarray) -> tuple[
 
 def _hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, feature) of the words and the word beginnings."""
-    folded = FOLD[raw]
+    folded = np.where(_foreign_signs(raw), 0, FOLD[raw]).astype(np.uint8)
     text, start, end = edges(folded != 0, offsets)
     codes = _BYTE_CODE[folded]
     texts, starts, found = [text], [start], [span_hashes(codes, start, end)]
@@ -271,7 +295,7 @@ def _held_model(spark, counts_or_model: Model):
 def _model_of(held) -> Model:
     model = Model.__new__(Model)
     model.log = held.value.tolist()
-    model.read = lru_cache(maxsize=200_000)(model._read)
+    model._cached = lru_cache(maxsize=200_000)(model._read)
     return model
 
 
@@ -312,7 +336,7 @@ def _evidence(held, names: np.ndarray, weights: np.ndarray):
         at = np.minimum(np.searchsorted(names, feature), len(names) - 1)
         good = names[at] == feature
         pair = np.unique(text[good].astype(np.int64) * len(names) + at[good])
-        return np.bincount(pair // len(names), weights=weights[pair % len(names)], minlength=n)
+        return np.bincount(pair // len(names), weights=weights[pair % len(names)], minlength=n).astype(np.float64)  # of nothing it makes integers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model_of(held)

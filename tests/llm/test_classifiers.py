@@ -117,3 +117,26 @@ def test_word_kernels_stay_inside_their_text():
     owner, item = shingles(raw, offsets)
     assert owner.tolist() == [0, 1, 3, 3]
     assert expanded(owner, item)[2].tolist() == [1, 1, 2]
+
+
+@pytest.mark.parametrize(
+    ("noisy", "plain"),
+    [
+        ("st" + "u" * 60 + "pid", "stupid"),
+        ("st00pid,1d10t,m0r0n,cl0wn,l0s3r,w0rthl3ss,st00pid", "stoopid,idiot,moron,clown,loser,worthless,stoopid"),
+        ("a/m0r0n\u00a0cl0wn\u20141d10t-l0s3r/w0rthl3ss;m0r0n", "a/moron\u00a0clown\u2014idiot-loser/worthless;moron"),
+        ("y o u a r e a n i d i o t", "you are an idiot"),
+        ("x" + "0a" * 30000, None),
+    ],
+)
+def test_restoring_long_and_glued_pieces(model, noisy, plain):
+    form = toxicity.restore(model, noisy)
+    assert form == plain if plain else len(form) == len(noisy)
+
+
+def test_words_behind_foreign_signs_are_scored(model):
+    def found(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return set(toxicity.text_features(model, raw, np.array([0, len(raw)]))[1].tolist())
+
+    assert found("cl0wn\u00a0idiot, you") == found("clown idiot you")
