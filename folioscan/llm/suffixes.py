@@ -148,8 +148,8 @@ class Slice:
 
     def fingerprints(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash, low 32 bits, whether several documents of the slice have it) of the distinct prefixes."""
-        ends = np.append(self.starts[1:], len(self.hashes)) - 1
-        several = self.ids[self.text[self.starts]] != self.ids[self.text[ends]] if len(self.starts) else np.zeros(0, bool)
+        ids = self.ids[self.text]
+        several = np.minimum.reduceat(ids, self.starts) != np.maximum.reduceat(ids, self.starts) if len(self.starts) else np.zeros(0, bool)
         h = self.hashes[self.starts]
         return h, (h & U64(0xFFFFFFFF)).astype(np.uint32), several
 

@@ -191,3 +191,12 @@ def test_every_repeated_chunk_goes_however_short(spark):
         first[x["a"], x["b"]] = min(x["doc_id"], first.get((x["a"], x["b"]), x["doc_id"]))
     want = {i: sum(x["end"] - x["begin"] for x in table if x["doc_id"] == i and first[x["a"], x["b"]] < i) for i, _ in docs}
     assert {i: got[i]["n_removed"] for i in got} == want and want[0] == 0 and all(want[i] == len(line) for i in range(1, 12))
+
+
+def test_suffix_dedup_with_an_id_on_both_sides_of_another(spark):
+    r = random.Random(3)
+    passage = prose(r, 40)
+    docs = [(1, passage), (2, prose(r, 9) + " " + passage), (1, passage)]
+    rows = spark.createDataFrame([(*d, "clash", 1) for d in docs], DOCS).coalesce(1)
+    got = {(x["doc_id"], x["n_removed"] >= len(passage)) for x in suffixes.op4_suffix_merge(rows).collect()}
+    assert got == {(1, False), (2, True)}
