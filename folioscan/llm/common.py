@@ -50,14 +50,14 @@ def held_out(doc_id: str, modulus: int, remainder: int):
     return F.crc32(F.col(doc_id).cast("string")) % modulus == remainder
 
 
-def bounded_sample(rows: DataFrame, size: int, salt: int) -> DataFrame:
-    """At most ``size`` rows, chosen by a hash of their doc_id; for fitting a classifier.
+def bounded_ids(rows: DataFrame, size: int, salt: int) -> DataFrame:
+    """At most ``size`` distinct doc_ids of ``rows``, chosen by a hash of them; for fitting a classifier.
 
-    A share of the rows is taken first, half as many again as wanted, so that no task gathers
+    A share of the ids is taken first, half as many again as wanted, so that no task gathers
     ``size`` rows from every other one.
     """
     order = F.xxhash64("doc_id", F.lit(salt))
     total = rows.count()
     if total > 2 * size:
         rows = rows.filter(F.pmod(order, F.lit(1 << 30)) < int((1 << 30) * 1.5 * size / total))
-    return rows.orderBy(order, "doc_id").limit(size)
+    return rows.select("doc_id").distinct().orderBy(order, "doc_id").limit(size)

@@ -5,15 +5,22 @@ risk: prior * E_p[loss(+f)] + max(0, E_u[loss(-f)] - prior * E_p[loss(-f)]) for
 logistic loss, minimised by Adam; where the second term is negative, its gradient is reversed.
 
 Inputs of f are shares of byte-class pairs in a text, and how much of it is repeated lines and
-words that follow themselves; ids,
-languages and sources take no part. Features of all documents are written once and serve training,
-the prior and scoring. The prior is the least ratio, over thresholds, of unlabelled to positive
-documents above it by a first classifier; its counts cover all documents. The fit uses at most
-``SAMPLE`` positives and as many unlabelled documents, chosen by a hash of their id.
-
-Defined cases: null and empty texts have features of 0 and get a score; a label that is null or
-contradicted by another row takes no part; repeated rows are scored alike; without labels every
-score is 0.5; a null doc_id is scored and is not held out; an empty table gives no rows.
+words that follow themselves; ids, languages and sources take no part. They are scaled by the
+distance of quantiles, which a few odd texts don't move.
+
+The prior is a ratio of the unlabelled to the positive documents above a threshold. Documents fall
+into two halves by a hash of their id, and a first classifier fitted on either half scores the
+other one, so that no document's score comes from itself. The threshold is the one where the ratio
+with an allowance for chance is least; the prior is the ratio there, without that allowance. These
+counts cover all documents. The fits use at most ``SAMPLE`` positives and as many unlabelled
+documents, chosen by a hash of their id.
+
+Defined cases: null and empty texts have features of 0 and get a score; very long texts count as a
+whole, whatever a slice holds; a label that is null or contradicted by another row takes no part;
+repeated rows are scored alike; rows that share an id are scored by their own texts, and only one of
+them may serve for fitting; without positives or without unlabelled documents every score is 0.5; a
+row with a null doc_id is scored, is not held out and doesn't serve for fitting; an empty table
+gives no rows; other columns are ignored, and ``accepted`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,10 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import edges, slices, span_hashes
-from .common import bounded_sample, held_out, staged
+from .common import bounded_ids, held_out, staged
 
 SAMPLE = 6000
 BINS = 400
+#: What is added to a feature's spread before it divides, and the weight decay of the fit.
+FLOOR, DECAY = 0.005, 1e-3
 _CLASSES = 20
 
 
@@ -107,7 +116,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.05, decay: float = DECAY) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk."""
     d = positive.shape[1]
     theta = np.zeros(d + 1)
@@ -130,25 +139,52 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds:
 
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The least ratio of the unlabelled to the positive share above a threshold; arguments are histograms by score.
+    """The ratio of the unlabelled to the positive share above a threshold; arguments are histograms by score.
 
-    The least of many noisy ratios is too small; the spread of either share is added for that.
+    The threshold is where the ratio and its allowance for chance are least together.
     """
-    p = np.cumsum(positive[::-1]) / max(1, positive.sum())
-    u = np.cumsum(unlabelled[::-1]) / max(1, unlabelled.sum())
-    wide = p >= 0.5
-    if not wide.any() or not unlabelled.sum():
+    n_p, n_u = positive.sum(), unlabelled.sum()
+    if not n_p or not n_u:
         return 0.5
-    spread = positive.sum() ** -0.5 + unlabelled.sum() ** -0.5
-    return float(np.clip(((u[wide] + spread) / p[wide]).min(), 0.02, 0.98))
+    p, u = np.cumsum(positive[::-1]) / n_p, np.cumsum(unlabelled[::-1]) / n_u
+    wide = np.flatnonzero(p >= 0.1)
+    allowance = np.sqrt(np.log(40) / 2) * (n_p**-0.5 + n_u**-0.5)
+    best = wide[np.argmin((u[wide] + allowance) / p[wide])]
+    return float(np.clip(u[best] / p[best], 0.02, 0.98))
 
 
-def _scored(weights: np.ndarray, bias: float):
+class Linear:
+    """Weights and bias for unscaled features."""
+
+    def __init__(self, weights: np.ndarray, bias: float, centre: np.ndarray, scale: np.ndarray) -> None:
+        self.weights = weights / scale
+        self.bias = bias - float(centre @ self.weights)
+
+    def __call__(self, rows: np.ndarray) -> np.ndarray:
+        return _sigmoid(rows @ self.weights + self.bias).astype(np.float64)
+
+
+def scaling(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and scale of each feature; 3.3 is the distance of these quantiles in a normal distribution."""
+    low, high = np.quantile(rows, [0.05, 0.95], axis=0)
+    return rows.mean(axis=0), (high - low) / 3.3 + FLOOR
+
+
+def _half(doc_id: str):
+    return F.pmod(F.xxhash64(doc_id, F.lit(23)), F.lit(2)).cast("int")
+
+
+def _scored(halves: list[Linear]):
+    """doc_id and score; ``halves`` has the classifier of each half, or one for all."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                score = _sigmoid(_matrix(batch.column("features")) @ weights + bias)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score.astype(np.float64))], ["doc_id", "score"])
+                rows = _matrix(batch.column("features"))
+                score = halves[0](rows)
+                if len(halves) == 2:
+                    score = np.where(batch.column("half").to_numpy() == 0, score, halves[1](rows))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], ["doc_id", "score"])
 
     return run
 
@@ -159,29 +195,46 @@ def trusted(labels: DataFrame, column: str, modulus: int, remainder: int) -> Dat
     return own.groupBy("doc_id").agg(F.min(column).alias("label"), F.max(column).alias("_high")).filter("label = _high").select("doc_id", "label")
 
 
+def _gathered(rows: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Features and halves of one row of each of a bounded number of ids."""
+    own = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("features").alias("features"))
+    own = own.select("features", _half("doc_id").alias("half"), "doc_id").toPandas().sort_values("doc_id")
+    return _matrix(own["features"]), own["half"].to_numpy()
+
+
+def fit(rows: DataFrame, labels: DataFrame, modulus: int, remainder: int, sample: int) -> Linear | None:
+    """The classifier for rows of doc_id, features; None if there is nothing to learn from."""
+    known = trusted(labels, "quality", modulus, remainder)
+    named = staged(rows.filter("doc_id is not null").select("doc_id").join(known, "doc_id", "left"), "named")
+    (p, p_half), (u, u_half) = (_gathered(rows, bounded_ids(named.filter(which), sample, 17)) for which in ("label = 1", "label is null"))
+    if len(p) == 0 or len(u) == 0:
+        return None
+    centre, scale = scaling(u)
+    p, u = (p - centre) / scale, (u - centre) / scale
+    halves = []
+    for k in (0, 1):
+        own_p, own_u = p[p_half != k], u[u_half != k]
+        if len(own_p) == 0 or len(own_u) == 0:
+            own_p, own_u = p, u
+        halves.append(Linear(*fit_nnpu(own_p, own_u, 0.5, rounds=150), centre, scale))
+    scored = rows.filter("doc_id is not null").select("doc_id", "features", _half("doc_id").alias("half")).mapInArrow(_scored(halves), "doc_id long, score double")
+    bins = F.least(F.lit(BINS - 1), F.floor(F.col("score") * BINS)).cast("int").alias("bin")
+    binned = scored.join(known, "doc_id", "left").groupBy(bins).agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label").isNull()).alias("u")).collect()
+    counts = np.zeros((2, BINS))
+    for r in binned:
+        counts[:, r["bin"]] = r["p"], r["u"]
+    return Linear(*fit_nnpu(p, u, estimate_prior(*counts)), centre, scale)
+
+
+def _features_of(docs: DataFrame) -> DataFrame:
+    return staged(docs.select("doc_id", "text").mapInArrow(_featured, "doc_id long, features binary"), "features")
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted of each document."""
-    rows = staged(docs.select("doc_id", "text").mapInArrow(_featured, "doc_id long, features binary"), "features")
-    known = trusted(labels, "quality", modulus, remainder)
-    marked = rows.join(known, "doc_id", "left")
-    chosen = staged(marked.select("doc_id", "features", "label"), "marked")
-    positive, unlabelled = (bounded_sample(chosen.filter(which), sample, 17).select("features").toPandas()["features"] for which in ("label = 1", "label is null"))
-    if len(positive) == 0 or len(unlabelled) == 0:
-        weights, bias = np.zeros(FEATURES), 0.0
-    else:
-        p, u = _matrix(positive), _matrix(unlabelled)
-        centre, scale = u.mean(axis=0), u.std(axis=0) + 0.02
-        p, u = (p - centre) / scale, (u - centre) / scale
-        first, shift = fit_nnpu(p, u, 0.5, rounds=150)
-        scored = chosen.select("doc_id", "features").mapInArrow(_scored(first / scale, shift - float(centre @ (first / scale))), "doc_id long, score double")
-        binned = scored.join(known, "doc_id", "left").groupBy(F.least(F.lit(BINS - 1), F.floor(F.col("score") * BINS)).cast("int").alias("bin")).agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label").isNull()).alias("u")).collect()
-        counts = np.zeros((2, BINS))
-        for r in binned:
-            counts[:, r["bin"]] = r["p"], r["u"]
-        weights, bias = fit_nnpu(p, u, estimate_prior(*counts))
-        weights = weights / scale
-        bias -= float(centre @ weights)
-    scored = rows.mapInArrow(_scored(weights, bias), "doc_id long, score double")
+    rows = _features_of(docs)
+    model = fit(rows, labels, modulus, remainder, sample)
+    scored = rows.select("doc_id", F.lit(0.5).alias("score")) if model is None else rows.mapInArrow(_scored([model]), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out("doc_id", modulus, remainder), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -189,8 +242,18 @@ def op3_pu_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score_quality(docs, labels)
 
 
-def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier does not reject."""
-    keep = score_quality(docs, labels).filter("predicted = 1").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(keep, "doc_id", "left_semi").select(docs.columns)
-    return named.union(docs.filter("doc_id is null"))
+def accepted(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1, sample: int = SAMPLE) -> DataFrame:
+    """The rows that the classifier does not reject, each by its own text."""
+    model = fit(_features_of(docs), labels, modulus, remainder, sample)
+    if model is None:
+        return docs
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([batch.column(at)], ["text"])
+            for first, end, raw, offsets in slices(texts):
+                rows = features(raw, offsets).astype(np.float16).astype(np.float32)
+                yield batch.slice(first, end - first).filter(pa.array(model(rows) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -1,26 +1,30 @@
 """Toxicity after noisy-channel deobfuscation.
 
-Restoring. A suspicious piece of text is read as a noisy copy of a plain word: letters replaced by
-look-alike digits and signs, letters repeated, letters set apart by spaces or dots. Its lattice has,
-for every character, the letters it may stand for; the Viterbi algorithm finds the reading of the
-highest channel times language-model probability. The language model is an interpolated trigram
-over folded characters; its counts come from all documents. Repeats give readings of their own
-(the run kept, two letters, one letter). Between letters set apart, every separator is dropped or
-kept as a word's end. Pieces end at signs that stand for no letter and may have any length.
+Restoring. A suspicious piece of text is read as a noisy copy of plain words: letters replaced by
+look-alike digits and signs, letters repeated, letters set apart by spaces or dots. Its lattice has
+arcs for the letters that a sign may stand for, for a run of one character kept, cut to two or cut
+to one (each run by itself; of runs of two only in pieces that hold a longer one), and for every
+gap between letters set apart, dropped or kept as a word's end. The Viterbi algorithm finds the
+reading of the highest channel times language-model probability, in time linear in the piece. The
+language model is an interpolated trigram over folded characters; its counts come from all
+documents. Pieces end at signs that stand for no letter and may have any length.
 
 Scoring. Features of the restored text are its words and their first 4, 5 and 6 bytes. Log-odds of
-a feature come from at most ``SAMPLE`` toxic and as many other labelled documents, those that share
-their smallest shingle hash (copies, as a rule) counting once; features that speak for toxicity
-with a z value of ``LEAST_Z`` or more count. A text's score is a logistic
-function of the sum of its distinct features' log-odds, fitted on the same rows.
+a feature come from at most ``SAMPLE`` toxic and as many other labelled documents; features in
+``LEAST_DOCUMENTS`` toxic ones or more that speak for toxicity with a z value of ``LEAST_Z`` or more
+count, however many they are. A text's score is a logistic function of the sum of its distinct
+features' log-odds, fitted on the same rows.
 
 Defined cases: null and empty texts get the score of a text without evidence; contradicting or
-null labels take no part; without a toxic label every score is next to 0; repeated rows are scored alike;
-a null doc_id is scored and is not held out; an empty table gives no rows. Texts are whole.
+null labels take no part; without a toxic label every score is next to 0; repeated rows are scored
+alike; rows that share an id are scored by their own texts, and one of them serves for fitting; a
+null doc_id is scored and is not held out; an empty table gives no rows; texts are read whole,
+however long; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from math import log
@@ -30,19 +34,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import _BYTE_CODE, FOLD, U64, edges, mix, shingles, slices, span_hashes
-from .common import bounded_sample, held_out
+from .bytetext import _BYTE_CODE, FOLD, U64, edges, mix, slices, span_hashes
+from .common import bounded_ids, held_out, staged
 from .quality import trusted
 
 SAMPLE = 8000
 LEAST_Z = 3.0
-CANDIDATES = 200_000
+LEAST_DOCUMENTS = 3
 #: The letters that a sign may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "+": "t", "|": "il"}
 #: Channel: probability that a sign stands for a letter, of each dropped repeat, of each dropped separator.
 SWAP, REPEAT, APART = 0.3, 0.3, 0.3
 #: Characters of a piece whose reading is kept for the next time.
 CACHED = 40
+_APART = re.compile(r"[^ ._*-](?:[ ._*-]+[^ ._*-]){2,}")
+_RUN = re.compile(r"(.)\1*", re.DOTALL)
 
 _LETTER = np.zeros(256, bool)
 _LETTER[ord("a") : ord("z") + 1] = _LETTER[ord("A") : ord("Z") + 1] = True
@@ -50,6 +56,8 @@ _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in LOOKALIKES]] = True
 _OPENING = np.zeros(256, bool)
 _OPENING[[ord(c) for c in "!|+"]] = True
+_GAP = np.zeros(256, bool)
+_GAP[[ord(c) for c in " ._-*"]] = True
 
 #: Symbols of the model: 0 a boundary, 1-26 letters, 27-36 digits, 37 any byte of a non-ASCII character.
 SYMBOLS = 38
@@ -91,14 +99,16 @@ class Model:
         """The restored form of a piece of lower-case text."""
         return self._cached(piece) if len(piece) <= CACHED else self._read(piece)
 
-    def _viterbi(self, word: str, joint: float | None = None) -> tuple[float, str]:
-        """The best reading of one piece and its log-probability, boundaries on either side.
+    def _viterbi(self, word: str, joint: float | None = None) -> str:
+        """The best reading of one piece, boundaries on either side.
 
         ``joint``: the letters are set apart; joining two costs so much, and a word may end between any two.
         """
+        runs = [(m[1], len(m[0])) for m in _RUN.finditer(word)]
+        stretched = any(n > 2 for _, n in runs)
         states: dict = {(0, 0): (0.0, None)}
-        swap, plain = log(SWAP), log(1 - SWAP)
-        for i, ch in enumerate(word):
+        swap, plain, repeat = log(SWAP), log(1 - SWAP), log(REPEAT)
+        for i, (ch, n) in enumerate(runs):
             if i and joint is not None:
                 ended = max(((score + self.log[a][b][0], text) for (a, b), (score, text) in states.items()), key=lambda x: x[0])
                 states = {k: (score + joint, text) for k, (score, text) in states.items()}
@@ -107,27 +117,24 @@ class Model:
             after: dict = {}
             for c, cost in options:
                 k = _symbol(c)
-                for (a, b), (score, text) in states.items():
-                    s = score + cost + self.log[a][b][k]
-                    if (b, k) not in after or s > after[b, k][0]:
-                        after[b, k] = s, (text, c)
+                for kept in {n, min(n, 2), 1} if stretched else {n}:
+                    spent = cost * kept + repeat * (n - kept)
+                    for (a, b), (score, text) in states.items():
+                        s, x, y = score + spent, a, b
+                        for _ in range(kept):
+                            s += self.log[x][y][k]
+                            x, y = y, k
+                        if (x, y) not in after or s > after[x, y][0]:
+                            after[x, y] = s, (text, c * kept)
             states = after
-        return max((score + self.log[a][b][0], _spelled(text)) for (a, b), (score, text) in states.items())
+        return _spelled(max(((score + self.log[a][b][0], text) for (a, b), (score, text) in states.items()), key=lambda x: x[0])[1])
 
     def _read(self, piece: str) -> str:
         """The restored form of a piece of lower-case text."""
-        apart = len(piece) > 2 and all(c in " ._-*" for c in piece[1::2]) and all(c not in " ._-*" for c in piece[::2])
-        form = piece[::2] if apart else piece
-        joint = log(APART) * 0.2 if apart else None
-        best = None
-        for word, dropped in _collapsed(form):
-            score, text = self._viterbi(word, joint)
-            score += dropped + (joint or 0.0) * (len(form) - len(word))
-            if best is None or score > best[0]:
-                best = score, text
-        if apart and all(len(w) == 1 for w in best[1].split(" ")):
-            return piece
-        return best[1]
+        if not _APART.fullmatch(piece):
+            return self._viterbi(piece)
+        form = self._viterbi("".join(c for c in piece if c not in " ._*-"), log(APART) * 0.2)
+        return piece if all(len(w) == 1 for w in form.split(" ")) else form
 
 
 def _spelled(text: tuple | None) -> str:
@@ -143,24 +150,6 @@ def _symbol(c: str) -> int:
     return int(SYMBOL[ord(c)]) if ord(c) < 128 else 37
 
 
-def _collapsed(word: str) -> list[tuple[str, float]]:
-    """The word with its runs of three or more letters kept, cut to two and cut to one."""
-    runs, at = [], 0
-    while at < len(word):
-        end = at
-        while end < len(word) and word[end] == word[at]:
-            end += 1
-        runs.append((word[at], end - at))
-        at = end
-    if all(n < 3 for _, n in runs):
-        return [(word, 0.0)]
-    out = [(word, 0.0)]
-    for most in (2, 1):
-        dropped = sum(n - most for _, n in runs if n >= 3)
-        out.append(("".join(c * (most if n >= 3 else n) for c, n in runs), log(REPEAT) * dropped))
-    return out
-
-
 def _foreign_signs(raw: np.ndarray) -> np.ndarray:
     """Bytes of spaces, dashes, quotes and other punctuation outside ASCII; marks of no width aren't among them."""
     out = np.zeros(len(raw), bool)
@@ -193,21 +182,14 @@ def suspicious(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int
         marks = np.concatenate([[0], np.cumsum(mark)])
         for i in np.flatnonzero(marks[end] > marks[start]).tolist():
             out.append((int(text[i]), int(start[i]), int(end[i])))
-    # single letters with one separator between each two, three or more in a row
+    # single letters with nothing but separators between each two, three or more in a row
     single_text, s, e = edges(letter | sign | (raw >= 128), offsets)
     one = (e - s == 1) & (letter[s] | (sign[s] & ~_OPENING[raw[s]]))
-    gap = np.zeros(len(s), bool)
     if len(s) > 1:
-        between = raw[np.minimum(s[:-1] + 1, n - 1)]
-        joint = np.isin(between, np.frombuffer(b" ._-*", np.uint8))
-        gap[:-1] = one[:-1] & one[1:] & (s[1:] - s[:-1] == 2) & joint & (single_text[1:] == single_text[:-1])
-    if gap.any():
-        mark_at = np.where(gap[:-1], between, 0)  # runs have one kind of separator
-        change = np.flatnonzero(mark_at[1:] != mark_at[:-1]) + 1
-        runs = np.concatenate([[0], change, [len(mark_at)]])
-        runs = [(a, b) for a, b in zip(runs[:-1].tolist(), runs[1:].tolist(), strict=True) if mark_at[a]]
-        first, last = [a for a, _ in runs], [b for _, b in runs]
-        out += [(int(single_text[a]), int(s[a]), int(e[b])) for a, b in zip(first, last, strict=True) if b - a >= 2]
+        gaps = np.concatenate([[0], np.cumsum(_GAP[raw])])
+        joined = one[:-1] & one[1:] & (gaps[s[1:]] - gaps[e[:-1]] == s[1:] - e[:-1]) & (s[1:] > e[:-1]) & (single_text[1:] == single_text[:-1])
+        change = np.flatnonzero(np.diff(joined.astype(np.int8), prepend=0, append=0)).tolist()
+        out += [(int(single_text[a]), int(s[a]), int(e[b])) for a, b in zip(change[::2], change[1::2], strict=True) if b - a >= 2]
     return out
 
 
@@ -299,23 +281,22 @@ def _model_of(held) -> Model:
     return model
 
 
-def _documents_with(held, only: np.ndarray | None):
-    """(feature, n): in how many texts a feature occurs; of ``only``, when given."""
+def _documents_with(held):
+    """(feature, toxic, clean): in how many texts of either label a feature occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model_of(held)
         for batch in batches:
+            label = batch.column("label").to_numpy()
             for first, end, raw, offsets in slices(batch):
                 text, feature = text_features(model, raw, offsets)
-                if only is not None:
-                    keep = only[np.minimum(np.searchsorted(only, feature), len(only) - 1)] == feature
-                    text, feature = text[keep], feature[keep]
                 order = np.lexsort((text, feature))
                 text, feature = text[order], feature[order]
                 new = np.ones(len(text), bool)
                 new[1:] = (text[1:] != text[:-1]) | (feature[1:] != feature[:-1])
-                names, n = np.unique(feature[new], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n.astype(np.int64))], ["feature", "n"])
+                names, at = np.unique(feature[new], return_inverse=True)
+                toxic = np.bincount(at, weights=label[first:end][text[new]], minlength=len(names)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(toxic), pa.array(np.bincount(at, minlength=len(names)) - toxic)], ["feature", "toxic", "clean"])
 
     return run
 
@@ -348,14 +329,6 @@ def _evidence(held, names: np.ndarray, weights: np.ndarray):
     return run
 
 
-def _smallest_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for first, end, raw, offsets in slices(batch):
-            low = np.full(end - first, (1 << 64) - 1, np.uint64)
-            np.minimum.at(low, *shingles(raw, offsets))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first), batch.column("label").slice(first, end - first), pa.array(low.view(np.int64))], ["doc_id", "label", "low"])
-
-
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and shift of P(y) = 1 / (1 + exp(-(slope * x + shift))), lightly held back."""
     a, b = 0.0, 0.0
@@ -369,37 +342,35 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a, b
 
 
+def _learned(docs: DataFrame, known: DataFrame, held, sample: int) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Features and their weights, slope and shift of the score, from a bounded number of labelled documents."""
+    nothing = np.zeros(0, np.uint64), np.zeros(0), 0.0, -40.0
+    ids = [(r["doc_id"], k) for k in (0, 1) for r in bounded_ids(known.filter(F.col("label") == k), sample, 29).collect()]
+    if not any(k for _, k in ids):
+        return nothing
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, label int"))  # 2 x sample ids at most
+    rows = staged(docs.join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text"), "sample")
+    size = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    counts = rows.mapInArrow(_documents_with(held), "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
+    odds = F.log(a / (size.get(1, 0) + 1)) - F.log(b / (size.get(0, 0) + 1))
+    strong = counts.filter(F.col("toxic") >= LEAST_DOCUMENTS).select("feature", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"))
+    strong = strong.filter((F.col("z") >= LEAST_Z) & (F.col("odds") >= log(4))).select("feature", "odds").toPandas()
+    names = strong["feature"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(names)
+    names, weights = names[order], strong["odds"].to_numpy(np.float64)[order]
+    told = rows.mapInArrow(_evidence(held, names, weights), "label int, evidence double").toPandas()
+    if not told["label"].any():
+        return nothing
+    told = told.sort_values(["label", "evidence"])
+    return names, weights, *_logistic(np.log1p(told["evidence"].to_numpy()), told["label"].to_numpy(np.float64))
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted of each document."""
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    held = _held_model(spark, fit_model(docs))
-    known = trusted(labels, "toxic", modulus, remainder)
-    ids = {k: [r["doc_id"] for r in bounded_sample(known.filter(F.col("label") == k), sample, 29).collect()] for k in (0, 1)}
-    names, weights, slope, shift = np.zeros(0, np.uint64), np.zeros(0), 0.0, -40.0
-    if ids[1]:
-        chosen = spark.createDataFrame([(i, k) for k in (0, 1) for i in ids[k]], "doc_id long, label int")
-        rows = docs.join(F.broadcast(chosen), "doc_id")  # 2 x sample ids at most
-        lows = rows.select("doc_id", "label", "text").mapInArrow(_smallest_shingle, "doc_id long, label int, low long").groupBy("label", "low").agg(F.min("doc_id").alias("doc_id")).collect()
-        ids = {k: [r["doc_id"] for r in lows if r["label"] == k] for k in (0, 1)}
-        chosen = spark.createDataFrame([(i, k) for k in (0, 1) for i in ids[k]], "doc_id long, label int")
-        rows = docs.join(F.broadcast(chosen), "doc_id")
-        toxic = rows.filter("label = 1").select("text").mapInArrow(_documents_with(held, None), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-        met = {r["feature"]: r["n"] for r in toxic.filter("n > 2").orderBy(F.desc("n"), "feature").limit(CANDIDATES).collect()}
-        only = np.sort(np.array(list(met), np.int64).view(np.uint64))
-        other = {}
-        if len(only):
-            clean = rows.filter("label = 0").select("text").mapInArrow(_documents_with(held, only), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-            other = {r["feature"]: r["n"] for r in clean.collect()}
-        a = np.array([met[int(f)] for f in only.view(np.int64)], np.float64)
-        b = np.array([other.get(int(f), 0) for f in only.view(np.int64)], np.float64)
-        odds = np.log((a + 0.5) / (len(ids[1]) + 1)) - np.log((b + 0.5) / (len(ids[0]) + 1))
-        strong = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) >= LEAST_Z
-        strong &= odds >= log(4)
-        names, weights = only[strong], odds[strong]
-        fit = rows.select("label", "text").mapInArrow(_evidence(held, names, weights), "label int, evidence double").collect()
-        if any(r["label"] for r in fit):
-            slope, shift = _logistic(np.log1p(np.array([r["evidence"] for r in fit])), np.array([r["label"] for r in fit], np.float64))
+    held = _held_model(docs.sparkSession, fit_model(docs))
+    names, weights, slope, shift = _learned(docs, trusted(labels, "toxic", modulus, remainder), held, sample)
     scored = docs.mapInArrow(_evidence(held, names, weights), "doc_id long, evidence double")
     score = 1 / (1 + F.exp(-(F.log1p("evidence") * slope + shift)))
     return scored.select("doc_id", F.coalesce(held_out("doc_id", modulus, remainder), F.lit(False)).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))

@@ -1,3 +1,5 @@
+import itertools
+import math
 import zlib
 
 import numpy as np
@@ -56,6 +58,27 @@ def test_quality_on_held_out_rows(tables):
     assert kept.columns == docs.columns and 400 < kept.count() < 560
 
 
+@pytest.mark.parametrize("n", [300, 600, 2000])
+@pytest.mark.parametrize("seed", [3, 4, 5])
+@pytest.mark.parametrize("odd", [0, 1])
+def test_quality_at_several_sizes(spark, n, seed, odd):
+    docs, labels, truth = corpus(n, seed)
+    more = [(100_000, None, "en", "s", 0.0), (100_001, "", "en", "s", 0.0), (None, "no id", None, None, None), (3, docs[3][1], "en", "s", 0.0)] * odd
+    scored = {r["doc_id"]: r["predicted"] for r in quality.op3_pu_quality(spark.createDataFrame(docs + more, DOCS), spark.createDataFrame(labels, LABELS)).collect()}
+    got, truth = np.array([scored[i] == 1 for i in range(n)]), np.array([truth[i][0] for i in range(n)])
+    assert (got & (truth == 0)).sum() <= 0.02 * (truth == 0).sum()
+    assert (~got & (truth == 1)).sum() <= 0.05 * (truth == 1).sum()
+
+
+def test_each_row_is_judged_by_its_own_text(spark, tables):
+    docs, labels, _ = tables
+    rows = [(1, "HARANA$$$ MITOLE$$$ " * 30, "x", 1.0), (1, "harana mitole the anda senora lavi " * 10, "x", 2.0), (None, "HARANA$$$ MITOLE$$$ " * 30, "x", 3.0), (None, "harana mitole anda senora lavi " * 10, "x", 4.0)]
+    clash = spark.createDataFrame([(i, t, "en", "s", 0.0) for i, t, *_ in docs.select("doc_id", "text").collect() if i is not None] , DOCS).selectExpr("doc_id", "text", "source as features", "score").unionByName(spark.createDataFrame(rows, "doc_id long, text string, features string, score double"))
+    kept = quality.accepted(clash, labels)
+    assert kept.columns == clash.columns
+    assert sorted(r["score"] for r in kept.filter("features = 'x'").collect()) == [2.0, 4.0]
+
+
 def test_toxicity_on_held_out_rows(tables):
     docs, labels, truth = tables
     rows = toxicity.op2_noisy_channel(docs, labels).collect()
@@ -126,6 +149,11 @@ def test_word_kernels_stay_inside_their_text():
         ("st00pid,1d10t,m0r0n,cl0wn,l0s3r,w0rthl3ss,st00pid", "stoopid,idiot,moron,clown,loser,worthless,stoopid"),
         ("a/m0r0n\u00a0cl0wn\u20141d10t-l0s3r/w0rthl3ss;m0r0n", "a/moron\u00a0clown\u2014idiot-loser/worthless;moron"),
         ("y o u a r e a n i d i o t", "you are an idiot"),
+        ("y  o u  a   r e a  n i d . i o t", "you are an idiot"),
+        ("looooosseeeer", "loser"),
+        ("a l  o  s  e  r", "a loser"),
+        ("w0rthl3sss" + "s" * 190, "worthless"),
+        ("stuuuu" + "u" * 300 + "p1d", "stupid"),
         ("x" + "0a" * 30000, None),
     ],
 )
@@ -140,3 +168,35 @@ def test_words_behind_foreign_signs_are_scored(model):
         return set(toxicity.text_features(model, raw, np.array([0, len(raw)]))[1].tolist())
 
     assert found("cl0wn\u00a0idiot, you") == found("clown idiot you")
+
+
+def all_readings(model, word, joint):
+    """The best score over every choice at every run and gap, one by one."""
+    runs = [(c, len(list(g))) for c, g in itertools.groupby(word)]
+    stretched = any(n > 2 for _, n in runs)
+    choices = []
+    for i, (c, n) in enumerate(runs):
+        options = [(c, math.log(1 - toxicity.SWAP) if c in toxicity.LOOKALIKES else 0.0)] + [(x, math.log(toxicity.SWAP)) for x in toxicity.LOOKALIKES.get(c, "")]
+        kept = {n, min(n, 2), 1} if stretched else {n}
+        own = [(x * k, cost * k + math.log(toxicity.REPEAT) * (n - k)) for x, cost in options for k in kept]
+        gaps = [("", joint), (" ", 0.0)] if i and joint is not None else [("", 0.0)]
+        choices.append([(g + x, a + b) for g, a in gaps for x, b in own])
+    scored = {}
+    for way in itertools.product(*choices):
+        text = "".join(x for x, _ in way)
+        score, a, b = sum(x for _, x in way), 0, 0
+        for c in [*text, " "]:
+            k = 0 if c == " " else toxicity._symbol(c)
+            score += model.log[a][b][k]
+            a, b = (0, 0) if c == " " else (b, k)
+        scored[text] = max(score, scored.get(text, -math.inf))
+    return scored
+
+
+@pytest.mark.parametrize("word", ["1d10t", "l00ser", "sssoo", "m0r0nn", "cl0wwwn", "i1!i", "a", "7e57", "looosseer"])
+@pytest.mark.parametrize("joint", [None, -0.3])
+def test_viterbi_finds_the_best_of_all_readings(model, word, joint):
+    if joint is not None and len(word) > 7:
+        word = word[:6]
+    scored = all_readings(model, word, joint)
+    assert scored[model._viterbi(word, joint)] >= max(scored.values()) - 1e-9
