@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 SLICE_BYTES = 2 << 20
 
@@ -71,6 +72,51 @@ def slices(batch: pa.RecordBatch, column: str = "text", budget: int = SLICE_BYTE
         first = end
 
 
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers as one compressed string."""
+    bodies = [a.tobytes() for a in arrays]
+    return zstandard.compress(np.array([len(b) for b in bodies], np.int64).tobytes() + b"".join(bodies), 1)
+
+
+def unpacked(blob: bytes, *kinds) -> list[np.ndarray]:
+    raw = zstandard.decompress(blob)
+    out, at = [], 8 * len(kinds)
+    for kind, size in zip(kinds, np.frombuffer(raw, np.int64, len(kinds)).tolist(), strict=True):
+        out.append(np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at))
+        at += size
+    return out
+
+
+def sliced(batches: Iterator[pa.RecordBatch], first_number: int, budget: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(number, bytes, ids, whether an id is there, offsets, raw) of runs of rows (doc_id, text) with about ``budget`` bytes of text.
+
+    Rows are gathered across batches; one text longer than the budget is a run of its own.
+    """
+    held: list[tuple] = []
+    size = rows = 0
+
+    def run():
+        raw = np.concatenate([h[3] for h in held])
+        sizes = np.concatenate([np.diff(h[2]) for h in held])
+        return len(raw), np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), raw
+
+    number = first_number
+    for batch in batches:
+        column = batch.column("doc_id")
+        named = column.is_valid().to_numpy(zero_copy_only=False)
+        ids = column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for first, end, raw, offsets in slices(batch, budget=budget // 4):
+            if held and (size + len(raw) > budget or rows > budget // 64):
+                yield number, *run()
+                number += 1
+                held, size, rows = [], 0, 0
+            held.append((ids[first:end], named[first:end], offsets, raw.copy()))
+            size += len(raw)
+            rows += end - first
+    if held:
+        yield number, *run()
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     def run(factor: int, length: int) -> np.ndarray:
         out = np.full(length, factor, np.uint64)

@@ -10,9 +10,10 @@ into whole chunks: what lies before its first and behind its last chunk end stay
 A digest's first document is found by a pre-aggregated minimum; occurrences meet the repeated
 digests in a join whose hot keys Spark splits, as only one row stands on the other side.
 
-Defined cases: null and empty texts have no chunks; rows with one doc_id are one document each
-row of which is cut alike when the texts are equal; rows with a null doc_id are left whole; a text
-shorter than ``LEAST`` is one chunk; an empty table gives no rows; extra columns are ignored.
+Defined cases: null and empty texts have no chunks; rows with one doc_id are one document, whose rows
+don't remove from each other, and each row loses its own repeats only; rows with a null doc_id are
+left whole and remove nothing; a text shorter than ``LEAST`` is one chunk; a text of any length is
+cut as a whole; repeated rows are cut alike; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as cut
-from .bytetext import U64, mix, slices
+from .bytetext import U64, mix
 from .common import staged
 
 WINDOW = 32
 LEAST, MOST = 32, 256
 BITS = 5
+#: Text in a slice, and in one step of hashing.
+SLICE, PIECE = 4 << 20, 1 << 20
 #: Pseudo-random 32-bit numbers, one for each byte.
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)) >> U64(32)).astype(np.uint32)
 _MASK = np.uint32(((1 << BITS) - 1) << 24)
@@ -70,44 +73,63 @@ def boundaries(ends: list[int], size: int) -> list[int]:
 
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        for first, end, raw, offsets in slices(batch):
+        for number, blob in zip(batch.column("slice").to_pylist(), batch.column("blob"), strict=True):
+            ids, named, offsets, raw = cut.opened(blob.as_py())
             body = raw.tobytes()
-            allowed = np.flatnonzero((gear_hashes(raw) & _MASK) == 0) + 1
+            allowed = np.concatenate([np.zeros(0, np.int64), *(np.flatnonzero((gear_hashes(raw[max(0, at - WINDOW) : at + PIECE]) & _MASK)[at - max(0, at - WINDOW) :] == 0) + 1 + at for at in range(0, len(raw), PIECE))])
             edge = np.searchsorted(allowed, offsets, "right")
-            owner, begins, ends, digests = [], [], [], []
-            for i in range(end - first):
+            rows, begins, ends, digests = [], [], [], []
+            for i in np.flatnonzero(named).tolist():
                 base, size = int(offsets[i]), int(offsets[i + 1] - offsets[i])
                 at = 0
                 for e in boundaries((allowed[edge[i] : edge[i + 1]] - base).tolist(), size):
-                    owner.append(first + i)
+                    rows.append(i)
                     begins.append(at)
                     ends.append(e)
                     digests.append(hashlib.blake2b(body[base + at : base + e], digest_size=16).digest())
                     at = e
             pairs = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[owner].astype(np.int64)), pa.array(begins, pa.int32()), pa.array(ends, pa.int32()), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["doc_id", "begin", "end", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), number, np.int64)), pa.array(rows, pa.int32()), pa.array(ids[rows], pa.int64()), pa.array(begins, pa.int32()), pa.array(ends, pa.int32()), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["slice", "row", "doc_id", "begin", "end", "a", "b"])
+
+
+def _chunk_rows(slices: DataFrame) -> DataFrame:
+    return slices.select("slice", "blob").mapInArrow(_chunked, "slice long, row int, doc_id long, begin int, end int, a long, b long")
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """doc_id, begin, end, a, b: the chunks of each document and their digests."""
-    own = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
-    return own.mapInArrow(_chunked, "doc_id long, begin int, end int, a long, b long")
+    """slice, row, doc_id, begin, end, a, b: the chunks of each text and their digests."""
+    return _chunk_rows(cut.slice_table(docs, SLICE))
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, spans: what is removed from each document that holds repeats."""
-    chunks = staged(chunk_table(docs), "chunks")
+def repeated_spans(chunks: DataFrame) -> DataFrame:
+    """slice, row, begin, end: what is removed."""
     known = chunks.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("a", "b", "first")
-    repeats = chunks.join(known, ["a", "b"]).filter("doc_id > first").select("doc_id", "begin", "end")
-    return cut.collected(repeats)
+    return chunks.join(known, ["a", "b"]).filter("doc_id > first").select("slice", "row", "begin", "end")
+
+
+def _gone(row: dict):
+    whole = cut.opened(row["blob"])
+    spans = row["spans"]
+    change = np.zeros(len(whole[3]) + 1, np.int32)
+    if spans is not None:
+        at = whole[2][spans.field("row").to_numpy()]
+        np.add.at(change, at + spans.field("begin").to_numpy(), 1)
+        np.add.at(change, at + spans.field("end").to_numpy(), -1)
+    return whole, np.cumsum(change[:-1]) > 0
+
+
+def deduplicate(docs: DataFrame, whole_text: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept: the remaining text, or the SHA-256 of its bytes."""
+    slices = cut.slice_table(docs, SLICE)
+    spans = repeated_spans(staged(_chunk_rows(slices), "chunks"))
+    return cut.reports(cut.by_slice(slices.select("slice", "blob"), spans=spans), _gone, whole_text)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, text of each document without its repeated chunks."""
-    return cut.kept_text(cut.with_spans(docs, repeated_spans(docs)))
+    return deduplicate(docs).select("doc_id", F.col("kept").alias("text"))
 
 
 def op8_gear_chunks(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return cut.report(cut.with_spans(docs, repeated_spans(docs)))
+    return deduplicate(docs, whole_text=False).withColumnRenamed("kept", "kept_sha256")

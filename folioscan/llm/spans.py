@@ -1,33 +1,53 @@
-"""Cutting byte spans out of texts, shared by the substring operators."""
+"""Texts in numbered slices, and cutting byte spans out of them; shared by the substring operators.
+
+A slice is a run of rows: their doc_ids and texts, packed. A row is known by its slice and its place
+in it, so rows that share a doc_id, and rows without one, stay apart. What is to be cut is gathered by
+slice, whose size is bounded, and never by doc_id.
+"""
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import text_parts
+from .bytetext import packed, sliced, unpacked
+from .common import partitions, staged
+
+REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept string"
+
+
+def slice_table(docs: DataFrame, budget: int) -> DataFrame:
+    """slice, size, blob: the rows of ``docs`` in slices of about ``budget`` bytes of text, written once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, size, *arrays in sliced(batches, TaskContext.get().partitionId() << 32, budget):
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([size], pa.int64()), pa.array([packed(*arrays)], pa.binary())], ["slice", "size", "blob"])
+
+    return staged(docs.select("doc_id", "text").mapInArrow(run, "slice long, size long, blob binary"), "slices")
 
-SPAN = "array<struct<begin:long,end:long>>"
 
+def opened(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, whether an id is there, offsets, raw) of a slice."""
+    return tuple(unpacked(blob, np.int64, np.bool_, np.int64, np.uint8))
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal runs of the union of half-open spans."""
-    out: list[list[int]] = []
-    for begin, end in sorted(spans):
-        if out and begin <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([begin, end])
-    return [(a, b) for a, b in out]
 
+def by_slice(slices: DataFrame, **rows: DataFrame) -> DataFrame:
+    """``slices`` with a list for each of ``rows`` (slice, other columns): its rows of the slice, as structs.
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, text, spans: every row of ``docs`` with what ``spans`` (doc_id, spans) removes from it."""
-    return docs.select("doc_id", "text").join(spans, "doc_id", "left")
+    A few slices make a task, however many slices there are.
+    """
+    n = max(partitions(slices.sparkSession), slices.count() // 4)
+    out = slices.repartition(n, "slice")
+    for name, own in rows.items():
+        fields = F.struct(*(c for c in own.columns if c != "slice"))
+        out = out.join(own.repartition(n, "slice").groupBy("slice").agg(F.collect_list(fields).alias(name)), "slice", "left")
+    return out
 
 
 def kept_bytes(text: bytes, spans) -> bytes:
@@ -39,38 +59,31 @@ def kept_bytes(text: bytes, spans) -> bytes:
     return b"".join(parts)
 
 
-def report(rows: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of rows of doc_id, text, spans."""
+def _value(cell: pa.Scalar):
+    return cell.values if isinstance(cell, pa.ListScalar) else cell.as_py()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, offsets = text_parts(batch.column("text"))
-            out = []
-            for i, spans in enumerate(batch.column("spans").to_pylist()):
-                text = raw[offsets[i] : offsets[i + 1]].tobytes()
-                cuts = merged([(s["begin"], s["end"]) for s in spans or ()])
-                out.append((len(text), sum(b - a for a, b in cuts), len(cuts), hashlib.sha256(kept_bytes(text, cuts)).hexdigest()))
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(c), k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
+def reports(rows: DataFrame, gone: Callable, whole_text: bool) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept of every row of the slices.
 
-def kept_text(rows: DataFrame) -> DataFrame:
-    """doc_id, text with the spans cut out; bytes that no longer form a character become U+FFFD."""
+    ``gone`` gives for a row of ``rows`` (a dict with the slice's blob, arrays as Arrow arrays) the
+    opened slice and a mask of the bytes that go. kept is the remaining text, with U+FFFD for bytes that no longer form a
+    character, or the SHA-256 of the remaining bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = text_parts(batch.column("text"))
-            out = []
-            for i, spans in enumerate(batch.column("spans").to_pylist()):
-                cuts = merged([(s["begin"], s["end"]) for s in spans or ()])
-                out.append(kept_bytes(raw[offsets[i] : offsets[i + 1]].tobytes(), cuts).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "text"])
-
-    return rows.mapInArrow(run, "doc_id long, text string")
-
-
-def collected(spans: DataFrame) -> DataFrame:
-    """doc_id, spans from one row a span (doc_id, begin, end); a document's spans are bounded by its text."""
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("begin").cast("long").alias("begin"), F.col("end").cast("long").alias("end"))).alias("spans"))
+            for k in range(len(batch)):
+                (ids, named, offsets, raw), mask = gone({name: _value(column[k]) for name, column in zip(batch.schema.names, batch.columns, strict=True)})
+                body, out = raw.tobytes(), []
+                for i in range(len(ids)):
+                    a, b = int(offsets[i]), int(offsets[i + 1])
+                    edge = np.flatnonzero(np.diff(mask[a:b].view(np.int8), prepend=0, append=0)).tolist() if b > a else []
+                    cuts = list(zip(edge[::2], edge[1::2], strict=True))
+                    kept = kept_bytes(body[a:b], cuts)
+                    out.append((int(ids[i]) if named[i] else None, b - a, b - a - len(kept), len(cuts), kept.decode("utf-8", "replace") if whole_text else hashlib.sha256(kept).hexdigest()))
+                columns = list(zip(*out, strict=True)) or [()] * 5
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    return rows.mapInArrow(run, REPORT)

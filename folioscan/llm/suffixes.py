@@ -29,47 +29,29 @@ remove nothing; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import _BASE, _BYTE_CODE, U64, mix, slices
+from .bytetext import _BASE, _BYTE_CODE, U64, mix, packed, unpacked
 from .common import partitions, staged
-from .spans import kept_bytes
+from .spans import by_slice, opened, reports, slice_table
 
 MATCH = 50
 PREFIX = 24
 SPREAD = MATCH - PREFIX + 1  # prefixes in a window
 PIECE = 1 << 18
-#: Text in a slice; each slice sends a run to each part.
-SLICE = 4 << 20
+#: Text in a slice; each slice sorts its own suffixes and sends a run to each part.
+SLICE = 16 << 20
 #: Prefixes that one part may hold: its fingerprints take four bytes each.
-PART_PREFIXES = 500_000
+PART_PREFIXES = 1_000_000
 _PLACE = U64((1 << 24) - 1)
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    head = np.array([len(a.tobytes()) for a in arrays], np.int64).tobytes()
-    return zstandard.compress(head + b"".join(a.tobytes() for a in arrays), 1)
-
-
-def unpack(blob: bytes, *kinds) -> list[np.ndarray]:
-    raw = zstandard.decompress(blob)
-    sizes = np.frombuffer(raw, np.int64, len(kinds))
-    out, at = [], 8 * len(kinds)
-    for kind, size in zip(kinds, sizes.tolist(), strict=True):
-        out.append(np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at))
-        at += size
-    return out
-
-
 def prefix_hashes(raw: np.ndarray) -> np.ndarray:
     """The hash of the PREFIX bytes from each place, by doubling."""
     h, size, eight = _BYTE_CODE[raw], 1, None
@@ -84,19 +66,19 @@ def prefix_hashes(raw: np.ndarray) -> np.ndarray:
 def suffix_starts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first window, last window, suffix start, prefix hash) of each suffix that windows are assigned to."""
     found: list[list[np.ndarray]] = [[], [], [], []]
-    n = len(raw)
-    valid_all = np.zeros(max(0, n - MATCH + 1), bool)
     long_texts = np.flatnonzero(np.diff(offsets) >= MATCH)
-    change = np.zeros(len(valid_all) + 1, np.int32)
-    change[offsets[long_texts]] += 1
-    np.add.at(change, offsets[long_texts + 1] - MATCH + 1, -1)
-    valid_all = np.cumsum(change[:-1]) > 0
-    last_of_text = np.zeros(len(valid_all), bool)
-    last_of_text[offsets[long_texts + 1] - MATCH] = True
-    for base in range(0, len(valid_all), PIECE):
+    opens, closes = offsets[long_texts], offsets[long_texts + 1] - MATCH + 1  # windows that lie in one text
+    for base in range(0, max(0, len(raw) - MATCH + 1), PIECE):
         part = raw[base : base + PIECE + MATCH - 1]
-        if len(part) < MATCH:
-            break
+        n = len(part) - MATCH + 1
+        own = slice(np.searchsorted(closes, base, "right"), np.searchsorted(opens, base + n))
+        inside = np.zeros(n + 1, np.int32)
+        np.add.at(inside, np.maximum(opens[own] - base, 0), 1)
+        np.add.at(inside, np.minimum(closes[own] - base, n), -1)
+        valid = np.cumsum(inside[:-1]) > 0
+        last_of_text = np.zeros(n, bool)
+        ends = closes[own] - 1 - base
+        last_of_text[ends[ends < n]] = True
         h = prefix_hashes(part)
         key = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
         low, size = key, 1
@@ -105,9 +87,8 @@ def suffix_starts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
             size *= 2
         low = np.minimum(low[: len(key) - SPREAD + 1], low[SPREAD - 16 :])
         place = (low & _PLACE).astype(np.int64)
-        valid = valid_all[base : base + len(place)]
         first = valid.copy()
-        first[1:] &= (place[1:] != place[:-1]) | ~valid[:-1] | last_of_text[base : base + len(place) - 1]
+        first[1:] &= (place[1:] != place[:-1]) | ~valid[:-1] | last_of_text[:-1]
         begin = np.flatnonzero(first)
         if not len(begin):
             continue
@@ -134,7 +115,7 @@ class Slice:
     """Some texts with their suffixes in the order of their prefix hashes."""
 
     def __init__(self, blob: bytes) -> None:
-        self.ids, self.named, self.offsets, self.raw = unpack(blob, np.int64, np.bool_, np.int64, np.uint8)
+        self.ids, self.named, self.offsets, self.raw = opened(blob)
         first, last, at, hashes = suffix_starts(self.raw, self.offsets)
         text = np.searchsorted(self.offsets, first, "right") - 1
         own = self.named[text]
@@ -160,11 +141,11 @@ class Slice:
 
     def entries(self, parts: int) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
         """For each part: its number, the sorted distinct entries, and places of its suffixes with their entry."""
-        body = self.raw.tobytes()
+        body = memoryview(self.raw.tobytes())
         part = part_of(self.hashes, parts)
         edge = np.flatnonzero(np.diff(part, prepend=-1, append=-1)) if len(part) else np.zeros(0, np.int64)
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            texts = [body[s : e + MATCH] + body[f:s] + bytes((s - f,)) for f, e, s in zip(self.first[a:b].tolist(), self.last[a:b].tolist(), self.at[a:b].tolist(), strict=True)]
+            texts = [b"".join((body[s : e + MATCH], body[f:s], bytes((s - f,)))) for f, e, s in zip(self.first[a:b].tolist(), self.last[a:b].tolist(), self.at[a:b].tolist(), strict=True)]
             names = sorted(set(texts))
             number = {name: i for i, name in enumerate(names)}
             yield int(part[a]), names, np.arange(a, b), np.array([number[t] for t in texts], np.int64)
@@ -322,18 +303,6 @@ def settle_part(runs: list[tuple[np.ndarray, ...]]) -> Answers:
     return answers
 
 
-def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        column = batch.column("doc_id")
-        named = column.is_valid().to_numpy(zero_copy_only=False)
-        ids = column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        for first, end, raw, offsets in slices(batch, budget=SLICE):
-            blob = pack(ids[first:end], named[first:end], offsets.astype(np.int64), raw)
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(raw)], pa.int64()), pa.array([blob], pa.binary())], ["slice", "size", "blob"])
-            number += 1
-
-
 def _fingerprinted(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -382,27 +351,27 @@ def _runs(parts: int):
                     low = np.full(len(names), np.iinfo(np.int64).max)
                     np.minimum.at(low, entry, own.ids[own.text[rows]])
                     numbers.append(part)
-                    blobs.append(pack(*front_coded(names), low))
+                    blobs.append(packed(*front_coded(names), low))
                 yield pa.RecordBatch.from_arrays([pa.array([number] * len(numbers), pa.int64()), pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], ["slice", "part", "run"])
 
     return run
 
 
 def _settled(table: pa.Table) -> pa.Table:
-    runs = [tuple(unpack(r.as_py(), np.uint8, np.uint8, np.uint8, np.int64)) for r in table.column("run")]
+    runs = [tuple(unpacked(r.as_py(), np.uint8, np.uint8, np.uint8, np.int64)) for r in table.column("run")]
     answers = settle_part(runs)
     blobs = []
     for low, odd in zip(answers.low, answers.odd, strict=True):
-        blobs.append(pack(low, *(np.frombuffer(x, x.typecode) if len(x) else np.zeros(0, x.typecode) for x in odd)))
+        blobs.append(packed(low, *(np.frombuffer(x, x.typecode) if len(x) else np.zeros(0, x.typecode) for x in odd)))
     return pa.table({"slice": table.column("slice"), "part": table.column("part"), "answer": pa.array(blobs, pa.binary())})
 
 
 def removed_bytes(own: Slice, answers: list[dict], parts: int) -> np.ndarray:
     """Which bytes of the slice go."""
-    change = np.zeros(len(own.raw) + 1, np.int32)
+    change = np.zeros(len(own.raw) + 1, np.int8)  # at most one run of windows begins or ends at a byte, and one step
     by_part = {a["part"]: a["answer"] for a in answers or []}
     for part, _, rows, entry in own.entries(parts):
-        low, odd, window, odd_low = unpack(by_part[part], np.int64, np.int32, np.uint8, np.int64)
+        low, odd, window, odd_low = unpacked(by_part[part], np.int64, np.int32, np.uint8, np.int64)
         document = own.ids[own.text[rows]]
         plain = np.ones(len(low), bool)
         plain[odd] = False
@@ -425,26 +394,13 @@ def removed_bytes(own: Slice, answers: list[dict], parts: int) -> np.ndarray:
             first = own.first[rows[row]]
             np.add.at(change, first + window[step], 1)
             np.add.at(change, np.where(final[step], own.last[rows[row]] + 1, first + until[step]) - 1 + MATCH, -1)
-    return np.cumsum(change[:-1]) > 0
+    return np.cumsum(change[:-1], dtype=np.int32) > 0
 
 
-def _reported(parts: int, whole_text: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob, bits, answers in zip(batch.column("blob"), batch.column("bits").to_pylist(), batch.column("answers").to_pylist(), strict=True):
-                own = _kept(blob.as_py(), bits)
-                gone = removed_bytes(own, answers, parts)
-                body = own.raw.tobytes()
-                out = []
-                for i in range(len(own.ids)):
-                    a, b = int(own.offsets[i]), int(own.offsets[i + 1])
-                    edge = np.flatnonzero(np.diff(gone[a:b].astype(np.int8), prepend=0, append=0)).tolist() if b > a else []
-                    cuts = list(zip(edge[::2], edge[1::2], strict=True))
-                    kept = kept_bytes(body[a:b], cuts)
-                    out.append((int(own.ids[i]) if own.named[i] else None, b - a, b - a - len(kept), len(cuts), kept.decode("utf-8", "replace") if whole_text else hashlib.sha256(kept).hexdigest()))
-                columns = list(zip(*out, strict=True)) or [()] * 5
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+def _gone(parts: int):
+    def run(row: dict):
+        own = _kept(row["blob"], row["bits"].to_pylist() if row["bits"] is not None else None)
+        return (own.ids, own.named, own.offsets, own.raw), removed_bytes(own, row["answers"].to_pylist() if row["answers"] is not None else None, parts)
 
     return run
 
@@ -452,18 +408,16 @@ def _reported(parts: int, whole_text: bool):
 def deduplicate(docs: DataFrame, whole_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept: the remaining text, or the SHA-256 of its bytes."""
     spark = docs.sparkSession
-    cut = staged(docs.select("doc_id", "text").mapInArrow(_sliced, "slice long, size long, blob binary"), "slices")
+    cut = slice_table(docs, SLICE)
     total = cut.agg(F.sum("size")).first()[0] or 0
     parts = max(partitions(spark), -(-total * 2 // (SPREAD + 1) // PART_PREFIXES), 1)
     prints = cut.select("slice", "blob").mapInArrow(_fingerprinted(parts), "slice long, part int, keys binary, several binary")
-    shared = prints.groupBy("part").applyInArrow(_shared_prefixes, "slice long, part int, bits binary, n int")
-    shared = staged(shared, "bits").groupBy("slice").agg(F.collect_list(F.struct("part", "bits", "n")).alias("bits"))
-    marked = cut.select("slice", "blob").join(shared, "slice", "left")
-    runs = marked.mapInArrow(_runs(parts), "slice long, part int, run binary")
-    answers = staged(runs.groupBy("part").applyInArrow(_settled, "slice long, part int, answer binary"), "answers")
-    answers = answers.groupBy("slice").agg(F.collect_list(F.struct("part", "answer")).alias("answers"))
-    told = marked.join(answers, "slice", "left")
-    return told.mapInArrow(_reported(parts, whole_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept string")
+    shared = prints.repartition(parts, "part").groupBy("part").applyInArrow(_shared_prefixes, "slice long, part int, bits binary, n int")
+    shared = staged(shared, "bits")
+    cut = cut.select("slice", "blob")
+    runs = by_slice(cut, bits=shared).mapInArrow(_runs(parts), "slice long, part int, run binary")
+    answers = staged(runs.repartition(parts, "part").groupBy("part").applyInArrow(_settled, "slice long, part int, answer binary"), "answers")
+    return reports(by_slice(cut, bits=shared, answers=answers), _gone(parts), whole_text)
 
 
 def op4_suffix_merge(docs: DataFrame) -> DataFrame:

@@ -200,3 +200,89 @@ def test_suffix_dedup_with_an_id_on_both_sides_of_another(spark):
     rows = spark.createDataFrame([(*d, "clash", 1) for d in docs], DOCS).coalesce(1)
     got = {(x["doc_id"], x["n_removed"] >= len(passage)) for x in suffixes.op4_suffix_merge(rows).collect()}
     assert got == {(1, False), (2, True)}
+
+
+def test_rows_that_share_an_id_lose_their_own_repeats_only(spark):
+    r = random.Random(17)
+    passage, other = prose(r, 90), prose(r, 70)
+    docs = [(1, passage), (2, "x y " + passage), (2, other), (3, other), (None, passage), (None, other)]
+    rows = [(x["doc_id"], x["n_bytes"], x["n_removed"]) for x in chunks.op8_gear_chunks(frame(spark, docs)).collect()]
+    assert len(rows) == len(docs)
+    removed = {(d, n): gone for d, n, gone in rows}
+    assert removed[1, len(passage)] == removed[2, len(other)] == removed[None, len(passage)] == removed[None, len(other)] == 0
+    assert removed[2, len(passage) + 4] > 300 and removed[3, len(other)] == len(other)
+
+
+def brute_chunks(text):
+    """Chunk ends by the rule, byte by byte."""
+    out, at = [], 0
+    for i in range(len(text)):
+        h = sum(int(chunks.GEAR[text[i - j]]) << j for j in range(min(32, i + 1))) % (1 << 32)
+        size = i + 1 - at
+        if size >= chunks.LEAST and h & int(chunks._MASK) == 0 or size == chunks.MOST and i + 1 < len(text):
+            out.append(i + 1)
+            at = i + 1
+    if len(text) > at:
+        if out and len(text) - at < chunks.LEAST:
+            out[-1] = len(text)
+        else:
+            out.append(len(text))
+    return out
+
+
+def brute_chunk_removal(docs):
+    pieces = []
+    for d, t in docs:
+        body = (t or "").encode()
+        ends = brute_chunks(body) if d is not None else []
+        pieces.append([body[a:b] for a, b in zip([0, *ends], ends, strict=False)])
+    first = {}
+    for (d, _), own in zip(docs, pieces, strict=True):
+        for x in own:
+            first[x] = min(d, first.get(x, d))
+    out = []
+    for (d, t), own in zip(docs, pieces, strict=True):
+        goes = [first[x] < d for x in own]
+        kept = b"".join(x for x, g in zip(own, goes, strict=True) if not g) if own else (t or "").encode()
+        spans = sum(g and not before for g, before in zip(goes, [False, *goes], strict=False))
+        size = len((t or "").encode())
+        out.append((d, size, size - len(kept), spans, hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_chunk_removal_equals_brute_force(spark, seed, monkeypatch):
+    monkeypatch.setattr(chunks, "PIECE", 700)
+    docs = [*repeating_docs(seed), (31, "y" * 700), (32, "y" * 700), (31, "another text of a shared id"), (33, None)]
+    rows = frame(spark, docs).repartition(3).withColumnRenamed("kept", "spans")
+    got = [(x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in chunks.op8_gear_chunks(rows).collect()]
+    assert sorted(got, key=str) == brute_chunk_removal(docs)
+
+
+def test_long_texts_and_small_slices(spark, monkeypatch):
+    r = random.Random(23)
+    long = prose(r, 60000)
+    docs = [(1, long), (2, prose(r, 20) + long[1000:200000]), (3, "short"), (4, long[:30])]
+    for module in (chunks, suffixes):
+        monkeypatch.setattr(module, "SLICE", 3000)
+    got = {x["doc_id"]: x for x in chunks.op8_gear_chunks(frame(spark, docs)).collect()}
+    assert got[1]["n_removed"] == 0 and got[2]["n_removed"] > 198000
+    got = {x["doc_id"]: x for x in suffixes.op4_suffix_merge(frame(spark, docs)).collect()}
+    assert got[1]["n_removed"] == 0 and 0 <= got[2]["n_removed"] - 199000 < 8 and got[2]["n_spans"] == 1
+
+
+def test_suffix_starts_do_not_depend_on_the_step(monkeypatch):
+    r = random.Random(29)
+    texts = [prose(r, r.randrange(0, 400)).encode() for _ in range(12)] + [b"", b"z" * 900, b"q" * 49, b"q" * 50]
+    raw, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+
+    def windows():
+        """Suffix start and prefix hash of every window, whatever run of windows it is in."""
+        return {w: (int(s), int(h)) for f, last, s, h in zip(*suffixes.suffix_starts(raw, offsets), strict=True) for w in range(f, last + 1)}
+
+    whole = windows()
+    inside = {w for a, b in pairwise(offsets.tolist()) for w in range(a, b - suffixes.MATCH + 1)}
+    assert set(whole) == inside and all(w <= s <= w + suffixes.SPREAD - 1 for w, (s, _) in whole.items())
+    for step in (64, 101, 1000):
+        monkeypatch.setattr(suffixes, "PIECE", step)
+        assert windows() == whole
