@@ -12,8 +12,9 @@ register's earliest point agrees with the probability of the weighted Jaccard si
 process is followed only until it is later than the latest register of its text, which ends most
 windows at their first point.
 
-Search. Texts with equal multisets are one node. Nodes that agree in all registers of a band share
-a bucket. Instead of all pairs of a bucket, each member meets the bucket's hub, the member that
+Search. Rows are numbered once, and a row's number, not its doc_id, names it from then on. Rows with
+equal multisets are one node, named by its first row. Nodes that agree in all registers of a band
+share a bucket. Instead of all pairs of a bucket, each member meets the bucket's hub, the member that
 meets most others over all its bands; links are verified exactly and united into components. Only
 where a bucket's members lie in several components afterwards, the members outside of the bucket's
 largest component are compared with those of other components, so no link found by the bands is
@@ -23,9 +24,17 @@ among the rarest a - t / (1 + t) * (a + b) + 1 of either, in one order for all.
 only bags of fitting classes meet. With 24 bands of 4 registers, a pair at similarity 0.8 shares no bucket with probability
 3e-6, at 0.9 with 1e-11.
 
-Defined cases: null texts and texts without words have no windows and are classes of their own;
-rows with one doc_id are one document; rows with a null doc_id come back with a null class;
-an empty table gives no rows; other columns are ignored.
+A node that is in more than ``BLOCK`` pairs is a hub of many; its bag is sent once for each block of
+its partners, so that no task verifies all of them.
+
+Classes. A class is named by the smallest doc_id of its rows, and kept is the first row that has this
+doc_id.
+
+Defined cases: null texts and texts without words have no windows and are classes of their own, all
+kept; each row is a document, rows with one doc_id too, by its own text (classes of such rows may
+share their name); a row with a null doc_id is a document like any other, and a class without any
+doc_id is named null; texts of any length count as a whole; repeated rows are one class; an empty
+table gives no rows; other columns are ignored, and ``deduplicated`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,12 +47,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import U64, expanded, mix, shingles, slices
-from .common import staged
+from .common import fresh, numbered, staged
 from .graph import components
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
+#: Pairs of one node that one task verifies.
+BLOCK = 128
 _STEP = U64(0x9E3779B97F4A7C15)
 
 
@@ -103,7 +114,7 @@ def band_keys(earliest: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column("doc_id")
+        ids, rows = batch.column("doc_id"), batch.column("row")
         for first, end, raw, offsets in slices(batch):
             n = end - first
             text, item, count = expanded(*shingles(raw, offsets, SHINGLE))
@@ -117,13 +128,13 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sums.append((total[at[1:]] - total[at[:-1]]).view(np.int64))
             size = np.bincount(text, weights=count, minlength=n).astype(np.int64) if len(text) else np.zeros(n, np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([ids.slice(first, n), pa.array(size), pa.array(sums[0]), pa.array(sums[1]), bands], ["doc_id", "n_shingles", "digest_a", "digest_b", "bands"])
+            yield pa.RecordBatch.from_arrays([rows.slice(first, n), ids.slice(first, n), pa.array(size), pa.array(sums[0]), pa.array(sums[1]), bands], ["row", "doc_id", "n_shingles", "digest_a", "digest_b", "bands"])
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sorted 64-bit codes of (window, how often before), so that sets of codes overlap as the multisets do."""
     for batch in batches:
-        ids = batch.column("doc_id")
+        rows = batch.column("row")
         for first, end, raw, offsets in slices(batch):
             text, item, count = expanded(*shingles(raw, offsets, SHINGLE))
             many = np.repeat(np.arange(len(item)), count)
@@ -133,7 +144,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.lexsort((code, text))
             code, text = code[order], text[order]
             at = np.searchsorted(text, np.arange(end - first + 1))
-            yield pa.RecordBatch.from_arrays([ids.slice(first, end - first), pa.array([code[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["doc_id", "bag"])
+            yield pa.RecordBatch.from_arrays([rows.slice(first, end - first), pa.array([code[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["node", "bag"])
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
@@ -159,23 +170,32 @@ def _verified(threshold: float):
     return run
 
 
+def _with_bag(pairs: DataFrame, side: str, other: str, bags: DataFrame) -> DataFrame:
+    """``pairs`` with the bag of the node in column ``side``; nodes in many pairs are dealt in blocks of them."""
+    often = pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks")).filter("blocks > 1")
+    often = staged(often, "often")  # a small part of the pairs' nodes
+    dealt = pairs.join(often, side, "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64(other), F.col("blocks")), F.lit(0)).cast("int")).drop("blocks")
+    sent = bags.select(F.col("node").alias(side), F.col("bag").alias(f"bag_{side}")).join(often, side, "left")
+    sent = sent.withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+    return dealt.join(sent, [side, "block"]).drop("block")
+
+
 def _links(pairs: DataFrame, bags: DataFrame, threshold: float, name: str) -> DataFrame:
-    left = bags.select(F.col("doc_id").alias("a"), F.col("bag").alias("bag_a"))
-    right = bags.select(F.col("doc_id").alias("b"), F.col("bag").alias("bag_b"))
+    pairs = staged(pairs, f"{name}_pairs")
     # sizes first: the smaller of two bags has to have `threshold` of the larger one
     long_enough = F.least(F.octet_length("bag_a"), F.octet_length("bag_b")) >= threshold * F.greatest(F.octet_length("bag_a"), F.octet_length("bag_b"))
-    both = pairs.join(left, "a").join(right, "b").filter(long_enough).select("a", "b", "bag_a", "bag_b")
+    both = _with_bag(_with_bag(pairs, "a", "b", bags), "b", "a", bags)
+    both = both.filter(long_enough).select("a", "b", "bag_a", "bag_b")
     return staged(both.mapInArrow(_verified(threshold), "a long, b long, similarity double"), name)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of its class), n_shingles for each row of ``docs``."""
-    docs = docs.select("doc_id", "text")
-    signed = staged(docs.mapInArrow(_signed, "doc_id long, n_shingles long, digest_a long, digest_b long, bands array<long>"), "signed")
-    named = signed.filter("doc_id is not null and n_shingles > 0")
-    equal = named.groupBy("digest_a", "digest_b").agg(F.min("doc_id").alias("node"))
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
+    """row, doc_id, n_shingles, label (a number for the class), class_id for rows of row, doc_id, text."""
+    signed = staged(docs.mapInArrow(_signed, "row long, doc_id long, n_shingles long, digest_a long, digest_b long, bands array<long>"), "signed")
+    named = signed.filter("n_shingles > 0")
+    equal = named.groupBy("digest_a", "digest_b").agg(F.min("row").alias("node"), F.min("doc_id").alias("low"))
     equal = staged(equal, "equal")  # a join of plain tables, so that hot keys can be split
-    members = staged(named.join(equal, ["digest_a", "digest_b"]).select("doc_id", "node", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands")), "members")
+    members = staged(named.join(equal, ["digest_a", "digest_b"]).select("row", "doc_id", "n_shingles", "node", F.when(F.col("row") == F.col("node"), F.col("bands")).alias("bands")), "members")
     rows = members.filter("bands is not null").select("node", F.explode("bands").alias("key")).distinct()
     crowded = staged(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "crowded")
     shared = staged(rows.join(crowded, "key"), "shared")
@@ -184,14 +204,28 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     hubs = known.groupBy("key").agg(F.max(F.struct("met", F.negative("node").alias("minus"))).alias("hub")).select("key", F.negative("hub.minus").alias("hub"))
     hubs = staged(hubs, "hubs")
     pairs = known.join(hubs, "key").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    bags = staged(docs.join(shared.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_bags, "doc_id long, bag binary"), "bags").dropDuplicates(["doc_id"])
+    bags = staged(docs.join(shared.select(F.col("node").alias("row")).distinct(), "row", "left_semi").mapInArrow(_bags, "node long, bag binary"), "bags")
     links = _links(pairs, bags, threshold, "links")
     label = staged(_labelled(shared, components(links)), "labelled")
     links = links.union(_links(_across(label, bags, threshold), bags, threshold, "across"))
-    classes = components(links)
-    tied = members.join(classes, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "node")).alias("class_id"))
-    out = signed.select("doc_id", "n_shingles").join(tied, "doc_id", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_shingles")
+    label = equal.select("node", "low").join(components(links), "node", "left").select("node", "low", F.coalesce("label", "node").alias("label"))
+    label = staged(label, "labels")
+    lows = label.groupBy("label").agg(F.min("low").alias("class_id"))
+    classes = staged(label.select("node", "label").join(lows, "label"), "classes")  # a row for each different bag
+    told = members.select("row", "doc_id", "n_shingles", "node").join(classes, "node").select("row", "doc_id", "n_shingles", "label", "class_id")
+    return told.union(signed.filter("n_shingles = 0").select("row", "doc_id", "n_shingles", F.col("row").alias("label"), F.col("doc_id").alias("class_id")))
+
+
+def _kept(classes: DataFrame) -> DataFrame:
+    """row: the first one of each class that has the class's name for its doc_id."""
+    return classes.filter("doc_id <=> class_id").groupBy("label").agg(F.min("row").alias("row")).select("row")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of its class), n_shingles, is_kept for each row of ``docs``."""
+    classes = staged(_classes(numbered(docs.select("doc_id", "text"), "row", "rows"), threshold), "told")
+    kept = _kept(classes).withColumn("is_kept", F.lit(True))
+    return classes.join(kept, "row", "left").select("doc_id", "class_id", "n_shingles", F.coalesce("is_kept", F.lit(False)).alias("is_kept"))
 
 
 def _labelled(shared: DataFrame, classes: DataFrame) -> DataFrame:
@@ -203,7 +237,7 @@ def _labelled(shared: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for node, bag in zip(batch.column("doc_id").to_pylist(), batch.column("bag"), strict=True):
+        for node, bag in zip(batch.column("node").to_pylist(), batch.column("bag"), strict=True):
             codes = np.frombuffer(bag.as_buffer(), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(np.full(len(codes), node, np.int64))], ["code", "node"])
 
@@ -240,7 +274,7 @@ def _prefixes(threshold: float):
 def _across(labelled: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     """The pairs that the hubs left open and that may be links."""
     nodes = staged(labelled.select("node", "label").distinct(), "open_nodes")
-    codes = staged(bags.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_codes, "code long, node long"), "codes")
+    codes = staged(bags.join(nodes.select("node").distinct(), "node", "left_semi").mapInArrow(_codes, "code long, node long"), "codes")
     often = staged(codes.groupBy("code").agg(F.count(F.lit(1)).alias("n")), "often")
     listed = codes.join(often, "code").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "code"))).alias("codes"))
     prefixes = staged(listed.mapInArrow(_prefixes(threshold), "node long, code long, own int, other int").join(nodes, "node"), "prefixes")
@@ -253,10 +287,12 @@ def _across(labelled: DataFrame, bags: DataFrame, threshold: float) -> DataFrame
 
 
 def op5_bagminhash(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs).withColumn("is_kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    return near_duplicates(docs)
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents of ``docs`` that carry their class's id, and rows without an id."""
-    kept = near_duplicates(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    return docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").select(docs.columns).union(docs.filter("doc_id is null"))
+def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row of ``docs`` for each class of near-duplicates."""
+    (row,) = fresh(docs.columns, "row")
+    rows = numbered(docs, row, "rows")
+    kept = _kept(_classes(rows.select(F.col(row).alias("row"), "doc_id", "text"), threshold)).withColumnRenamed("row", row)
+    return rows.join(kept, row, "left_semi").select(docs.columns)

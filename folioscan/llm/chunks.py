@@ -78,44 +78,46 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             body = raw.tobytes()
             allowed = np.concatenate([np.zeros(0, np.int64), *(np.flatnonzero((gear_hashes(raw[max(0, at - WINDOW) : at + PIECE]) & _MASK)[at - max(0, at - WINDOW) :] == 0) + 1 + at for at in range(0, len(raw), PIECE))])
             edge = np.searchsorted(allowed, offsets, "right")
-            rows, begins, ends, digests = [], [], [], []
+            owner, begins, ends, digests = [], [], [], []
             for i in np.flatnonzero(named).tolist():
                 base, size = int(offsets[i]), int(offsets[i + 1] - offsets[i])
                 at = 0
                 for e in boundaries((allowed[edge[i] : edge[i + 1]] - base).tolist(), size):
-                    rows.append(i)
-                    begins.append(at)
-                    ends.append(e)
+                    owner.append(ids[i])
+                    begins.append(base + at)
+                    ends.append(base + e)
                     digests.append(hashlib.blake2b(body[base + at : base + e], digest_size=16).digest())
                     at = e
             pairs = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), number, np.int64)), pa.array(rows, pa.int32()), pa.array(ids[rows], pa.int64()), pa.array(begins, pa.int32()), pa.array(ends, pa.int32()), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["slice", "row", "doc_id", "begin", "end", "a", "b"])
+            places = (np.array(begins, np.int64) << 10) | (np.array(ends, np.int64) - np.array(begins, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(owner), number, np.int64)), pa.array(places), pa.array(owner, pa.int64()), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["slice", "place", "doc_id", "a", "b"])
 
 
 def _chunk_rows(slices: DataFrame) -> DataFrame:
-    return slices.select("slice", "blob").mapInArrow(_chunked, "slice long, row int, doc_id long, begin int, end int, a long, b long")
+    """slice, place, doc_id, a, b: the chunks and their digests; a place is begin * 1024 + size, in bytes of the slice."""
+    return slices.select("slice", "blob").mapInArrow(_chunked, "slice long, place long, doc_id long, a long, b long")
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """slice, row, doc_id, begin, end, a, b: the chunks of each text and their digests."""
-    return _chunk_rows(cut.slice_table(docs, SLICE))
+    """doc_id, begin, end, a, b: the chunks of each text, as bytes of its slice, and their digests."""
+    begin, size = F.shiftright("place", 10), F.col("place").bitwiseAND(1023)
+    return _chunk_rows(cut.slice_table(docs, SLICE)).select("doc_id", begin.alias("begin"), (begin + size).alias("end"), "a", "b")
 
 
 def repeated_spans(chunks: DataFrame) -> DataFrame:
-    """slice, row, begin, end: what is removed."""
+    """slice, place: what is removed."""
     known = chunks.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("a", "b", "first")
-    return chunks.join(known, ["a", "b"]).filter("doc_id > first").select("slice", "row", "begin", "end")
+    return chunks.join(known, ["a", "b"]).filter("doc_id > first").select("slice", "place")
 
 
 def _gone(row: dict):
     whole = cut.opened(row["blob"])
-    spans = row["spans"]
-    change = np.zeros(len(whole[3]) + 1, np.int32)
-    if spans is not None:
-        at = whole[2][spans.field("row").to_numpy()]
-        np.add.at(change, at + spans.field("begin").to_numpy(), 1)
-        np.add.at(change, at + spans.field("end").to_numpy(), -1)
-    return whole, np.cumsum(change[:-1]) > 0
+    change = np.zeros(len(whole[3]) + 1, np.int8)  # at most one chunk begins or ends at a byte
+    if row["spans"] is not None:
+        place = row["spans"].field("place").to_numpy()
+        np.add.at(change, place >> 10, 1)
+        np.add.at(change, (place >> 10) + (place & 1023), -1)
+    return whole, np.cumsum(change[:-1], dtype=np.int32) > 0
 
 
 def deduplicate(docs: DataFrame, whole_text: bool = True) -> DataFrame:

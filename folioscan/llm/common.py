@@ -81,6 +81,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def tasks(units: int) -> int:
+    """Tasks for so many units of work: one each, some to a task where there are very many."""
+    return max(1, min(units, 4096), units // 16)
+
+
 def held_out(doc_id: str, modulus: int, remainder: int):
     """The fold of the contract: crc32 of the id's decimal text."""
     return F.crc32(F.col(doc_id).cast("string")) % modulus == remainder

@@ -7,13 +7,17 @@ indexed by a hash of the last ``BLOCK`` bytes before the cursor, tells how far t
 at shift 0, the bucket of that block's hash holds the patterns that may end there, and a direct
 comparison decides. Cursors of many text segments move in step, as NumPy arrays.
 
-The benchmark is broadcast in parts of ``PART_BYTES`` of pattern text at most, one pass over the
-documents for each part, so that no broadcast grows with it. Parts are formed from the patterns'
-hash; the marks of several passes are united before anything is counted.
-
-Defined cases: null texts have no words; an item without words has no window; items with a null
-id take no part; repeated items count once; repeated documents give a row each; an empty benchmark
-leaves all documents clean; extra columns are ignored.
+The benchmark is broadcast in parts of ``PART_BYTES`` of pattern text at most, so that no broadcast
+grows with it. A benchmark of one part is met in one pass over the documents, without a shuffle. Of
+several parts, each is a pass over the documents, which are numbered once; a pass writes rows for
+documents with hits only, and a document's marks meet by its number before anything is counted. Both
+ways give the same rows and columns.
+
+Defined cases: null texts have no words; a text of any length is searched as a whole, in time linear
+in it and its hits; an item without words has no window; items with a null id take no part; repeated
+items count once; repeated documents, and rows that share a doc_id or have none, give a row each, by
+their own text; an empty benchmark leaves all documents clean; an empty table gives no rows; other
+columns are kept, whatever their names, but ``hits`` replaces one named as one of its outputs.
 """
 
 from __future__ import annotations
@@ -25,8 +29,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .bytetext import SLICE_BYTES, text_parts
+from .common import fresh, numbered, staged
 
 WINDOW = 10
 #: Bytes of the block that indexes the shift table; patterns that are shorter use a shorter block.
@@ -107,20 +113,19 @@ class WuManber:
             at, stop = at[going], stop[going]
 
 
-def _part(rows: list[tuple[bytes, list[str]]]) -> tuple[list[WuManber], list[list[list[str]]]]:
-    """Searchers for long and for short patterns apart, so that a short one does not shorten all jumps."""
-    machines, owners = [], []
+def _part(rows: list[tuple[bytes, list[str]]]) -> list[tuple[WuManber, list[list[str]], np.ndarray]]:
+    """Searchers with their patterns' items and sizes in words; short patterns apart, so that they don't shorten all jumps."""
+    machines = []
     for wanted in (lambda p: len(p) >= 24, lambda p: len(p) < 24):
         own = [(p, ids) for p, ids in rows if wanted(p)]
         if own:
-            machines.append(WuManber([p for p, _ in own]))
-            owners.append([ids for _, ids in own])
-    return machines, owners
+            machines.append((WuManber([p for p, _ in own]), [ids for _, ids in own], np.array([p.count(b" ") - 1 for p, _ in own], np.int64)))
+    return machines
 
 
 def _scan(batches: Iterator[pa.RecordBatch], rows: list[tuple[bytes, list[str]]]) -> Iterator[tuple[pa.RecordBatch, list]]:
     """For each batch: per text its number of words, the marked word runs and the items met."""
-    machines, owners = _part(rows)
+    machines = _part(rows)
     for batch in batches:
         raw, offsets = text_parts(batch.column("text"))
         out, first = [], 0
@@ -134,14 +139,18 @@ def _scan(batches: Iterator[pa.RecordBatch], rows: list[tuple[bytes, list[str]]]
                 parts.append(b" " + b" ".join(own) + b" " if own else b"")
             text = b"\n".join(parts)
             starts = np.cumsum([0] + [len(p) + 1 for p in parts])
-            marks: list[set] = [set() for _ in parts]
+            spaces = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)  # one before each word, one at the end
+            before = np.searchsorted(spaces, starts[:-1])
+            marks: list[list] = [[] for _ in parts]
             items: list[set] = [set() for _ in parts]
-            for machine, own in zip(machines, owners, strict=True):
-                for at, p in machine.find(text):
-                    k = int(np.searchsorted(starts, at, "right")) - 1
-                    pattern = machine.patterns[p]
-                    begin = text.count(b" ", int(starts[k]), at)
-                    marks[k].add((begin, begin + pattern.count(b" ") - 1))
+            for machine, own, sizes in machines:
+                found = list(machine.find(text))
+                at, which = np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], np.int64)
+                text_of = np.searchsorted(starts, at, "right") - 1
+                begin = np.searchsorted(spaces, at) - before[text_of]
+                for k, a, b in zip(text_of.tolist(), begin.tolist(), (begin + sizes[which]).tolist(), strict=True):
+                    marks[k].append((a, b))
+                for k, p in set(zip(text_of.tolist(), which.tolist(), strict=True)):
                     items[k].update(own[p])
             out += zip(counts, marks, items, strict=True)
             first = end
@@ -158,9 +167,17 @@ def _runs(marks) -> list[list[int]]:
     return runs
 
 
+FIELDS = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
 SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
+def _reported(batch: pa.RecordBatch, columns: list, rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    """A batch of some columns with the report on each row's (number of words, runs, items)."""
+    told = list(zip(*(_report(*r) for r in rows), strict=True)) or [()] * len(FIELDS)
+    return pa.RecordBatch.from_arrays([*columns, *(pa.array(list(c), k) for c, k in zip(told, KINDS, strict=True))], names)
+
+
 def _report(n: int, runs: list[list[int]], items) -> tuple:
     names = sorted(items)
     return n, sum(b - a for a, b in runs), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(runs)
@@ -185,51 +202,56 @@ def pattern_table(benchmark: DataFrame) -> DataFrame:
 def hits(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """The columns of ``docs`` (doc_id, text at least) with n_words, n_hit, n_items, items_sha256, contaminated."""
     spark = docs.sparkSession
-    table = pattern_table(benchmark)
+    table = staged(pattern_table(benchmark), "patterns")
     total = table.agg(F.sum(F.octet_length("pattern") + F.lit(16) * F.size("items"))).first()[0] or 0
-    fields = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    own = [c for c in docs.columns if c not in fields]
+    own = [c for c in docs.columns if c not in FIELDS]
     docs = docs.select(own)
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
     n_parts = max(1, -(-total // part_bytes))
+
+    def held(k: int):
+        part = table.filter(F.pmod(F.xxhash64("pattern"), F.lit(n_parts)) == k)  # about ``part_bytes``
+        return spark.sparkContext.broadcast([(bytes(r["pattern"]), r["items"]) for r in part.collect()])
+
+    shape = StructType([*docs.schema.fields, *StructType.fromDDL(SCHEMA).fields])
     if n_parts == 1:
-        rows = [(bytes(r["pattern"]), r["items"]) for r in table.collect()]
-        held = spark.sparkContext.broadcast(rows)
+        patterns = held(0)
 
         def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch, found in _scan(batches, held.value):
-                columns = list(zip(*[_report(n, _runs(m), i) for n, m, i in found], strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], [*own, *fields])
+            for batch, found in _scan(batches, patterns.value):
+                yield _reported(batch, batch.columns, [(n, _runs(m), i) for n, m, i in found], [*own, *FIELDS])
 
-        return docs.mapInArrow(report, f"{shape}, {SCHEMA}")
+        return docs.mapInArrow(report, shape)
 
-    # a large benchmark: one pass for each part of the patterns; a document's marks meet by its key
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", F.xxhash64("text"), F.octet_length("text")))
+    row, marks, items = fresh(own, "row", "marks", "items")
+    docs = numbered(docs, row, "rows")
+    narrow = docs.select(F.col(row).alias("row"), "text")
     passes = []
     for k in range(n_parts):
-        rows = [(bytes(r["pattern"]), r["items"]) for r in table.filter(F.pmod(F.xxhash64("pattern"), F.lit(n_parts)) == k).collect()]
-        held = spark.sparkContext.broadcast(rows)
+        patterns = held(k)
 
-        def marks(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch, found in _scan(batches, held.value):
-                keep = [(r, n, _runs(m), sorted(i)) for r, (n, m, i) in zip(batch.column("_row").to_pylist(), found, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([r for r, *_ in keep], pa.int64()), pa.array([n for _, n, _, _ in keep], pa.int64()), pa.array([m for *_, m, _ in keep], pa.list_(pa.list_(pa.int64()))), pa.array([i for *_, i in keep], pa.list_(pa.string()))], ["_row", "n", "marks", "items"])
+        def met(batches: Iterator[pa.RecordBatch], patterns=patterns) -> Iterator[pa.RecordBatch]:
+            for batch, found in _scan(batches, patterns.value):
+                hit = [(r, _runs(m), sorted(i)) for r, (_, m, i) in zip(batch.column("row").to_pylist(), found, strict=True) if m]
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in hit], pa.int64()), pa.array([m for _, m, _ in hit], pa.list_(pa.list_(pa.int64()))), pa.array([i for *_, i in hit], pa.list_(pa.string()))], ["row", "marks", "items"])
 
-        passes.append(keyed.select("_row", "text").mapInArrow(marks, "_row long, n long, marks array<array<long>>, items array<string>"))
+        passes.append(staged(narrow.mapInArrow(met, "row long, marks array<array<long>>, items array<string>"), "marks"))
+        patterns.unpersist()
     united = passes[0]
     for other in passes[1:]:
         united = united.union(other)
-    # equal (doc_id, text) rows bring equal marks: sets, so repeats change nothing
-    met = united.groupBy("_row").agg(F.max("n").alias("n"), F.flatten(F.collect_set("marks")).alias("marks"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    united = united.groupBy(F.col("row").alias(row)).agg(F.flatten(F.collect_list("marks")).alias(marks), F.array_distinct(F.flatten(F.collect_list("items"))).alias(items))
+    told = docs.join(united, row, "left").select(*own, marks, items)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = zip(batch.column("n").to_pylist(), batch.column("marks").to_pylist(), batch.column("items").to_pylist(), strict=True)
-            columns = list(zip(*[_report(n, _runs(map(tuple, m)), i) for n, m, i in got], strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], ["_row", *fields])
+            raw, offsets = text_parts(batch.column(own.index("text")))
+            body = raw.tobytes()
+            sizes = [len(folded_words(body[a:b])) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            columns = batch.columns
+            found = zip(sizes, columns[-2].to_pylist(), columns[-1].to_pylist(), strict=True)
+            yield _reported(batch, columns[:-2], [(n, _runs(map(tuple, m or ())), i or ()) for n, m, i in found], [*own, *FIELDS])
 
-    return keyed.join(met.mapInArrow(finish, f"_row long, {SCHEMA}"), "_row").select(*own, *fields)
+    return told.mapInArrow(finish, shape)
 
 
 def op10_wu_manber(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -238,4 +260,6 @@ def op10_wu_manber(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a hit."""
-    return hits(docs, benchmark).filter(~F.col("contaminated")).select(docs.columns)
+    names = [c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]  # the outputs' names are free for them
+    clean = hits(docs.toDF(*names), benchmark).filter(~F.col("contaminated"))
+    return clean.select(names).toDF(*docs.columns)

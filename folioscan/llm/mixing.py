@@ -15,9 +15,14 @@ A stream is summed up in shards, and a shard begins where the one before it ends
 notice of shards. The driver holds one row per source and shard; the number of shards falls as the
 number of sources rises, to ``CELLS`` rows in all (one per source at least).
 
+A stream's order is a hash of the seed and a row's doc_id, size and text, so reruns agree however rows
+are dealt.
+
 Defined cases: a null text has no words; null is a source of its own, the last in order; documents
-without words take nothing; repeated rows are rows of their own, equal rows are interchangeable;
-an empty table gives no rows; all-empty texts give targets of 0.
+without words take nothing; rows that share a doc_id, and rows without one, are rows of their own,
+each with its own place in the stream; rows equal in doc_id and text are interchangeable; a text of any
+length is one document, cut by blocks anywhere; an empty table gives no rows; all-empty texts give
+targets of 0; other columns are ignored, and ``mixed_documents`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import fresh, numbered, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code point order, repeated.
@@ -125,26 +130,30 @@ def _plan(cells: list[tuple], names: list, goal: dict, sizes: dict, seed: int) -
     return rows, block
 
 
+def _size():
+    return F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))).cast("long")
+
+
 def mix_sources(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken for each document."""
-    spark = docs.sparkSession
-    narrow = staged(docs.select("doc_id", "source", F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))).cast("long").alias("size")), "mix")
-    return mixed(spark, narrow, seed)
+    narrow = staged(docs.select("doc_id", "source", _size().alias("size"), F.xxhash64("text").alias("digest")), "mix")
+    return mixed(narrow, seed).drop("source", "digest")
 
 
-def mixed(spark, narrow: DataFrame, seed: int = SEED) -> DataFrame:
-    """The same for rows of doc_id, source, size; other columns are kept."""
+def mixed(narrow: DataFrame, seed: int = SEED) -> DataFrame:
+    """Rows of doc_id, source, size, digest (and others) with source_size, target and taken."""
+    spark = narrow.sparkSession
     totals = {r["source"]: (r["size"], r["n"]) for r in narrow.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()}
     names = sorted((s for s in totals if s is not None)) + [None] * (None in totals)
     sizes = {s: totals[s][0] for s in names}
     goal = dict(zip(names, targets([sizes[s] for s in names], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(names))]), strict=True))
     rows = sum(n for _, n in totals.values())
     shards = max(1, min(rows // 200, CELLS // max(1, len(names))))
-    keyed = narrow.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("_cell", F.pmod("_order", F.lit(shards)).cast("int"))
+    keyed = narrow.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", "size", "digest")).withColumn("_cell", F.pmod("_order", F.lit(shards)).cast("int"))
     cells = [(r["source"], r["_cell"], r["size"]) for r in keyed.groupBy("source", "_cell").agg(F.sum("size").alias("size")).collect()]
     plan, block = _plan(cells, names, goal, sizes, seed)
     quotas = spark.createDataFrame([(*row, sizes[row[0]], goal[row[0]]) for row in plan], "q_source string, q_cell int, base long, full long, blocks long, extra long, part long, step long, start long, source_size long, target double")
-    window = Window.partitionBy("source", "_cell").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    window = Window.partitionBy("source", "_cell").orderBy("_order", "doc_id", "size", "digest").rowsBetween(Window.unboundedPreceding, 0)
     streamed = keyed.withColumn("_end", F.sum("size").over(window)).join(quotas, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("_cell") == F.col("q_cell")))
     end = F.col("base") + F.col("_end")
     begin = end - F.col("size")
@@ -157,8 +166,7 @@ def mixed(spark, narrow: DataFrame, seed: int = SEED) -> DataFrame:
 
     picked = F.when((F.col("size") > 0) & (F.col("extra") + F.col("part") > 0), F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), read)).otherwise(F.lit(0))
     taken = (F.col("full") * F.col("size") + picked).cast("long")
-    kept = [c for c in narrow.columns if c not in ("source_size", "target", "taken")]
-    return streamed.withColumn("taken", taken).select(*kept, "source_size", "target", "taken")
+    return streamed.select(*narrow.columns, "source_size", "target", taken.alias("taken"))
 
 
 def op9_sainte_lague(docs: DataFrame) -> DataFrame:
@@ -168,13 +176,13 @@ def op9_sainte_lague(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """``docs`` as the mix has them: whole documents, repeated up to ``EPOCHS`` times.
 
-    A document appears floor(taken / size) times, once more with the probability of the remainder,
-    drawn from the seed and the document's id. Documents without words are not mixed and go.
+    A row appears floor(taken / size) times, once more with the probability of the remainder,
+    drawn from the seed and the row's doc_id and text. Rows without words are not mixed and go.
     """
-    text_size = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))).cast("long")
-    own = docs.columns
-    narrow = staged(docs.select("doc_id", "source", text_size.alias("size")), "mix")
-    taken = mixed(docs.sparkSession, narrow, seed).filter("taken > 0").select("doc_id", F.col("taken").alias("_taken"), F.col("size").alias("_size")).dropDuplicates(["doc_id"])
-    draw = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(1 << 20)) / F.lit(1 << 20)
-    times = F.floor(F.col("_taken") / F.col("_size") + draw).cast("int")
-    return docs.join(taken, docs.doc_id.eqNullSafe(taken.doc_id)).drop(taken.doc_id).withColumn("_times", times).filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(own)
+    row, times = fresh(docs.columns, "row", "times")
+    rows = numbered(docs, row, "rows")
+    narrow = staged(rows.select(F.col(row).alias("row"), "doc_id", "source", _size().alias("size"), F.xxhash64("text").alias("digest")), "mix")
+    draw = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "digest"), F.lit(1 << 20)) / F.lit(1 << 20)
+    often = F.floor(F.col("taken") / F.col("size") + draw).cast("int")
+    told = mixed(narrow, seed).filter("taken > 0").select(F.col("row").alias(row), often.alias(times)).filter(F.col(times) > 0)
+    return rows.join(told, row).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(docs.columns)

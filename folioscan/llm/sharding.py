@@ -1,17 +1,20 @@
 """Sharding by a minimax contiguous partition.
 
-Texts are dealt to hash buckets (equal texts always to one bucket), and the buckets in hash order
-are the ordered atomic groups; buckets larger than an even share come first. The smallest shard capacity that fits them into ``n_shards``
+Texts are dealt to hash buckets (equal texts always to one bucket). The buckets are the atomic groups,
+ordered by falling size, then by number. The smallest shard capacity that fits them into ``n_shards``
 contiguous runs is found by binary search with a greedy check, and the runs are cut there. What
 is left after each cut is solved again for the shards that remain, so that a group larger than an
-even share does not leave the other shards uneven.
+even share leaves the other shards even; it comes first in the order, and the smallest groups, which
+make up the differences, come last.
 
-The driver holds one size per bucket, at most ``buckets`` rows whatever the input. A shard is off
-its even share by one bucket at most, or by the largest group of equal texts.
+The driver holds one size per bucket, at most ``buckets`` rows whatever the input, and sends one shard
+per bucket back. A shard is off its even share by one bucket at most, or by the largest group of equal
+texts.
 
-Defined cases: a null text has no bytes, its size is 1 and it goes with the empty texts; rows that
-are repeated get slots of their own; a null doc_id is a value like any other; an empty table gives
-no rows; a column of the input named as an output is replaced.
+Defined cases: a null text has no bytes, its size is 1 and it goes with the empty texts; a text of any
+length counts as a whole; rows that are repeated or share a doc_id get slots of their own; a null
+doc_id is a value like any other; an empty table gives no rows; other columns are kept, whatever their
+names, but one named as an output is replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import fresh, staged
 
 #: Rows that the driver may hold, and how finely shards can be cut.
 BUCKETS = 1 << 16
@@ -62,69 +65,60 @@ def cut_points(sizes: np.ndarray, shards: int) -> list[int]:
     return cuts
 
 
-def shard_of_bucket(weight: np.ndarray, shards: int) -> tuple[dict[int, int], list[int]]:
-    """Shards of the buckets larger than an even share, and the first bucket of each shard for the others."""
-    large = [int(b) for b in np.argsort(-weight, kind="stable")[:shards] if weight[b] * shards > weight.sum()]
-    others = np.setdiff1d(np.arange(len(weight)), large)
-    order = np.concatenate([np.array(large, np.int64), others])
+def shard_of_bucket(weight: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each bucket."""
+    order = np.argsort(-weight, kind="stable")
     cuts = np.array(cut_points(weight[order], shards))
-    shard = np.searchsorted(cuts, np.arange(len(order)), "right") - 1
-    first = [int(others[k]) if k < len(others) else len(weight) for k in np.searchsorted(shard[len(large) :], np.arange(shards))]
-    return {b: int(shard[k]) for k, b in enumerate(large)}, first
+    out = np.zeros(len(weight), np.int64)
+    out[order] = np.searchsorted(cuts, np.arange(len(order)), "right") - 1
+    return out
 
 
-def _bucket(text: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(text), F.lit(buckets)).cast("int")
+def placed(rows: DataFrame, names: list[str], n_shards: int, buckets: int = BUCKETS, cells: int = 1024) -> DataFrame:
+    """``rows`` with the columns ``names`` (size, text_crc32, bucket, cell of a row; shard and slot, which are added).
 
-
-def sized(docs: DataFrame, buckets: int = BUCKETS, cells: int = 1024) -> DataFrame:
-    """The columns of ``docs`` with size, text_crc32 and the keys that place a row."""
-    body = F.coalesce(F.col("text"), F.lit(""))
-    own = [c for c in docs.columns if c not in ("shard", "slot", "size", "text_crc32", "_bucket", "_cell", "_from")]
-    return docs.select(
-        *own,
-        (F.octet_length(body).cast("long") + 1).alias("size"),
-        F.crc32(body).alias("text_crc32"),
-        _bucket(body, buckets).alias("_bucket"),
-        F.pmod(F.xxhash64(F.col("doc_id")), F.lit(cells)).cast("int").alias("_cell"),
-    )
-
-
-def placed(rows: DataFrame, n_shards: int = 8, buckets: int = BUCKETS) -> DataFrame:
-    """``rows`` of ``sized`` with shard and slot.
-
-    Slots number a shard's rows from 0 without gaps: rows are numbered inside parts of the shard
-    dealt by doc_id, and each part starts where the parts before it end.
+    Slots number a shard's rows from 0 without gaps: rows are numbered inside cells of the shard
+    dealt by a hash, and each cell starts where the cells before it end.
     """
     spark = rows.sparkSession
+    size, crc, bucket, cell, shard, slot, start = names
     weight = np.zeros(buckets, np.int64)
-    for row in rows.groupBy("_bucket").agg(F.sum("size").alias("size")).collect():
-        weight[row["_bucket"]] = row["size"]
-    large, first = shard_of_bucket(weight, n_shards)
-    shard = F.lit(0)
-    for k, bucket in enumerate(first[1:], 1):
-        shard = F.when(F.col("_bucket") >= bucket, F.lit(k)).otherwise(shard)
-    for bucket, k in large.items():
-        shard = F.when(F.col("_bucket") == bucket, F.lit(k)).otherwise(shard)
-    rows = rows.withColumn("shard", shard.cast("int"))
+    for r in rows.groupBy(bucket).agg(F.sum(size).alias("n")).collect():
+        weight[r[bucket]] = r["n"]
+    where = shard_of_bucket(weight, n_shards).tolist()
+    met = [(b, where[b]) for b in np.flatnonzero(weight).tolist()]
+    rows = rows.join(F.broadcast(spark.createDataFrame(met, f"`{bucket}` int, `{shard}` int")), bucket)  # `buckets` rows at most
     starts, taken = [], [0] * n_shards
-    counts = rows.groupBy("shard", "_cell").agg(F.count(F.lit(1)).alias("n")).collect()
-    for s, c, n in sorted((r["shard"], r["_cell"], r["n"]) for r in counts):
+    for s, c, n in sorted(tuple(r) for r in rows.groupBy(shard, cell).agg(F.count(F.lit(1)).alias("n")).collect()):
         starts.append((s, c, taken[s]))
         taken[s] += n
-    offsets = F.broadcast(spark.createDataFrame(starts, "shard int, _cell int, _from long"))  # n_shards x cells rows at most
-    window = Window.partitionBy("shard", "_cell").orderBy("doc_id", "text_crc32", "size")
-    numbered = rows.withColumn("_at", F.row_number().over(window) - 1)
-    return numbered.join(offsets, ["shard", "_cell"]).withColumn("slot", F.col("_from") + F.col("_at")).drop("_bucket", "_cell", "_from", "_at")
+    offsets = F.broadcast(spark.createDataFrame(starts, f"`{shard}` int, `{cell}` int, `{start}` long"))  # n_shards x cells rows at most
+    window = Window.partitionBy(shard, cell).orderBy("doc_id", crc, size)
+    return rows.withColumn(slot, (F.row_number().over(window) - 1).cast("long")).join(offsets, [shard, cell]).withColumn(slot, F.col(start) + F.col(slot))
+
+
+def keyed(size: Column, crc: Column, buckets: int = BUCKETS, cells: int = 1024) -> tuple[Column, Column]:
+    """The bucket, by the text alone, and the cell of a row."""
+    return F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(buckets)).cast("int"), F.pmod(F.xxhash64("doc_id", size, crc), F.lit(cells)).cast("int")
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     """The columns of ``docs`` with size, text_crc32, shard and slot."""
     own = [c for c in docs.columns if c not in ("shard", "slot", "size", "text_crc32")]
-    return placed(sized(docs), n_shards).select(*own, "size", "text_crc32", "shard", "slot")
+    docs = docs.select(own)
+    names = fresh(own, "size", "text_crc32", "bucket", "cell", "shard", "slot", "start")
+    body = F.coalesce(F.col("text"), F.lit(""))
+    size, crc = F.octet_length(body).cast("long") + 1, F.crc32(body)
+    rows = docs.withColumns(dict(zip(names[:4], (size, crc, *keyed(size, crc)), strict=True)))
+    got = placed(rows, names, n_shards)
+    return got.select(*own, *(F.col(names[i]).alias(name) for i, name in ((0, "size"), (1, "text_crc32"), (4, "shard"), (5, "slot"))))
 
 
 def op7_minimax_shards(docs: DataFrame) -> DataFrame:
     """doc_id, size, text_crc32, law (``bytes``), shard, slot, grown_shard (null under this law)."""
-    narrow = staged(sized(docs.select("doc_id", "text")).drop("text"), "shards")
-    return placed(narrow).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    names = ["size", "text_crc32", "bucket", "cell", "shard", "slot", "start"]
+    body = F.coalesce(F.col("text"), F.lit(""))
+    size, crc = F.octet_length(body).cast("long") + 1, F.crc32(body)
+    bucket, cell = keyed(size, crc)
+    narrow = staged(docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"), bucket.alias("bucket"), cell.alias("cell")), "shards")
+    return placed(narrow, names, 8).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import packed, sliced, unpacked
-from .common import partitions, staged
+from .common import staged, tasks
 
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept string"
 
@@ -40,9 +40,9 @@ def opened(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 def by_slice(slices: DataFrame, **rows: DataFrame) -> DataFrame:
     """``slices`` with a list for each of ``rows`` (slice, other columns): its rows of the slice, as structs.
 
-    A few slices make a task, however many slices there are.
+    The number of tasks follows the number of slices.
     """
-    n = max(partitions(slices.sparkSession), slices.count() // 4)
+    n = tasks(slices.count())
     out = slices.repartition(n, "slice")
     for name, own in rows.items():
         fields = F.struct(*(c for c in own.columns if c != "slice"))

@@ -11,6 +11,12 @@ cover. Suffixes whose first ``PREFIX`` bytes occur in one document only can't ma
 exchanged: slices of the corpus exchange 4-byte fingerprints of their prefixes, dealt by hash, and
 get one bit back for each.
 
+Common prefixes. A suffix start that has many entries with different surroundings (over ``HOT``, told
+from the numbers and a few bits that come with the fingerprints) would make one huge group. Its
+windows go as entries of their own instead, dealt by the hash of the whole window, after a second
+exchange of fingerprints has dropped those of one document. So no group grows with the corpus but by
+windows that are equal, which each slice sends once.
+
 Merge sort. Each slice sorts its distinct entries and sends each part of the hash space one run,
 front-coded (length of the prefix shared with the entry before, and the rest). A loser tree merges
 the runs of a part; it compares lengths of known common prefixes first and bytes only behind them.
@@ -19,26 +25,29 @@ their smallest doc_id; where a suffix start has several entries, window by windo
 back to the slices, one number for each entry and more only where its windows differ.
 
 A slice sends an entry once, however often it occurs there, so a passage that very many documents
-share costs a row for each slice. Parts are even since they are dealt by hash. Slices are written
-to the shared folder; all later steps read them, so a lost executor repeats only its own step.
-
-Defined cases: null texts are empty; texts under ``MATCH`` bytes lose nothing; rows with one doc_id
-are one document, none of them removes from another; rows with a null doc_id are left whole and
-remove nothing; an empty table gives no rows; extra columns are ignored.
+share costs a row for each slice. Parts are even since they are dealt by hash, and a part is a task.
+Slices are written to the shared folder; all later steps read them, so a lost executor repeats only
+its own step.
+
+Defined cases: null texts are empty; texts under ``MATCH`` bytes lose nothing; a text longer than a
+slice is a slice of its own; rows with one doc_id are one document, none of them removes from another;
+rows with a null doc_id are left whole and remove nothing; repeated rows are cut alike; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from .bytetext import _BASE, _BYTE_CODE, U64, mix, packed, unpacked
-from .common import partitions, staged
+from .common import staged, tasks
 from .spans import by_slice, opened, reports, slice_table
 
 MATCH = 50
@@ -46,9 +55,11 @@ PREFIX = 24
 SPREAD = MATCH - PREFIX + 1  # prefixes in a window
 PIECE = 1 << 18
 #: Text in a slice; each slice sorts its own suffixes and sends a run to each part.
-SLICE = 16 << 20
-#: Prefixes that one part may hold: its fingerprints take four bytes each.
-PART_PREFIXES = 1_000_000
+SLICE = 8 << 20
+#: Prefixes in a part, about, up to a GB of text; parts grow with the root of the text beyond, so that runs don't get too short, up to the other number.
+PART_PREFIXES, MOST_PREFIXES = 250_000, 4_000_000
+#: Entries of one suffix start, from which on its windows go one by one.
+HOT = 4096
 _PLACE = U64((1 << 24) - 1)
 
 
@@ -107,10 +118,29 @@ def suffix_starts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return tuple(np.concatenate(x) for x in found)
 
 
+def parts_for(size: int) -> int:
+    """Parts for so many bytes of text, of which every SPREAD + 1 have two prefixes."""
+    room = min(MOST_PREFIXES, PART_PREFIXES * max(1.0, (size / (1 << 30)) ** 0.5))
+    return max(1, ceil(size * 2 / (SPREAD + 1) / room))
+
+
 def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     return (((hashes >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int64)
 
 
+def window_hashes(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of the MATCH bytes from each place."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(MATCH):
+        out = out * U64(_BASE) + _BYTE_CODE[raw[at + k]]
+    return mix(out)
+
+
+def _several(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether a group of rows holds several ids; groups begin at ``starts``."""
+    return np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts) if len(starts) else np.zeros(0, bool)
+
+
 class Slice:
     """Some texts with their suffixes in the order of their prefix hashes."""
 
@@ -127,18 +157,41 @@ class Slice:
         self.group = np.cumsum(new) - 1
         self.starts = np.flatnonzero(new)
 
-    def fingerprints(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, low 32 bits, whether several documents of the slice have it) of the distinct prefixes."""
-        ids = self.ids[self.text]
-        several = np.minimum.reduceat(ids, self.starts) != np.maximum.reduceat(ids, self.starts) if len(self.starts) else np.zeros(0, bool)
+    def fingerprints(self) -> tuple[np.ndarray, ...]:
+        """Of the distinct prefixes: hash, whether several documents of the slice have it, how often it is here (255 at most), which of 8 kinds of surroundings."""
         h = self.hashes[self.starts]
-        return h, (h & U64(0xFFFFFFFF)).astype(np.uint32), several
-
-    def keep(self, shared: np.ndarray) -> None:
-        """Go on with the suffixes whose distinct prefix is marked in ``shared``."""
-        own = shared[self.group] if len(self.group) else np.zeros(0, bool)
+        if not len(h):
+            return h, np.zeros(0, bool), np.zeros(0, np.uint8), np.zeros(0, np.uint8)
+        spare = np.concatenate([self.raw, np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(self.raw) + 1,), "<u8", buffer=spare.data, strides=(1,))
+        around = mix(eight[self.first] ^ mix(eight[self.last + MATCH - 8] + (self.at - self.first).astype(np.uint64)))
+        kinds = np.bitwise_or.reduceat(np.uint8(1) << (around >> U64(61)).astype(np.uint8), self.starts)
+        often = np.minimum(np.diff(np.append(self.starts, len(self.hashes))), 255).astype(np.uint8)
+        return h, _several(self.ids[self.text], self.starts), often, kinds
+
+    def keep(self, shared: np.ndarray, hot: np.ndarray) -> None:
+        """Go on with the suffixes whose distinct prefix is marked in ``shared``; windows of those marked in ``hot`` are set apart."""
+        own, apart = (x[self.group] if len(self.group) else np.zeros(0, bool) for x in (shared & ~hot, hot))
+        count = (self.last - self.first + 1)[apart]
+        window = np.repeat(self.first[apart] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        text, hashes = np.repeat(self.text[apart], count), window_hashes(self.raw, window)
+        order = np.argsort(hashes, kind="stable")
+        self.window, self.window_text, self.window_hashes = window[order], text[order], hashes[order]
+        self.window_starts = np.flatnonzero(np.diff(self.window_hashes, prepend=~self.window_hashes[:1]))
         self.first, self.last, self.at, self.hashes, self.text = self.first[own], self.last[own], self.at[own], self.hashes[own], self.text[own]
 
+    def window_fingerprints(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of the distinct windows set apart: hash, whether several documents of the slice have it."""
+        return self.window_hashes[self.window_starts], _several(self.ids[self.window_text], self.window_starts)
+
+    def add_windows(self, shared: np.ndarray) -> None:
+        """Go on with the windows set apart that are marked in ``shared`` too, as suffixes of one window."""
+        own = np.repeat(shared, np.diff(np.append(self.window_starts, len(self.window))))
+        window, text, hashes = self.window[own], self.window_text[own], self.window_hashes[own]
+        order = np.argsort(np.concatenate([self.hashes, hashes]), kind="stable")
+        self.first, self.last, self.at = (np.concatenate([x, window])[order] for x in (self.first, self.last, self.at))
+        self.text, self.hashes = np.concatenate([self.text, text])[order], np.concatenate([self.hashes, hashes])[order]
+
     def entries(self, parts: int) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
         """For each part: its number, the sorted distinct entries, and places of its suffixes with their entry."""
         body = memoryview(self.raw.tobytes())
@@ -168,7 +221,7 @@ class Run:
     """A front-coded sorted run, read entry by entry."""
 
     def __init__(self, shared: np.ndarray, sizes: np.ndarray, rest: np.ndarray) -> None:
-        self.shared, self.sizes, self.rest = shared.tolist(), sizes.tolist(), rest.tobytes()
+        self.shared, self.sizes, self.rest = shared.tobytes(), sizes.tobytes(), rest.tobytes()
         self.next, self.at, self.entry = 0, 0, b""
 
     def advance(self) -> int:
@@ -286,7 +339,7 @@ class Answers:
 def settle_part(runs: list[tuple[np.ndarray, ...]]) -> Answers:
     """Merge runs of (shared, sizes, rest, smallest documents) and settle every suffix start."""
     answers = Answers([len(r[1]) for r in runs])
-    documents = [r[3].tolist() for r in runs]
+    documents = [array("q", r[3].tobytes()) for r in runs]
     group: list = []
     for entry, shared, run, i in merge([Run(*r[:3]) for r in runs]):
         document = documents[run][i]
@@ -303,49 +356,101 @@ def settle_part(runs: list[tuple[np.ndarray, ...]]) -> Answers:
     return answers
 
 
+def _by_part(number: int, hashes: np.ndarray, parts: int, *columns: np.ndarray) -> pa.RecordBatch:
+    """slice, part, keys and the packed other columns of sorted hashes, a row for each part."""
+    edge = np.searchsorted(part_of(hashes, parts), np.arange(parts + 1))
+    own = np.flatnonzero(np.diff(edge)).tolist()
+    keys = (hashes & U64(0xFFFFFFFF)).astype(np.uint32)
+    blobs = [packed(keys[edge[p] : edge[p + 1]], *(c[edge[p] : edge[p + 1]] for c in columns)) for p in own]
+    return pa.RecordBatch.from_arrays([pa.array([number] * len(own), pa.int64()), pa.array(own, pa.int32()), pa.array(blobs, pa.binary())], ["slice", "part", "keys"])
+
+
 def _fingerprinted(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, blob in zip(batch.column("slice").to_pylist(), batch.column("blob"), strict=True):
-                h, keys, several = Slice(blob.as_py()).fingerprints()
-                edge = np.searchsorted(part_of(h, parts), np.arange(parts + 1))
-                own = [p for p in range(parts) if edge[p + 1] > edge[p]]
-                rows = [(keys[edge[p] : edge[p + 1]].tobytes(), np.packbits(several[edge[p] : edge[p + 1]]).tobytes()) for p in own]
-                yield pa.RecordBatch.from_arrays([pa.array([number] * len(own), pa.int64()), pa.array(own, pa.int32()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["slice", "part", "keys", "several"])
+                h, several, often, kinds = Slice(blob.as_py()).fingerprints()
+                yield _by_part(number, h, parts, several, often, kinds)
 
     return run
 
 
-def _shared_prefixes(table: pa.Table) -> pa.Table:
-    """For the fingerprints of a part: one bit each, whether two slices or two documents have it."""
-    keys = [np.frombuffer(k.as_py(), np.uint32) for k in table.column("keys")]
-    several = [np.unpackbits(np.frombuffer(s.as_py(), np.uint8), count=len(k)).astype(bool) for s, k in zip(table.column("several"), keys, strict=True)]
+def _shared(keys: list[np.ndarray], several: list[np.ndarray], often: list[np.ndarray] | None = None, kinds: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of all fingerprints of a part: whether two slices or two documents have it, and whether it is hot."""
     everything = np.concatenate([*keys, np.zeros(0, np.uint32)])
     order = np.argsort(everything, kind="stable")
     ranked = everything[order]
-    equal = np.zeros(len(ranked), bool)
-    equal[1:] = ranked[1:] == ranked[:-1]
-    equal[:-1] |= ranked[1:] == ranked[:-1]
-    marked = np.zeros(len(ranked), bool)
-    marked[order] = equal
+    new = np.ones(len(ranked), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    starts = np.flatnonzero(new)
+    count = np.diff(np.append(starts, len(ranked)))
+    marked, hot = np.zeros(len(ranked), bool), np.zeros(len(ranked), bool)
+    marked[order] = np.repeat(count > 1, count)
     marked |= np.concatenate([*several, np.zeros(0, bool)])
+    if often is not None and len(starts):
+        total = np.add.reduceat(np.concatenate(often)[order].astype(np.int64), starts)
+        ways = np.bitwise_or.reduceat(np.concatenate(kinds)[order], starts)
+        hot[order] = np.repeat((total > HOT) & (np.unpackbits(ways[:, None], axis=1).sum(axis=1) >= 6), count)
+    return marked, hot
+
+
+def _told(table: pa.Table, keys: list[np.ndarray], marked: np.ndarray, hot: np.ndarray) -> pa.Table:
     edge = np.cumsum([0] + [len(k) for k in keys])
-    bits = [np.packbits(marked[a:b]).tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
-    return pa.table({"slice": table.column("slice"), "part": table.column("part"), "bits": pa.array(bits, pa.binary()), "n": pa.array([len(k) for k in keys], pa.int32())})
+    bits = [[np.packbits(x[a:b]).tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)] for x in (marked, hot)]
+    n_hot = [int(hot[a:b].sum()) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    return pa.table({"slice": table.column("slice"), "part": table.column("part"), "bits": pa.array(bits[0], pa.binary()), "hot": pa.array(bits[1], pa.binary()), "n": pa.array([len(k) for k in keys], pa.int32()), "n_hot": pa.array(n_hot, pa.int32())})
+
+
+def _shared_prefixes(table: pa.Table) -> pa.Table:
+    """For the fingerprints of a part: a bit each, whether two slices or two documents have it, and whether it is hot."""
+    found = [unpacked(k.as_py(), np.uint32, np.bool_, np.uint8, np.uint8) for k in table.column("keys")]
+    columns = [list(c) for c in zip(*found, strict=True)] or [[]] * 4
+    return _told(table, columns[0], *_shared(*columns))
 
 
-def _kept(blob: bytes, bits: list[dict]) -> Slice:
+def _shared_windows(table: pa.Table) -> pa.Table:
+    found = [unpacked(k.as_py(), np.uint32, np.bool_) for k in table.column("keys")]
+    columns = [list(c) for c in zip(*found, strict=True)] or [[]] * 2
+    return _told(table, columns[0], *_shared(*columns))
+
+
+BITS = "slice long, part int, bits binary, hot binary, n int, n_hot int"
+
+
+def _marks(rows: list[dict] | None, column: str) -> np.ndarray:
+    """The bits of a slice's fingerprints, in their order."""
+    marks = [np.unpackbits(np.frombuffer(b[column], np.uint8), count=b["n"]).astype(bool) for b in sorted(rows or [], key=lambda b: b["part"])]
+    return np.concatenate([*marks, np.zeros(0, bool)])
+
+
+def _apart(blob: bytes, bits: list[dict] | None) -> Slice:
     own = Slice(blob)
-    marks = [np.unpackbits(np.frombuffer(b["bits"], np.uint8), count=b["n"]).astype(bool) for b in sorted(bits or [], key=lambda b: b["part"])]
-    own.keep(np.concatenate([*marks, np.zeros(0, bool)]))
+    own.keep(_marks(bits, "bits"), _marks(bits, "hot"))
     return own
 
 
-def _runs(parts: int):
+def _kept(blob: bytes, bits: list[dict] | None, windows: list[dict] | None) -> Slice:
+    own = _apart(blob, bits)
+    if len(own.window):
+        own.add_windows(_marks(windows, "bits"))
+    return own
+
+
+def _window_prints(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, blob, bits in zip(batch.column("slice").to_pylist(), batch.column("blob"), batch.column("bits").to_pylist(), strict=True):
-                own = _kept(blob.as_py(), bits)
+                h, several = _apart(blob.as_py(), bits).window_fingerprints()
+                yield _by_part(number, h, parts, several)
+
+    return run
+
+
+def _runs(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, blob, bits, windows in zip(*(batch.column(c).to_pylist() for c in ("slice", "blob", "bits", "windows")), strict=True):
+                own = _kept(blob, bits, windows)
                 numbers, blobs = [], []
                 for part, names, rows, entry in own.entries(parts):
                     low = np.full(len(names), np.iinfo(np.int64).max)
@@ -397,27 +502,37 @@ def removed_bytes(own: Slice, answers: list[dict], parts: int) -> np.ndarray:
     return np.cumsum(change[:-1], dtype=np.int32) > 0
 
 
+def _listed(rows) -> list[dict] | None:
+    return None if rows is None else rows.to_pylist()
+
+
 def _gone(parts: int):
     def run(row: dict):
-        own = _kept(row["blob"], row["bits"].to_pylist() if row["bits"] is not None else None)
-        return (own.ids, own.named, own.offsets, own.raw), removed_bytes(own, row["answers"].to_pylist() if row["answers"] is not None else None, parts)
+        own = _kept(row["blob"], _listed(row["bits"]), _listed(row["windows"]))
+        return (own.ids, own.named, own.offsets, own.raw), removed_bytes(own, _listed(row["answers"]), parts)
 
     return run
 
 
 def deduplicate(docs: DataFrame, whole_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept: the remaining text, or the SHA-256 of its bytes."""
-    spark = docs.sparkSession
     cut = slice_table(docs, SLICE)
-    total = cut.agg(F.sum("size")).first()[0] or 0
-    parts = max(partitions(spark), -(-total * 2 // (SPREAD + 1) // PART_PREFIXES), 1)
-    prints = cut.select("slice", "blob").mapInArrow(_fingerprinted(parts), "slice long, part int, keys binary, several binary")
-    shared = prints.repartition(parts, "part").groupBy("part").applyInArrow(_shared_prefixes, "slice long, part int, bits binary, n int")
-    shared = staged(shared, "bits")
+    parts = parts_for(cut.agg(F.sum("size")).first()[0] or 0)
     cut = cut.select("slice", "blob")
-    runs = by_slice(cut, bits=shared).mapInArrow(_runs(parts), "slice long, part int, run binary")
-    answers = staged(runs.repartition(parts, "part").groupBy("part").applyInArrow(_settled, "slice long, part int, answer binary"), "answers")
-    return reports(by_slice(cut, bits=shared, answers=answers), _gone(parts), whole_text)
+
+    def by_part(rows: DataFrame) -> GroupedData:
+        return rows.repartition(tasks(parts), "part").groupBy("part")
+
+    prints = cut.mapInArrow(_fingerprinted(parts), "slice long, part int, keys binary")
+    shared = staged(by_part(prints).applyInArrow(_shared_prefixes, BITS), "bits")
+    # only slices that hold a hot prefix are read for their windows
+    hot = cut.join(shared.filter("n_hot > 0").select("slice").distinct(), "slice", "left_semi")
+    windows = by_slice(hot, bits=shared.drop("n_hot")).mapInArrow(_window_prints(parts), "slice long, part int, keys binary")
+    windows = staged(by_part(windows).applyInArrow(_shared_windows, BITS), "windows")
+    marked = {"bits": shared.drop("n_hot"), "windows": windows.drop("hot", "n_hot")}
+    runs = by_slice(cut, **marked).mapInArrow(_runs(parts), "slice long, part int, run binary")
+    answers = staged(by_part(runs).applyInArrow(_settled, "slice long, part int, answer binary"), "answers")
+    return reports(by_slice(cut, **marked, answers=answers), _gone(parts), whole_text)
 
 
 def op4_suffix_merge(docs: DataFrame) -> DataFrame:

@@ -8,13 +8,19 @@ best score. Inside a block, the leading coordinates give a partial product, and
 rests bound what is missing (Cauchy-Schwarz); only candidates whose bound reaches the k-th best
 are multiplied out, in integers. The first k-th best scores come from the longest vectors.
 
-Queries form blocks of ``QUERY_BLOCK`` and meet every part of the candidates, which is the stated
-query set against all rows in blocks. A part returns k candidates for each query at most.
+Search. Every query first meets one blob of the longest vectors, which gives its k-th best score so
+far, and so the length that a vector must have to be of use to it. Queries are put in the order of
+that need and taken in groups of ``GROUP_BYTES``. A group is broadcast, and the parts of candidates
+long enough for one of its queries are read, once, where they lie; nothing is shuffled but the k best
+of each query and task. A task raises its queries' k-th best scores from part to part. This is the
+stated query set against all rows, in blocks.
 
 Defined cases: vectors that are null or hold a null, NaN or infinity take no part; shorter vectors
-count as filled up with zeros; rows that share an id are one vector, the smallest; rows with a
-null id take no part; fewer than k candidates give fewer ranks; ties go to the smaller id.
-Products are exact while they stay within 64 bits.
+count as filled up with zeros; rows equal in id and vector count once; of rows that share an id but
+not the vector each is a candidate and, where the id is a query's, a query with ranks of its own, for
+which the other ones are candidates; rows with a null id take no part; fewer than k candidates give
+fewer ranks; ties go to the smaller id; an empty table gives no rows; other columns are ignored.
+Vectors so long that a product could leave 64 bits raise an error before anything is searched.
 """
 
 from __future__ import annotations
@@ -26,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, staged
+from .common import numbered, partitions, staged
 
 K = 5
 SCALE = 256
 QUERY_STEP = 50
+#: Queries in one step of the search, and bytes of the vectors of one broadcast group.
 QUERY_BLOCK = 2048
+GROUP_BYTES = 32 << 20
 #: Candidates in one blob, and in one step of the search.
 PART = 4096
 STEP = 512
@@ -44,9 +52,8 @@ def whole_vectors(rows: DataFrame) -> DataFrame:
     """vec_id, v array<long>, norm of the vectors that take part."""
     fine = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("x")).filter("vec_id is not null and x is not null")
     fine = fine.filter(F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    one = fine.groupBy("vec_id").agg(F.min("x").alias("x"))
     v = F.transform("x", lambda x: F.floor(x * SCALE).cast("long"))
-    return one.select("vec_id", v.alias("v")).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)))
+    return fine.distinct().select("vec_id", v.alias("v")).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)))
 
 
 def _stack(column: pa.Array, dim: int) -> np.ndarray:
@@ -60,22 +67,28 @@ def _stack(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _grams(dim: int):
+    """Rows of this task's Gram matrix."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dim, dim))
         for batch in batches:
             x = _stack(batch.column("v"), dim).astype(np.float64)
             total += x.T @ x
-        i, j = np.meshgrid(np.arange(dim), np.arange(dim), indexing="ij")
-        yield pa.RecordBatch.from_arrays([pa.array(i.ravel().astype(np.int32)), pa.array(j.ravel().astype(np.int32)), pa.array(total.ravel())], ["i", "j", "g"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim, dtype=np.int32)), pa.array([row.tobytes() for row in total], pa.binary())], ["i", "g"])
 
     return run
 
 
+def _summed(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(g.as_py()) for g in table.column("g"))
+    return pa.table({"i": table.column("i").slice(0, 1), "g": pa.array([total.tobytes()], pa.binary())})
+
+
 def rotation(vectors: DataFrame, dim: int) -> np.ndarray:
     """The right singular vectors of the table, strongest first; dim x dim numbers reach the driver."""
     gram = np.zeros((dim, dim))
-    for r in vectors.select("v").mapInArrow(_grams(dim), "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g")).collect():
-        gram[r["i"], r["j"]] = r["g"]
+    for r in vectors.select("v").mapInArrow(_grams(dim), "i int, g binary").groupBy("i").applyInArrow(_summed, "i int, g binary").collect():
+        gram[r["i"]] = np.frombuffer(r["g"])
     _, basis = np.linalg.eigh((gram + gram.T) / 2)
     return np.ascontiguousarray(basis[:, ::-1])
 
@@ -95,119 +108,136 @@ class _Best:
             self.floor[q] = max(self.floor[q], -rows[-1][0])
 
 
-def search(queries: tuple, candidates: tuple, k: int, floor: np.ndarray) -> list[list[tuple[int, int]]]:
-    """For each query its k best (score, id) among the candidates, none below ``floor``.
-
-    Both sides are (ids, integer vectors, rotated vectors); candidates come in any order and are
-    taken by falling length.
-    """
-    q_ids, q, q_turned = queries
-    c_ids, c, c_turned = candidates
-    length = np.sqrt((c_turned**2).sum(axis=1))
-    order = np.argsort(-length, kind="stable")
-    c_ids, c, c_turned, length = c_ids[order], c[order], c_turned[order], length[order]
-    lead = min(LEAD, c.shape[1])
-    c_rest = np.sqrt((c_turned[:, lead:] ** 2).sum(axis=1))
-    q_length = np.sqrt((q_turned**2).sum(axis=1))
-    q_rest = np.sqrt((q_turned[:, lead:] ** 2).sum(axis=1))
-    best = _Best(len(q_ids), k, floor)
-    for at in range(0, len(c_ids), STEP):
-        end = min(len(c_ids), at + STEP)
-        reach = q_length * length[at]
-        open_ = np.flatnonzero(reach + SLACK * (1 + reach) >= best.floor)
-        if not len(open_):
-            break
-        partial = q_turned[open_, :lead] @ c_turned[at:end, :lead].T
-        bound = partial + q_rest[open_, None] * c_rest[None, at:end] + SLACK * (1 + reach[open_])[:, None]
-        fits = (bound >= best.floor[open_][:, None]) & (q_ids[open_][:, None] != c_ids[None, at:end])
-        row, col = np.nonzero(fits)
-        if not len(row):
-            continue
-        score = np.einsum("ij,ij->i", q[open_[row]], c[at + col])
-        edge = np.searchsorted(row, np.arange(len(open_) + 1))
-        for i in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
-            own = slice(edge[i], edge[i + 1])
-            keep = score[own] >= best.floor[open_[i]]
-            if keep.any():
-                best.offer(int(open_[i]), c_ids[at + col[own][keep]], score[own][keep])
-    return [[(-s, i) for s, i in rows] for rows in best.rows]
+class Vectors:
+    """Rows, ids, integer vectors and their rotated form, by falling length."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, v: np.ndarray, basis: np.ndarray) -> None:
+        turned = v @ basis
+        length = np.sqrt((turned**2).sum(axis=1))
+        order = np.argsort(-length, kind="stable")
+        self.rows, self.ids, self.v, self.turned, self.length = rows[order], ids[order], v[order], turned[order], length[order]
+        self.lead = min(LEAD, v.shape[1])
+        self.rest = np.sqrt((self.turned[:, self.lead :] ** 2).sum(axis=1))
+
+
+def search(queries: Vectors, candidates: Vectors, best: _Best) -> None:
+    """Offer ``best`` every candidate that may be among the k best of a query."""
+    q, c = queries, candidates
+    for block in range(0, len(q.ids), QUERY_BLOCK):
+        own = np.arange(block, min(len(q.ids), block + QUERY_BLOCK))
+        for at in range(0, len(c.ids), STEP):
+            end = min(len(c.ids), at + STEP)
+            reach = q.length[own] * c.length[at]
+            open_ = own[reach + SLACK * (1 + reach) >= best.floor[own]]
+            if not len(open_):
+                break
+            slack = SLACK * (1 + q.length[open_] * c.length[at])
+            bound = q.turned[open_, : q.lead] @ c.turned[at:end, : q.lead].T + q.rest[open_, None] * c.rest[None, at:end] + slack[:, None]
+            row, col = np.nonzero((bound >= best.floor[open_][:, None]) & (q.rows[open_][:, None] != c.rows[None, at:end]))
+            if not len(row):
+                continue
+            score = np.einsum("ij,ij->i", q.v[open_[row]], c.v[at + col])
+            edge = np.searchsorted(row, np.arange(len(open_) + 1))
+            for i in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
+                part = slice(edge[i], edge[i + 1])
+                keep = score[part] >= best.floor[open_[i]]
+                if keep.any():
+                    best.offer(int(open_[i]), c.ids[at + col[part][keep]], score[part][keep])
+
+
+BLOB = "rows binary, ids binary, vectors binary, longest double"
 
 
 def _blobs(dim: int, size: int):
-    """Rows gathered to (ids, vectors) blobs of ``size`` rows at most."""
+    """Rows of row, vec_id, v, norm gathered to blobs of ``size`` rows at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), size):
                 part = batch.slice(at, size)
-                ids = part.column("vec_id").to_numpy(zero_copy_only=False).astype(np.int64)
-                v = _stack(part.column("v"), dim)
-                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([v.astype(np.int64).tobytes()], pa.binary()), pa.array([float(np.max(part.column("norm").to_numpy(zero_copy_only=False), initial=0.0))])], ["ids", "vectors", "longest"])
+                rows, ids = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("row", "vec_id"))
+                longest = float(np.max(part.column("norm").to_numpy(zero_copy_only=False), initial=0.0))
+                yield pa.RecordBatch.from_arrays([*(pa.array([x.tobytes()], pa.binary()) for x in (rows, ids, _stack(part.column("v"), dim))), pa.array([longest])], ["rows", "ids", "vectors", "longest"])
 
     return run
 
 
-def _unblob(ids: bytes, vectors: bytes, basis: np.ndarray) -> tuple:
-    ids = np.frombuffer(ids, np.int64)
-    v = np.frombuffer(vectors, np.int64).reshape(len(ids), -1)
-    return ids, v, v @ basis
+def _unblob(rows: bytes, ids: bytes, vectors: bytes, basis: np.ndarray) -> Vectors:
+    rows, ids = np.frombuffer(rows, np.int64), np.frombuffer(ids, np.int64)
+    return Vectors(rows, ids, np.frombuffer(vectors, np.int64).reshape(len(ids), -1), basis)
+
 
+def _needs(held, basis: np.ndarray, dim: int, k: int):
+    """Queries with their k-th best score among the longest vectors, and the length that a better one has at least."""
 
-def _searched(basis: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longest = _unblob(*held.value, basis)
         for batch in batches:
-            for row in batch.to_pylist():
-                queries = _unblob(row["q_ids"], row["q_vectors"], basis)
-                floor = np.frombuffer(row["floor"], np.float64) if row["floor"] is not None else np.full(len(queries[0]), -np.inf)
-                found = search(queries, _unblob(row["ids"], row["vectors"], basis), k, floor)
-                flat = [(int(q), i, s) for q, rows in zip(queries[0], found, strict=True) for s, i in rows]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.int64()), pa.array([x[2] for x in flat], pa.int64())], ["query_id", "vec_id", "score"])
+            n = len(batch)
+            queries = Vectors(batch.column("row").to_numpy(), np.arange(n), _stack(batch.column("v"), dim), basis)
+            best = _Best(n, k, np.full(n, -np.inf))
+            search(queries, longest, best)
+            floor, need = np.empty(n), np.empty(n)
+            floor[queries.ids] = best.floor
+            need[queries.ids] = np.where(best.floor > 0, best.floor / np.maximum(queries.length, 1e-300), 0.0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "vec_id", "v", "norm")), pa.array(floor), pa.array(need)], ["row", "vec_id", "v", "norm", "floor", "need"])
 
     return run
 
 
-def _floors(held, basis: np.ndarray, k: int):
-    """Query blobs with each query's k-th best score against one blob of the longest vectors."""
+def _searched(held, basis: np.ndarray, k: int):
+    """The k best of this task's parts for each query of a group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, ids, v, floors = held.value
+        queries = Vectors(rows, ids, v, basis)
+        order = np.argsort(rows)
+        best = _Best(len(rows), k, floors[order[np.searchsorted(rows[order], queries.rows)]])
         for batch in batches:
-            for row in batch.to_pylist():
-                queries = _unblob(row["q_ids"], row["q_vectors"], basis)
-                found = search(queries, _unblob(*held.value, basis), k, np.full(len(queries[0]), -np.inf))
-                floor = np.array([rows[-1][0] if len(rows) == k else -np.inf for rows in found], np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([row["q_ids"]], pa.binary()), pa.array([row["q_vectors"]], pa.binary()), pa.array([floor.tobytes()], pa.binary())], ["block", "q_ids", "q_vectors", "floor"])
+            for i in range(len(batch)):
+                search(queries, _unblob(*(batch.column(c)[i].as_py() for c in ("rows", "ids", "vectors")), basis), best)
+        flat = [(int(r), int(q), i, -s) for r, q, own in zip(queries.rows, queries.ids, best.rows, strict=True) for s, i in own]
+        yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in flat], pa.int64()) for n in range(4)], ["row", "query_id", "vec_id", "score"])
 
     return run
 
 
-def top_k(rows: DataFrame, k: int = K, query_step: int = QUERY_STEP) -> DataFrame:
+def top_k(rows: DataFrame, k: int = K, query_step: int = QUERY_STEP, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of each row whose id ``query_step`` divides."""
     spark = rows.sparkSession
-    vectors = staged(whole_vectors(rows), "vectors")
-    dim = max(1, vectors.agg(F.max(F.size("v"))).first()[0] or 1)
+    vectors = numbered(whole_vectors(rows), "row", "vectors")
+    dim, norm = vectors.agg(F.max(F.size("v")), F.max("norm")).first()
+    if norm is not None and norm * norm >= float(1 << 62):
+        raise ArithmeticError(f"a vector of length {norm:.3g} in steps of 1/{SCALE} has products that may leave 64 bits")
+    dim = max(1, dim or 1)
     basis = rotation(vectors, dim)
-    ordered = vectors.repartitionByRange(partitions(spark), F.desc("norm"), "vec_id")  # ids spread equal lengths
-    blob = "ids binary, vectors binary, longest double"
-    parts = staged(ordered.select("vec_id", "v", "norm").mapInArrow(_blobs(dim, PART), blob), "parts")
-    asked = vectors.filter(F.col("vec_id") % query_step == 0)
-    asked = vectors.filter(F.col("vec_id") % query_step == 0)
-    n_blocks = -(-asked.count() // QUERY_BLOCK)
-    asked = asked.repartition(max(1, n_blocks), F.xxhash64("vec_id")).select("vec_id", "v", "norm")
-    asked = asked.mapInArrow(_blobs(dim, QUERY_BLOCK), blob).select(F.monotonically_increasing_id().alias("block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    longest = parts.orderBy(F.desc("longest"), "ids").select("ids", "vectors").first()  # one blob, PART rows at most
-    held = spark.sparkContext.broadcast((bytes(longest["ids"]), bytes(longest["vectors"])) if longest else (b"", b""))
-    floors = staged(asked.mapInArrow(_floors(held, basis, k), "block long, q_ids binary, q_vectors binary, floor binary"), "floors")
-    names = sorted(r["block"] for r in floors.select("block").collect())  # one for QUERY_BLOCK queries
-    numbers = spark.createDataFrame([(b, i) for i, b in enumerate(names)], "block long, q_block int")
-    # each part meets each block of queries, both as blobs; a block goes to ``spread`` places, so that its parts don't meet in one task
-    spread = max(1, parts.count() // 2)
-    met = parts.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1)) if names else F.array().cast("array<int>")))
-    met = met.withColumn("place", F.pmod(F.xxhash64("ids"), F.lit(spread)).cast("int"))
-    asked = floors.join(numbers, "block").withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    keys, n = ["q_block", "place"], partitions(spark)  # a fixed number of tasks: the blobs are small but the work is not
-    found = met.repartition(n, *keys).join(asked.repartition(n, *keys), keys).select("q_ids", "q_vectors", "floor", "ids", "vectors").mapInArrow(_searched(basis, k), "query_id long, vec_id long, score long")
-    window = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ordered = vectors.repartitionByRange(partitions(spark), F.desc("norm"), "row")  # rows spread equal lengths
+    parts = staged(ordered.select("row", "vec_id", "v", "norm").mapInArrow(_blobs(dim, PART), BLOB), "parts")
+    longest = parts.orderBy(F.desc("longest"), "rows").select("rows", "ids", "vectors").first()  # one blob, PART rows at most
+    found = []
+    if longest:
+        held = spark.sparkContext.broadcast(tuple(map(bytes, longest)))
+        asked = vectors.filter(F.col("vec_id") % query_step == 0).select("row", "vec_id", "v", "norm")
+        asked = staged(asked.mapInArrow(_needs(held, basis, dim, k), "row long, vec_id long, v array<long>, norm double, floor double, need double"), "asked")
+        held.unpersist()
+        n = -(-asked.count() // max(1, group_bytes // (8 * dim)))
+        asked = staged(asked.repartitionByRange(n, "need", "row").withColumn("group", F.spark_partition_id()), "groups") if n else asked.withColumn("group", F.lit(0))
+        for r in asked.groupBy("group").agg(F.min("need").alias("need")).orderBy("group").collect():  # one row for GROUP_BYTES of queries
+            own = asked.filter(F.col("group") == r["group"]).toPandas()
+            v = np.zeros((len(own), dim), np.int64)
+            for i, x in enumerate(own["v"]):
+                v[i, : len(x)] = x
+            group = spark.sparkContext.broadcast((own["row"].to_numpy(), own["vec_id"].to_numpy(), v, own["floor"].to_numpy()))
+            reached = parts.filter(F.col("longest") * (1 + SLACK) + SLACK >= F.lit(r["need"]))
+            found.append(staged(reached.mapInArrow(_searched(group, basis, k), "row long, query_id long, vec_id long, score long"), "found"))
+            group.unpersist()
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    united = found[0]
+    for other in found[1:]:
+        united = united.union(other)
+    window = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    return united.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op1_norm_sorted_topk(embeddings: DataFrame) -> DataFrame:
@@ -216,19 +246,18 @@ def op1_norm_sorted_topk(embeddings: DataFrame) -> DataFrame:
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, min(list_transform(embedding, lambda x: x::DOUBLE)) AS x
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-  GROUP BY vec_id
-), w AS (SELECT vec_id, list_transform(x, lambda e: floor(256 * e)::BIGINT) AS v FROM v),
+), w AS (SELECT row_number() OVER (ORDER BY vec_id, x) AS r, vec_id, list_transform(x, lambda e: floor(256 * e)::BIGINT) AS v FROM v),
 p AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+  SELECT q.r, q.vec_id AS query_id, c.vec_id AS vec_id,
          list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
-  FROM w q JOIN w c ON q.vec_id <> c.vec_id
+  FROM w q JOIN w c ON q.r <> c.r
   WHERE q.vec_id % 50 = 0
 ), r AS (
-  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM p
+  SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM p
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

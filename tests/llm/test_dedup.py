@@ -5,9 +5,11 @@ from collections import Counter
 from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from folioscan.llm import bagminhash, chunks, suffixes
+from folioscan.llm.bytetext import packed, sliced
 from folioscan.llm.graph import components
 
 DOCS = "doc_id long, text string, kept string, n_bytes int"
@@ -286,3 +288,35 @@ def test_suffix_starts_do_not_depend_on_the_step(monkeypatch):
     for step in (64, 101, 1000):
         monkeypatch.setattr(suffixes, "PIECE", step)
         assert windows() == whole
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_suffix_dedup_with_a_hot_prefix_equals_brute_force(spark, seed, monkeypatch):
+    monkeypatch.setattr(suffixes, "SLICE", 4000)
+    r = random.Random(40 + seed)
+    passage = prose(r, 12)
+    told = []
+    docs = [(i, prose(r, r.randrange(1, 6)) + " " + passage + prose(r, r.randrange(1, 9))) for i in range(90)]
+    docs += [(i, t + "!") for i, t in enumerate([t for _, t in docs[:20]], 100)]
+    blobs = []
+    for number, size, *arrays in sliced([pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs]), pa.array([t for _, t in docs])], ["doc_id", "text"])], 0, 4000):
+        assert size <= 4000
+        blobs.append((number, packed(*arrays)))
+    assert len(blobs) > 2
+    monkeypatch.setattr(suffixes, "HOT", 40)
+    prints = pa.Table.from_batches(list(suffixes._fingerprinted(1)([pa.RecordBatch.from_arrays([pa.array([n for n, _ in blobs]), pa.array([b for _, b in blobs])], ["slice", "blob"])])))
+    bits = suffixes._shared_prefixes(prints).to_pylist()
+    assert sum(b["n_hot"] for b in bits) > 0
+    marked = [suffixes._apart(b, [x for x in bits if x["slice"] == n]) for n, b in blobs]
+    assert all(len(x.window) for x in marked)
+    parts = pa.Table.from_batches([suffixes._by_part(n, x.window_fingerprints()[0], 1, x.window_fingerprints()[1]) for (n, _), x in zip(blobs, marked, strict=True)])
+    windows = suffixes._shared_windows(parts).to_pylist()
+    runs = pa.Table.from_batches(list(suffixes._runs(1)([pa.RecordBatch.from_pylist([{"slice": n, "blob": b, "bits": [x for x in bits if x["slice"] == n], "windows": [x for x in windows if x["slice"] == n]} for n, b in blobs])])))
+    answers = suffixes._settled(runs).to_pylist()
+    for n, b in blobs:
+        own = suffixes._kept(b, [x for x in bits if x["slice"] == n], [x for x in windows if x["slice"] == n])
+        told.append((own, suffixes.removed_bytes(own, [a for a in answers if a["slice"] == n], 1)))
+    want = brute_removed(docs)
+    for own, gone in told:
+        for i, d in enumerate(own.ids.tolist()):
+            assert gone[own.offsets[i] : own.offsets[i + 1]].sum() == want[d][1]

@@ -46,10 +46,32 @@ def test_search_prunes_and_stays_exact():
     c = rng.integers(-300, 300, (3000, 32)) * rng.integers(1, 9, (3000, 1))
     q = rng.integers(-300, 300, (20, 32))
     basis = np.linalg.svd(c, full_matrices=False)[2].T
-    found = topk.search((np.arange(20) + 10_000, q, q @ basis), (np.arange(3000), c, c @ basis), 5, np.full(20, -np.inf))
+    queries = topk.Vectors(np.arange(20) + 10_000, np.arange(20), q, basis)
+    best = topk._Best(20, 5, np.full(20, -np.inf))
+    topk.search(queries, topk.Vectors(np.arange(3000), np.arange(3000), c, basis), best)
     exact = q @ c.T
-    for i, rows in enumerate(found):
-        assert [s for s, _ in rows] == sorted(exact[i].tolist(), reverse=True)[:5]
+    for i, rows in zip(queries.ids, best.rows, strict=True):
+        assert [-s for s, _ in rows] == sorted(exact[i].tolist(), reverse=True)[:5]
+
+
+@pytest.mark.parametrize("group_bytes", [1, 12 * 8 * 3, 1 << 20])
+def test_top_k_in_groups_of_queries(spark, group_bytes):
+    r = random.Random(13)
+    vectors = {i: [r.gauss(0, 1) * (1 + i % 7) ** 2 for _ in range(12)] for i in range(0, 900, 3)}
+    rows = spark.createDataFrame([(i, v, 0, 0.0) for i, v in vectors.items()], EMBEDDINGS)
+    got = topk.top_k(rows, group_bytes=group_bytes).collect()
+    assert {tuple(x) for x in got} == brute_top(vectors) and len(got) == 5 * len([i for i in vectors if i % 50 == 0])
+
+
+def test_top_k_of_rows_that_share_an_id(spark):
+    rows = [(50, [1.0, 0.0], 0, 0.0), (50, [0.0, 2.0], 0, 0.0), (7, [3.0, 0.0], 0, 0.0), (7, [0.0, 1.0], 0, 0.0), (7, [0.0, 1.0], 1, 1.0)]
+    got = [tuple(x) for x in topk.op1_norm_sorted_topk(spark.createDataFrame(rows, EMBEDDINGS)).collect()]
+    unit = 256 * 256
+    first = [(50, 1, 7, 3 * unit), (50, 2, 7, 0), (50, 3, 50, 0)]
+    second = [(50, 1, 7, 2 * unit), (50, 2, 7, 0), (50, 3, 50, 0)]
+    assert sorted(got) == sorted(first + second)
+    with pytest.raises(ArithmeticError):
+        topk.op1_norm_sorted_topk(spark.createDataFrame([(50, [1e300], 0, 0.0)], "vec_id long, embedding array<double>, label int, score double"))
 
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
