@@ -1,7 +1,14 @@
 """The corpus pipeline: classify, deduplicate, decontaminate, mix, shard.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. ``run`` writes
-each stage's rows as Parquet to the shared folder and reads them back for the next one.
+each stage's rows as Parquet to the shared folder, reads them back for the next one and removes the
+tables that a stage needed on the way.
+
+Defined cases, for every stage: each row is judged by its own text, whether its doc_id is null, shared
+or its own; null and empty texts are rows like others (the classifier scores them, none of them is a
+near-duplicate or contaminated, and the mix takes no words of them, so that they go there); texts are
+read whole, whatever their length; repeated rows are equal in every stage's eyes, so that one of them
+stays behind near-dedup; an empty table gives no rows; other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -9,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscan.llm import bagminhash, decontaminate, mixing, quality, sharding
-from folioscan.llm.common import staged, table
+from folioscan.llm.common import finished, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +58,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = staged(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = finished(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
