@@ -320,3 +320,31 @@ def test_suffix_dedup_with_a_hot_prefix_equals_brute_force(spark, seed, monkeypa
     for own, gone in told:
         for i, d in enumerate(own.ids.tolist()):
             assert gone[own.offsets[i] : own.offsets[i + 1]].sum() == want[d][1]
+
+
+def test_near_duplicates_of_rows_with_shared_or_no_ids(spark):
+    r = random.Random(31)
+    one, two, three = (prose(r, 60) for _ in range(3))
+    docs = [(1, one), (2, two), (2, one + " end"), (5, three), (5, two), (None, three), (None, one), (None, "alone without an id here"), (None, "alone without an id here"), (9, None), (9, "")]
+    rows = spark.createDataFrame([(d, t, i, "x") for i, (d, t) in enumerate(docs)], "doc_id long, text string, row int, node string")
+    kept = bagminhash.deduplicated(rows)
+    assert kept.columns == rows.columns
+    places = sorted(x["row"] for x in kept.collect())
+    assert len(places) == 6 and places[:2] == [0, 1] and 3 in places and len({7, 8} & set(places)) == 1 and places[-2:] == [9, 10]
+    told = sorted((x["n_shingles"], x["doc_id"] or 0, x["class_id"] or 0, x["is_kept"]) for x in bagminhash.op5_bagminhash(rows).collect())
+    want = [(0, 9, 9, True)] * 2 + [(1, 0, 0, False), (1, 0, 0, True)] + [(56, 0, 1, False), (56, 0, 5, False), (56, 1, 1, True), (56, 2, 2, True), (56, 5, 2, False), (56, 5, 5, True), (57, 2, 1, False)]
+    assert told == sorted(want)
+
+
+def test_a_hub_of_many_is_dealt_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(bagminhash, "BLOCK", 3)
+    r = random.Random(37)
+    words = prose(r, 120).split()
+    docs = []
+    for i in range(60):
+        own = list(words)
+        own[r.randrange(len(own))] = prose(r, 1)
+        docs.append((i, " ".join(own)))
+    docs += [(100 + i, prose(r, 50)) for i in range(10)]
+    got = {x["doc_id"]: x["class_id"] for x in bagminhash.op5_bagminhash(frame(spark, docs)).collect()}
+    assert got == brute_classes(docs)

@@ -45,6 +45,38 @@ def test_each_stage_takes_effect(spark, tables):
         assert slots == list(range(len(slots)))
 
 
+def test_rows_that_are_null_shared_repeated_or_long(spark, tables, tmp_path):
+    """Every stage's decisions, against plain versions of them on the stage's own input."""
+    from test_dedup import brute_classes
+    from test_search_and_format import brute_hits
+
+    base = [(r["doc_id"], r["text"]) for r in table(spark, tables, "documents").select("doc_id", "text").collect()]
+    plain = [t for i, t in base if i < 300 and i % 5]
+    odd = [(None, plain[3]), (None, plain[4] + " anew"), (None, None), (None, ""), (7, "seven " + plain[5][:200]), (7, plain[6]), (900, " ".join(plain[10:200])), (901, None), (901, plain[8]), (901, plain[8])]
+    rows = [(i, t, "en", None if k % 9 == 0 else f"s{k % 3}", k, f"x{k}", 1.5) for k, (i, t) in enumerate(base + odd)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string, contaminated double")
+    columns = docs.columns
+    for name, stage in pipeline.STAGES[:-1]:
+        before = docs.select("n_chars", "doc_id", "text", "row").distinct().collect()
+        docs = staged(stage(spark, docs, tables), name)
+        assert docs.columns == columns
+        after = Counter(r["n_chars"] for r in docs.select("n_chars").collect())
+        if name == "near_dedup":
+            classes = brute_classes([(r["n_chars"], r["text"]) for r in before])
+            assert set(after.values()) == {1} and len({classes[k] for k in after}) == len(after) == len(set(classes.values()))
+        if name == "decontamination":
+            hit = {h[0]: h[-1] for h in brute_hits([(r["n_chars"], r["text"]) for r in before], [(1, " ".join(f"exam{k}" for k in range(14)))])}
+            assert set(after) == {k for k, bad in hit.items() if not bad}
+        if name == "mixing":
+            assert max(after.values()) <= 3 and not [r for r in before if not (r["text"] or "").split() and r["n_chars"] in after]
+        assert all(r["row"] == f"x{r['n_chars']}" for r in docs.select("row", "n_chars").collect())
+    got = pipeline.STAGES[-1][1](spark, docs, tables)
+    assert got.columns == [*columns, "size", "text_crc32", "shard", "slot"] and got.count() == docs.count()
+    empty = docs.filter("n_chars < 0")
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, empty, tables).count() == 0
+
+
 def test_every_operator_is_registered():
     names = entry.queries()
     assert "pipeline" in names

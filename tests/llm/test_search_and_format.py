@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -110,6 +111,27 @@ def test_decontamination_equals_brute_force(spark, part_bytes):
     assert sorted(got, key=str) == brute_hits(docs, items)
 
 
+@pytest.mark.parametrize("part_bytes", [1 << 20, 300])
+def test_decontamination_keeps_columns_of_any_name(spark, part_bytes):
+    rows = [(1, "one two three", 5, "a", True), (1, "four", 6, "b", False), (None, "two three four", 7, "c", None), (None, None, 8, "d", True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row int, row string, contaminated boolean")
+    bench = spark.createDataFrame([(i, f"word{i} " * 11) for i in range(9)] + [(50, "Two, THREE")], "item_id long, text string")
+    told = decontaminate.hits(docs, bench, part_bytes)
+    assert told.columns == ["doc_id", "text", "_row", "row", *decontaminate.FIELDS]
+    assert sorted((x["_row"], x["row"], x["n_words"], x["n_hit"]) for x in told.collect()) == [(5, "a", 3, 2), (6, "b", 1, 0), (7, "c", 3, 2), (8, "d", 0, 0)]
+    clean = decontaminate.decontaminated(docs, bench)
+    assert clean.columns == docs.columns and sorted(map(str, clean.collect())) == sorted(map(str, docs.filter("_row in (6, 8)").collect()))
+
+
+def test_a_long_text_of_hits_takes_linear_time(spark):
+    item = " ".join(f"w{i}" for i in range(24))
+    docs = spark.createDataFrame([(1, (item + " ") * 8000)], "doc_id long, text string")  # 740 kB
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    start = time.time()
+    row = decontaminate.op10_wu_manber(docs, bench).first()
+    assert row["n_hit"] == row["n_words"] == 24 * 8000 and time.time() - start < 8
+
+
 def test_decontamination_of_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")

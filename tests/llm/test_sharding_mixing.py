@@ -1,8 +1,10 @@
 import zlib
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from folioscan.llm import mixing, sharding
 
@@ -131,3 +133,122 @@ def test_many_seats_are_dealt_as_one_by_one():
     for _ in range(40):
         weights, limits, seats = r.integers(0, 60, 6).tolist(), r.integers(0, 200, 6).tolist(), int(r.integers(0, 700))
         assert mixing.apportion(weights, seats, limits) == slowly(weights, seats, limits)
+
+
+def reference_shards(rows, n_shards=8, buckets=sharding.BUCKETS):
+    """Shard of each row of (size, bucket): capacity by dynamic programming over groups in order, cut by hand."""
+    weight = {}
+    for size, b in rows:
+        weight[b] = weight.get(b, 0) + size
+    order = sorted(weight, key=lambda b: (-weight[b], b))
+    where, at = {}, 0
+    for left in range(n_shards, 0, -1):
+        sizes = [weight[b] for b in order[at:]]
+        low = next((c for c in range(max([*sizes, 0]), sum(sizes) + 1) if fits_by_hand(sizes, left, c)), 0)
+        held = 0
+        while at < len(order) and held + weight[order[at]] <= low:
+            held += weight[order[at]]
+            where[order[at]] = n_shards - left
+            at += 1
+    return where
+
+
+def fits_by_hand(sizes, shards, capacity):
+    used, held = 1, 0
+    for s in sizes:
+        if held + s > capacity:
+            used, held = used + 1, 0
+        held += s
+    return used <= shards
+
+
+def test_placement_equals_a_plain_version(spark):
+    r = np.random.default_rng(7)
+    rows = [(i % 30, "w " * int(r.integers(0, 30)) + str(i % 40), "en", "s", 0, 9) for i in range(120)]
+    rows += [(None, "null id", "en", "s", 0, 9), (None, "null id", "en", "s", 0, 9), (None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = sharding.op7_minimax_shards(docs).collect()
+    keys = docs.selectExpr("doc_id", "crc32(coalesce(text, '')) as crc", f"cast(pmod(xxhash64(coalesce(text, '')), {sharding.BUCKETS}) as int) as bucket", "octet_length(coalesce(text, '')) + 1 as size").collect()
+    where = reference_shards([(k["size"], k["bucket"]) for k in keys])
+    bucket = {k["crc"]: k["bucket"] for k in keys}
+    assert len(got) == len(rows) and all(g["shard"] == where[bucket[g["text_crc32"]]] for g in got)
+    for k in range(8):
+        assert sorted(g["slot"] for g in got if g["shard"] == k) == list(range(sum(g["shard"] == k for g in got)))
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["_at", "_cell", "_bucket", "_from", "_taken", "_times", "_size", "_order", "row", "times", "cell", "bucket", "start", "digest", "base", "full"]
+    rows = [(i, f"text {i % 9} of some words", f"s{i % 3}", *range(len(names))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    for got, more in ((sharding.shard_documents(docs), ["size", "text_crc32", "shard", "slot"]), (mixing.mixed_documents(docs), [])):
+        assert got.columns == [*docs.columns, *more]
+        assert {tuple(x[n] for n in names) for x in got.collect()} == {tuple(range(len(names)))}
+
+
+def plain_mix(rows, blocks):
+    """taken of each row by word, from the streams' order: quotas seat by seat, blocks one after the other."""
+    sizes = {}
+    for source, _, size in rows:
+        sizes[source] = sizes.get(source, 0) + size
+    names = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    weights = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(names)}
+    goal = dict(zip(names, mixing.targets([sizes[s] for s in names], [weights[s] for s in names]), strict=True))
+    capped = {s for s in names if goal[s] >= 3 * sizes[s]}
+    open_ = [s for s in names if s not in capped]
+    quota = dict.fromkeys(names, 0)
+    for _ in range(round(sum(goal[s] for s in open_))):
+        free = [s for s in open_ if quota[s] < 3 * sizes[s]]
+        best = max(free, key=lambda s: (goal[s] / (2 * quota[s] + 1), -names.index(s)))
+        quota[best] += 1
+    block = max(1, sum(sizes.values()) // blocks)
+    out = []
+    for k, source in enumerate(names):
+        stream = [i for i, (s, _, size) in sorted(enumerate(rows), key=lambda x: x[1][1]) if s == source for _ in range(size)]
+        words = [3 if source in capped else 0] * len(stream)
+        left = 0 if source in capped else quota[source]
+        while stream and left >= len(stream):
+            words = [w + 1 for w in words]
+            left -= len(stream)
+        n = max(1, -(-len(stream) // block))
+        step = mixing._step(n, mixing.SEED + 7919 * k)
+        place = (mixing.SEED + k) % n
+        turns = sorted(range(n), key=lambda j: (j * step + place) % n)
+        for j in turns:
+            for w in range(j * block, min(len(stream), (j + 1) * block)):
+                if left:
+                    words[w] += 1
+                    left -= 1
+        taken = {}
+        for i, w in zip(stream, words, strict=True):
+            taken[i] = taken.get(i, 0) + w
+        out += [(i, taken.get(i, 0)) for i, (s, _, _) in enumerate(rows) if s == source]
+    return [t for _, t in sorted(out)]
+
+
+@pytest.mark.parametrize("blocks", [7, 64, 1 << 18])
+def test_mix_equals_a_plain_version(spark, monkeypatch, blocks):
+    monkeypatch.setattr(mixing, "BLOCKS", blocks)
+    r = np.random.default_rng(blocks)
+    rows = [(i, " ".join(["w"] * int(r.integers(0, 25))) + f" {i}", "en", [None, "a", "b", "c", "d"][int(r.integers(5)) if i % 4 else 1], 0, 1) for i in range(150)]
+    rows = [(i, t.strip(), *more) for i, t, *more in rows]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {x["doc_id"]: (x["size"], x["taken"]) for x in mixing.op9_sainte_lague(docs).collect()}
+    shards = max(1, min(len(rows) // 200, mixing.CELLS))
+    assert shards == 1
+    order = {x["doc_id"]: x["h"] for x in docs.select("doc_id", F.xxhash64(F.lit(mixing.SEED), "doc_id", F.size(F.split("text", " ")).cast("long"), F.xxhash64("text")).alias("h")).collect()}
+    want = plain_mix([(s, order[i], got[i][0]) for i, _, _, s, _, _ in rows], blocks)
+    assert [got[i][1] for i in range(len(rows))] == want
+
+
+def test_rows_that_share_an_id_are_mixed_one_by_one(spark):
+    rows = [(None, f"words of a row without an id {i}", "en", "big" if i % 5 else "a", i, 1) for i in range(400)] + [(1, f"shared id {i} " * 3, "en", "b", 1000 + i, 1) for i in range(40)]
+    docs = spark.createDataFrame(rows, DOCS)
+    told = mixing.op9_sainte_lague(docs).toPandas()
+    mixed = mixing.mixed_documents(docs).groupBy("n_chars", "source").count().toPandas()
+    for source, own in (("a", [r for r in rows if r[3] == "a"]), ("big", [r for r in rows if r[3] == "big"]), ("b", [r for r in rows if r[3] == "b"])):
+        size = sum(len(r[1].split()) for r in own)
+        ratio = told[told.source_size == size].target.iloc[0] / size
+        counts = mixed[mixed.source == source]["count"]
+        assert abs(counts.sum() - ratio * len(own)) < 0.2 * ratio * len(own) + 4 and counts.max() <= int(ratio) + 1
+    again = mixing.mixed_documents(docs.repartition(5)).groupBy("n_chars").count().collect()
+    assert sorted(map(tuple, again)) == sorted((r.n_chars, r["count"]) for _, r in mixed.iterrows())
