@@ -53,13 +53,13 @@ from .spans import by_slice, opened, reports, slice_table
 MATCH = 50
 PREFIX = 24
 SPREAD = MATCH - PREFIX + 1  # prefixes in a window
-PIECE = 1 << 18
+PIECE = 1 << 16
 #: Text in a slice; each slice sorts its own suffixes and sends a run to each part.
 SLICE = 8 << 20
 #: Prefixes in a part, about, up to a GB of text; parts grow with the root of the text beyond, so that runs don't get too short, up to the other number.
 PART_PREFIXES, MOST_PREFIXES = 250_000, 4_000_000
 #: Entries of one suffix start, from which on its windows go one by one.
-HOT = 4096
+HOT = 1 << 15
 _PLACE = U64((1 << 24) - 1)
 
 
@@ -295,12 +295,11 @@ def merge(runs: list[Run]) -> Iterator[tuple[bytes, int, int, int]]:
             node //= 2
 
 
-def windows_of(entry: bytes) -> list[tuple[int, bytes]]:
-    """(place of the suffix start in it, the window) of an entry's windows, first to last."""
+def windows_of(entry: bytes) -> tuple[int, bytes]:
+    """Place of the suffix start in an entry's first window, and the bytes from that window's start to the last one's end."""
     before = entry[-1]
     right = len(entry) - 1 - before
-    whole = entry[right:-1] + entry[:right]
-    return [(before - i, whole[i : i + MATCH]) for i in range(len(whole) - MATCH + 1)]
+    return before, entry[right:-1] + entry[:right]
 
 
 class Answers:
@@ -316,23 +315,29 @@ class Answers:
 
     def settle(self, entries: list[list]) -> None:
         """The entries of one suffix start: bytes, smallest document, who holds them."""
-        if len(entries) == 1:
-            _, low, holders = entries[0]
-            for run, i in holders:
-                self.low[run][i] = low
+        if all(e[1] == entries[0][1] for e in entries):
+            for _, low, holders in entries:
+                for run, i in holders:
+                    self.low[run][i] = low
             return
-        least: dict[tuple[int, bytes], int] = {}
-        for entry, low, _ in entries:
-            for w in windows_of(entry):
-                if least.get(w, low) >= low:
-                    least[w] = low
-        for entry, _, holders in entries:
-            lows = [least[w] for w in windows_of(entry)]
-            steps = [t for t in range(len(lows)) if t == 0 or lows[t] != lows[t - 1]]
+        spans = [windows_of(e[0]) for e in entries]
+        lows: list[list[int]] = [[] for _ in entries]
+        # windows with the suffix start at one place after the other, so that one place's windows are held at a time
+        for place in range(max(b for b, _ in spans), min(b - len(w) for b, w in spans) + MATCH - 1, -1):
+            own = [(k, w[b - place : b - place + MATCH]) for k, (b, w) in enumerate(spans) if 0 <= b - place <= len(w) - MATCH]
+            least: dict[bytes, int] = {}
+            for k, window in own:
+                low = entries[k][1]
+                if least.get(window, low) >= low:
+                    least[window] = low
+            for k, window in own:
+                lows[k].append(least[window])
+        for (_, _, holders), found in zip(entries, lows, strict=True):
+            steps = [t for t in range(len(found)) if t == 0 or found[t] != found[t - 1]]
             for run, i in holders:
-                self.low[run][i] = lows[0]
+                self.low[run][i] = found[0]
                 if len(steps) > 1:
-                    for column, values in zip(self.odd[run], ([i] * len(steps), steps, [lows[t] for t in steps]), strict=True):
+                    for column, values in zip(self.odd[run], ([i] * len(steps), steps, [found[t] for t in steps]), strict=True):
                         column.extend(values)
 
 

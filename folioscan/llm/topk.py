@@ -94,18 +94,22 @@ def rotation(vectors: DataFrame, dim: int) -> np.ndarray:
 
 
 class _Best:
-    """The k best (score, -id) of each query so far."""
+    """The k best (score, id) of each query so far, and what a candidate has to reach: a higher score, or the same and a smaller id."""
 
-    def __init__(self, n: int, k: int, floor: np.ndarray) -> None:
-        self.k, self.rows, self.floor = k, [[] for _ in range(n)], floor.copy()
+    def __init__(self, floor: np.ndarray, limit: np.ndarray, k: int) -> None:
+        self.k, self.rows, self.floor, self.limit = k, [[] for _ in floor], floor.copy(), limit.copy()
+
+    @classmethod
+    def of(cls, n: int, k: int) -> _Best:
+        return cls(np.full(n, -np.inf), np.full(n, np.iinfo(np.int64).max), k)
 
     def offer(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
         rows = self.rows[q]
         rows += zip((-scores).tolist(), ids.tolist(), strict=True)
         rows.sort()
         del rows[self.k :]
-        if len(rows) == self.k:
-            self.floor[q] = max(self.floor[q], -rows[-1][0])
+        if len(rows) == self.k and (-rows[-1][0], -rows[-1][1]) > (self.floor[q], -self.limit[q]):
+            self.floor[q], self.limit[q] = -rows[-1][0], rows[-1][1]
 
 
 class Vectors:
@@ -136,13 +140,14 @@ def search(queries: Vectors, candidates: Vectors, best: _Best) -> None:
             row, col = np.nonzero((bound >= best.floor[open_][:, None]) & (q.rows[open_][:, None] != c.rows[None, at:end]))
             if not len(row):
                 continue
-            score = np.einsum("ij,ij->i", q.v[open_[row]], c.v[at + col])
+            score, ids = np.einsum("ij,ij->i", q.v[open_[row]], c.v[at + col]), c.ids[at + col]
+            floor = best.floor[open_[row]]
+            good = (score > floor) | ((score == floor) & (ids <= best.limit[open_[row]]))  # rows that share an id and a score are told apart by none
+            row, score, ids = row[good], score[good], ids[good]
             edge = np.searchsorted(row, np.arange(len(open_) + 1))
             for i in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
                 part = slice(edge[i], edge[i + 1])
-                keep = score[part] >= best.floor[open_[i]]
-                if keep.any():
-                    best.offer(int(open_[i]), c.ids[at + col[part][keep]], score[part][keep])
+                best.offer(int(open_[i]), ids[part], score[part])
 
 
 BLOB = "rows binary, ids binary, vectors binary, longest double"
@@ -175,12 +180,12 @@ def _needs(held, basis: np.ndarray, dim: int, k: int):
         for batch in batches:
             n = len(batch)
             queries = Vectors(batch.column("row").to_numpy(), np.arange(n), _stack(batch.column("v"), dim), basis)
-            best = _Best(n, k, np.full(n, -np.inf))
+            best = _Best.of(n, k)
             search(queries, longest, best)
-            floor, need = np.empty(n), np.empty(n)
-            floor[queries.ids] = best.floor
+            floor, need, limit = np.empty(n), np.empty(n), np.empty(n, np.int64)
+            floor[queries.ids], limit[queries.ids] = best.floor, best.limit
             need[queries.ids] = np.where(best.floor > 0, best.floor / np.maximum(queries.length, 1e-300), 0.0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "vec_id", "v", "norm")), pa.array(floor), pa.array(need)], ["row", "vec_id", "v", "norm", "floor", "need"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "vec_id", "v", "norm")), pa.array(floor), pa.array(limit), pa.array(need)], ["row", "vec_id", "v", "norm", "floor", "limit", "need"])
 
     return run
 
@@ -189,10 +194,11 @@ def _searched(held, basis: np.ndarray, k: int):
     """The k best of this task's parts for each query of a group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, ids, v, floors = held.value
+        rows, ids, v, floor, limit = held.value
         queries = Vectors(rows, ids, v, basis)
         order = np.argsort(rows)
-        best = _Best(len(rows), k, floors[order[np.searchsorted(rows[order], queries.rows)]])
+        own = order[np.searchsorted(rows[order], queries.rows)]
+        best = _Best(floor[own], limit[own], k)
         for batch in batches:
             for i in range(len(batch)):
                 search(queries, _unblob(*(batch.column(c)[i].as_py() for c in ("rows", "ids", "vectors")), basis), best)
@@ -218,7 +224,7 @@ def top_k(rows: DataFrame, k: int = K, query_step: int = QUERY_STEP, group_bytes
     if longest:
         held = spark.sparkContext.broadcast(tuple(map(bytes, longest)))
         asked = vectors.filter(F.col("vec_id") % query_step == 0).select("row", "vec_id", "v", "norm")
-        asked = staged(asked.mapInArrow(_needs(held, basis, dim, k), "row long, vec_id long, v array<long>, norm double, floor double, need double"), "asked")
+        asked = staged(asked.mapInArrow(_needs(held, basis, dim, k), "row long, vec_id long, v array<long>, norm double, floor double, limit long, need double"), "asked")
         held.unpersist()
         n = -(-asked.count() // max(1, group_bytes // (8 * dim)))
         asked = staged(asked.repartitionByRange(n, "need", "row").withColumn("group", F.spark_partition_id()), "groups") if n else asked.withColumn("group", F.lit(0))
@@ -227,7 +233,7 @@ def top_k(rows: DataFrame, k: int = K, query_step: int = QUERY_STEP, group_bytes
             v = np.zeros((len(own), dim), np.int64)
             for i, x in enumerate(own["v"]):
                 v[i, : len(x)] = x
-            group = spark.sparkContext.broadcast((own["row"].to_numpy(), own["vec_id"].to_numpy(), v, own["floor"].to_numpy()))
+            group = spark.sparkContext.broadcast((own["row"].to_numpy(), own["vec_id"].to_numpy(), v, own["floor"].to_numpy(), own["limit"].to_numpy()))
             reached = parts.filter(F.col("longest") * (1 + SLACK) + SLACK >= F.lit(r["need"]))
             found.append(staged(reached.mapInArrow(_searched(group, basis, k), "row long, query_id long, vec_id long, score long"), "found"))
             group.unpersist()

@@ -48,7 +48,7 @@ def test_search_prunes_and_stays_exact():
     q = rng.integers(-300, 300, (20, 32))
     basis = np.linalg.svd(c, full_matrices=False)[2].T
     queries = topk.Vectors(np.arange(20) + 10_000, np.arange(20), q, basis)
-    best = topk._Best(20, 5, np.full(20, -np.inf))
+    best = topk._Best.of(20, 5)
     topk.search(queries, topk.Vectors(np.arange(3000), np.arange(3000), c, basis), best)
     exact = q @ c.T
     for i, rows in zip(queries.ids, best.rows, strict=True):
