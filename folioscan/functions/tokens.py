@@ -9,7 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RUN = r"[\x{4E00}-\x{9FFF}]+|[\p{L}\p{N}&&[^\x{4E00}-\x{9FFF}]]+"
+IDEOGRAPH = r"[\x{4E00}-\x{9FFF}]"
+_OTHER = r"[\p{L}\p{N}&&[^\x{4E00}-\x{9FFF}]]+"
+#: Looks at a word and then steps over one ideograph or one whole other word, so that pairs overlap.
+_MIXED = rf"(?=({IDEOGRAPH}{{2}}|(?<!{IDEOGRAPH}){IDEOGRAPH}(?!{IDEOGRAPH})|{_OTHER}))(?:{IDEOGRAPH}|{_OTHER})"
+_PLAIN = r"([\p{L}\p{N}]+)"
 #: Words that are no keywords.
 STOP_WORDS = (
     "的", "了", "是", "在", "我", "有", "和", "就", "不", "人", "都", "一", "一个", "上", "也",
@@ -18,11 +22,9 @@ STOP_WORDS = (
 
 
 def words(text: Column) -> Column:
-    """array<string> of a text's words, in order."""
-    runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({RUN})"), F.lit(1))
-    pairs = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))
-    split = lambda w: F.when(w.rlike(r"^[\x{4E00}-\x{9FFF}]{2}"), pairs(w)).otherwise(F.array(w))
-    return F.when(F.exists(runs, lambda w: w.rlike(r"^[\x{4E00}-\x{9FFF}]{2}")), F.flatten(F.transform(runs, split))).otherwise(runs)
+    """array<string> of a text's words, in order. Only a text with ideographs needs the longer pattern."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(text.rlike(IDEOGRAPH), F.regexp_extract_all(low, F.lit(_MIXED), F.lit(1))).otherwise(F.regexp_extract_all(low, F.lit(_PLAIN), F.lit(1)))
 
 
 def kept_words(tokens: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:

@@ -43,8 +43,14 @@ def bucket(word: Column, dim: int) -> Column:
 
 
 def hashed_postings(rows: DataFrame, key: str, text: str, dim: int) -> DataFrame:
-    """key, bucket, tf of hashed bags of words. Counts are pre-aggregated before the shuffle."""
-    return rows.select(key, F.explode(words(F.col(text))).alias("word")).groupBy(key, bucket(F.col("word"), dim).alias("bucket")).agg(F.count(F.lit(1)).alias("tf"))
+    """key, bucket, tf of hashed bags of words.
+
+    Texts are dealt by key once; counting a key's words, hashing each different one, counting its
+    buckets and listing them all stay in that task.
+    """
+    dealt = rows.select(key, text).repartition(key)
+    counted = dealt.select(key, F.explode(words(F.col(text))).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy(key, bucket(F.col("word"), dim).alias("bucket")).agg(F.sum("n").alias("tf"))
 
 
 def hashed_vectors(rows: DataFrame, key: str, text: str, dim: int) -> DataFrame:

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..options import Options
-from ..schema import INDEX, MANIFEST
+from ..schema import CHUNK, INDEX, MANIFEST
 
 
 def collection_name(model: Column, is_path: Column | None = None) -> Column:
@@ -61,7 +62,23 @@ class _Files:
         fs.delete(p, True)
 
 
+Embed = Callable[[DataFrame], DataFrame]
+
+
+def _as_they_are(rows: DataFrame) -> DataFrame:
+    return rows
+
+
+def _unique(rows: DataFrame) -> None:
+    """Several rows of one chunk_id are an error, told before anything is embedded."""
+    twice = rows.groupBy("chunk_id").count().filter("count > 1").limit(5).collect()
+    if twice:
+        raise ValueError(f"chunk ids given twice: {sorted(r['chunk_id'] for r in twice)}")
+
+
 class Collection:
+    """``embed`` of the writing methods adds buckets and weights to rows of chunks; rows that have them need none."""
+
     def __init__(self, spark: SparkSession, options: Options = Options(), name: str | None = None) -> None:  # noqa: B008
         self.spark, self.options, self.files = spark, options, _Files(spark)
         self.name = name or spark.range(1).select(collection_name(F.lit(options.embedding_model))).first()[0]
@@ -84,24 +101,24 @@ class Collection:
         if before:
             self.files.delete(f"{self.folder}/{before}")
 
-    def append(self, rows: DataFrame) -> None:
-        """Insert rows whose chunk_id is new; existing ids stay as they are. Several rows of one id in ``rows`` are an error."""
-        twice = rows.groupBy("chunk_id").count().filter("count > 1").limit(5).collect()
-        if twice:
-            raise ValueError(f"chunk ids given twice: {sorted(r['chunk_id'] for r in twice)}")
+    def append(self, rows: DataFrame, embed: Embed = _as_they_are) -> None:
+        """Insert rows whose chunk_id is new; existing ids stay as they are, and only what is inserted is embedded."""
+        _unique(rows)
         version = self._version()
         if version is None:
-            self._replace(rows.select(self.read().columns))
+            self._replace(embed(rows).select(self.read().columns))
             return
-        absent_rows(rows, self.read()).select(self.read().columns).write.mode("append").parquet(f"{self.folder}/{version}")
+        embed(absent_rows(rows, self.read())).select(self.read().columns).write.mode("append").parquet(f"{self.folder}/{version}")
 
-    def upsert(self, rows: DataFrame) -> None:
+    def upsert(self, rows: DataFrame, embed: Embed = _as_they_are) -> None:
         """Rows of the sources in ``rows`` replace those sources' rows."""
+        _unique(rows)
         old = self.read()
-        self._replace(old.join(rows.select("source").distinct(), "source", "left_anti").select(old.columns).unionByName(rows.select(old.columns)))
+        self._replace(old.join(rows.select("source").distinct(), "source", "left_anti").select(old.columns).unionByName(embed(rows).select(old.columns)))
 
-    def rebuild(self, rows: DataFrame) -> None:
-        self._replace(rows.select(self.read().columns))
+    def rebuild(self, rows: DataFrame, embed: Embed = _as_they_are) -> None:
+        _unique(rows)
+        self._replace(embed(rows).select(self.read().columns))
 
     def clear(self) -> None:
         """Empty the collection; the manifest goes as well, so that the next ingest sees a change."""
@@ -151,6 +168,22 @@ def ingest_stats(parsed: DataFrame, chunks: DataFrame, before: int = 0) -> DataF
 
 
 def dataset_index(documents: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One row: total_documents, document_list in order of name, total_chunks; it is written with ``write.json``."""
+    """One row: total_documents, document_list in order of name, total_chunks."""
     named = documents.agg(F.count(F.lit(1)).alias("total_documents"), F.array_sort(F.collect_list("source")).alias("document_list"))
     return named.crossJoin(chunks.agg(F.count(F.lit(1)).alias("total_chunks")))  # one row each
+
+
+def write_dataset_index(index: DataFrame, path: str) -> None:
+    """Write the row of ``dataset_index`` as one JSON file, for people; the list is that of one folder."""
+    text = index.select(F.to_json(F.struct("*"), {"pretty": "true"})).first()[0]
+    _Files(index.sparkSession).write(path, text)
+
+
+def documents(spark: SparkSession, contents: list[str], metadata: list[dict] | None = None) -> DataFrame:
+    """Chunks given in code: chunk_id (``doc_`` and the place in the list where the metadata has none), the known columns, and the rest of the metadata as extra."""
+    known = ("chunk_id", "source", "file_path", "chunk_index")
+    rows = []
+    for i, (content, own) in enumerate(zip(contents, metadata or [{}] * len(contents), strict=True)):
+        extra = {k: str(v) for k, v in own.items() if k not in known}
+        rows.append((own.get("chunk_id", f"doc_{i}"), own.get("source"), own.get("file_path"), own.get("chunk_index"), content, extra or None))
+    return spark.createDataFrame(rows, CHUNK)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import chunking, embedders, tokens, vectors
@@ -174,16 +174,25 @@ def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def lsh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Approximate neighbours by random projections; on unit vectors the squared distance is 2 - 2 cos."""
+    """Approximate neighbours by random projections; on unit vectors the squared distance is 2 - 2 cos.
+
+    Two unit vectors are at most 2 apart, so all that share a bucket are compared; questions that find
+    fewer than k that way go to the exact search.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
+    questions, index, dim = _dense(spark, sf_dir)
     rows = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(vectors.normalised(vectors.doubles(F.col("embedding")))).alias("features"))
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=1.0, numHashTables=4, seed=7).fit(rows)
     asked = rows.filter(F.col("vec_id") % QUERY_STEP == 0)
-    pairs = model.approxSimilarityJoin(asked, rows, 1.3, "distance").select(F.col("datasetA.vec_id").alias("query"), F.col("datasetB.vec_id").alias("item"), (1 - F.col("distance") ** 2 / 2).alias("score"))
-    best = retrieve.best_by_item(pairs.withColumnRenamed("query", "query_id").withColumn("item", F.format_string("%020d", "item")), OPTIONS.top_k)
-    return best.select("query_id", "rank", F.col("item").cast("long").alias("vec_id"), F.round("score", 6).alias("score"))
+    pairs = model.approxSimilarityJoin(asked, rows, 2.1, "distance").select(F.col("datasetA.vec_id").alias("query_id"), F.col("datasetB.vec_id").alias("vec_id"), F.round(1 - F.col("distance") ** 2 / 2, retrieve.DIGITS).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= OPTIONS.top_k)
+    full = best.filter(F.col("rank") == OPTIONS.top_k).select(F.col("query_id").alias("query"))
+    exact = retrieve.knn(questions.join(full, "query", "left_anti"), index, OPTIONS.top_k, dim)
+    exact = exact.select(F.col("query").alias("query_id"), F.col("item").alias("vec_id"), "score", "rank")
+    return best.join(full, best.query_id == full.query, "left_semi").unionByName(exact).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
 # Words -------------------------------------------------------------------------------------------
@@ -259,7 +268,7 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _document_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"))
-    return retrieve.text_index(docs, EMBEDDER).persist()
+    return retrieve.text_index(docs, EMBEDDER)
 
 
 @query(f"""WITH {_text_scores_sql("documents", "doc_id::VARCHAR", "text")}
@@ -285,7 +294,7 @@ def dedup_best_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _windows(spark, sf_dir)
-    index = retrieve.text_index(chunks.select("chunk_id", "content"), EMBEDDER).persist()
+    index = retrieve.text_index(chunks.select("chunk_id", "content"), EMBEDDER)
     found = retrieve.retrieve_with_fallback(_questions(spark, sf_dir), index, EMBEDDER, OPTIONS.top_k, OPTIONS.score_threshold)
     return found.withColumnRenamed("item", "chunk_id").join(chunks.select("chunk_id", "content", "source"), "chunk_id").select("query_id", "rank", "chunk_id", "content", "source", "score", "path")
 
@@ -328,12 +337,25 @@ def response_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("sources", F.array_join(F.transform("sources", entry), "; "))
 
 
-@query(f"""SELECT conv_id, turn, honest AS is_honest, cited AS has_citation, CASE WHEN honest OR cited THEN 'low' ELSE 'medium' END AS risk_level
-FROM (SELECT conv_id, turn, {" OR ".join(f"contains(text, '{p}')" for p in answer.HONEST_PHRASES)} AS honest, regexp_matches(text, '{answer.CITATION}') AS cited
-      FROM conversations WHERE role = 'assistant')""")
+@query(f"""WITH said AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+answers AS (
+  SELECT conv_id, turn, 'plain' AS variant, text FROM said
+  UNION ALL SELECT conv_id, turn, 'cited', text || ' [来源：' || conv_id || ']' FROM said
+  UNION ALL SELECT conv_id, turn, 'honest', '{answer.HONEST_PHRASES[1]}。' || text FROM said
+  UNION ALL SELECT conv_id, turn, 'both', '{answer.HONEST_PHRASES[3]}' || text || '[来源:x]' FROM said)
+SELECT conv_id, turn, variant, honest AS is_honest, cited AS has_citation, CASE WHEN honest OR cited THEN 'low' ELSE 'medium' END AS risk_level
+FROM (SELECT conv_id, turn, variant, {" OR ".join(f"contains(text, '{p}')" for p in answer.HONEST_PHRASES)} AS honest, regexp_matches(text, '{answer.CITATION}') AS cited FROM answers)""")
 def risk_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    talks = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
-    return talks.select("conv_id", "turn", answer.risk(F.col("text")).alias("r")).select("conv_id", "turn", "r.*")
+    """Replies as they are, with a mark of a source, with a phrase of doubt, and with both."""
+    said, text = table(spark, sf_dir, "conversations").filter("role = 'assistant'"), F.col("text")
+    variants = {
+        "plain": text,
+        "cited": F.concat(text, F.lit(" [来源："), F.col("conv_id").cast("string"), F.lit("]")),
+        "honest": F.concat(F.lit(f"{answer.HONEST_PHRASES[1]}。"), text),
+        "both": F.concat(F.lit(answer.HONEST_PHRASES[3]), text, F.lit("[来源:x]")),
+    }
+    answers = said.select("conv_id", "turn", F.explode(F.array(*(F.struct(F.lit(name).alias("variant"), body.alias("text")) for name, body in variants.items()))).alias("a"))
+    return answers.select("conv_id", "turn", "a.variant", answer.risk(F.col("a.text")).alias("r")).select("conv_id", "turn", "variant", "r.*")
 
 
 # Store -------------------------------------------------------------------------------------------
@@ -360,7 +382,12 @@ def file_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signed.select(F.posexplode("signature.files").alias("pos", "f")).select("pos", "f.name", "f.size", "f.mtime")
 
 
-@query("SELECT * FROM (VALUES ('same', 'cached'), ('touched', 'reindexed'), ('params', 'reindexed'), ('none', 'empty')) t(case_name, status)")
+@query(f"""WITH listing AS ({SIGNATURE_SQL}), saved AS (SELECT list(s ORDER BY s.name) AS files FROM listing s),
+later AS (SELECT list(s ORDER BY s.name) AS files FROM (SELECT name, size, mtime + 1 AS mtime FROM listing) s),
+cases AS (
+  SELECT 'same' AS case_name, files, 'a' AS params FROM saved UNION ALL SELECT 'touched', files, 'a' FROM later
+  UNION ALL SELECT 'params', files, 'b' FROM saved UNION ALL SELECT 'none', files[:0], 'a' FROM saved)
+SELECT case_name, CASE WHEN len(c.files) = 0 THEN 'empty' WHEN c.files = s.files AND params = 'a' THEN 'cached' ELSE 'reindexed' END AS status FROM cases c, saved s""")
 def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What change detection says when nothing, a time, the parameters or everything has changed."""
     files = _listing(spark, sf_dir)

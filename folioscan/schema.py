@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-CHUNK = "chunk_id string, source string, file_path string, chunk_index int, content string"
+CHUNK = "chunk_id string, source string, file_path string, chunk_index int, content string, extra map<string,string>"
 INDEX = CHUNK + ", buckets array<int>, weights array<double>"
 QUESTION = "query_id long, question string, top_k int, with_sources boolean"
 SOURCES = "array<struct<file:string,chunk_id:string,score:double>>"

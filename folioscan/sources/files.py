@@ -31,23 +31,64 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(basename(path), r"^.+(\.[^.]+)$", 1))
 
 
+SCANNED = "path string, modificationTime timestamp, length long, content binary"
+
+
+def _loaded(spark: SparkSession, where: list[str], listed: list) -> DataFrame:
+    """The files at ``where``; ``listed`` are their states, which tell the files of no bytes."""
+    if not where:
+        return spark.createDataFrame([], SCANNED)
+    files = spark.read.format("binaryFile").load(where)
+    empty = [(f.getPath().toString(), f.getModificationTime()) for f in listed if f.isFile() and f.getLen() == 0 and f.getPath().getName()[0] not in "._"]
+    if empty:
+        rows = spark.createDataFrame(empty, "path string, millis long")
+        files = files.unionByName(rows.select("path", F.timestamp_millis("millis").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit("").cast("binary").alias("content")))
+    return files
+
+
+def _at(spark: SparkSession, path: str):
+    """Hadoop's path and file system of a path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def scan(spark: SparkSession, directory: str, extensions: tuple[str, ...] | None = None) -> DataFrame:
     """path, modificationTime, length, content of a folder's files; all files when ``extensions`` is None.
 
     A folder that does not exist has no files.
     """
-    folder = spark._jvm.org.apache.hadoop.fs.Path(directory)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
-    files = spark.read.format("binaryFile").load(directory)
-    listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
-    empty = [(f.getPath().toString(), f.getModificationTime() / 1000) for f in listed if f.isFile() and f.getLen() == 0 and f.getPath().getName()[0] not in "._"]
-    if empty:
-        rows = spark.createDataFrame(empty, "path string, seconds double")
-        files = files.unionByName(rows.select("path", F.timestamp_millis((F.col("seconds") * 1000).cast("long")).alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit("").cast("binary").alias("content")))
+    folder, system = _at(spark, directory)
+    if not system.exists(folder):
+        return spark.createDataFrame([], SCANNED)
+    files = _loaded(spark, [directory], system.listStatus(folder))
     return files if extensions is None else files.filter(extension(F.col("path")).isin(*extensions))
 
 
+def scan_paths(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[str]]:
+    """The files of a list of paths, and the paths of the list that are no files."""
+    there, states, gone = [], [], []
+    for path in paths:
+        where, system = _at(spark, path)
+        if system.exists(where) and system.getFileStatus(where).isFile():
+            there.append(path)
+            states.append(system.getFileStatus(where))
+        else:
+            gone.append(path)
+    return _loaded(spark, there, states), gone
+
+
+def land(spark: SparkSession, directory: str, name: str, content: bytes) -> str:
+    """Write an uploaded file into a folder; its path."""
+    path = f"{directory.rstrip('/')}/{name.rsplit('/', 1)[-1]}"
+    where, system = _at(spark, path)
+    stream = system.create(where, True)
+    try:
+        stream.write(bytearray(content))
+    finally:
+        stream.close()
+    return path
+
+
 def listing(files: DataFrame) -> DataFrame:
     """name, size, mtime (epoch seconds) in order of name; contents are not read."""
     return files.select(basename(F.col("path")).alias("name"), F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime")).orderBy("name")
@@ -78,6 +119,9 @@ def _parsed(parsers: dict[str, Callable[[bytes], str]]):
         for contents, extensions in batches:
             rows = []
             for content, ext in zip(contents, extensions, strict=True):
+                if ext is None:
+                    rows.append((None, None))
+                    continue
                 try:
                     rows.append((parsers[ext](bytes(content)), None))
                 except Exception as e:  # a broken file is a row of its own, not the job's end
@@ -91,19 +135,19 @@ def parse(files: DataFrame, parsers: dict[str, Callable[[bytes], str]] | None =
     """source, file_path, text, error of each file: strict UTF-8 for TXT, a parser for other known suffixes, an error otherwise."""
     parsers = PARSERS if parsers is None else parsers
     named = files.select(basename(F.col("path")).alias("source"), F.col("path").alias("file_path"), extension(F.col("path")).alias("ext"), "content")
-    text = F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), "\r\n?", "\n")
-    plain = named.filter("ext = '.txt'").select("source", "file_path", text.alias("text"), F.when(text.isNull(), F.lit("not valid UTF-8")).alias("error"))
-    rich = named.filter(F.col("ext").isin(*parsers)).withColumn("got", _parsed(parsers)("content", "ext")).select("source", "file_path", "got.text", "got.error")
-    known = F.col("ext").isin(".txt", *parsers)
-    other = named.filter(~known).select("source", "file_path", F.lit(None).cast("string").alias("text"), F.concat(F.lit("unsupported format: "), "ext").alias("error"))
-    return plain.unionByName(rich).unionByName(other)
+    ext = F.col("ext")
+    rich, plain = ext.isin(*parsers) & (ext != ".txt"), F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), "\r\n?", "\n")
+    got = named.withColumn("got", _parsed(parsers)(F.when(rich, F.col("content")), F.when(rich, ext)))  # other contents stay in the JVM
+    got = got.withColumn("plain", F.when(ext == ".txt", plain))
+    text = F.when(ext == ".txt", F.col("plain")).when(rich, F.col("got.text"))
+    error = F.when((ext == ".txt") & F.col("plain").isNull(), F.lit("not valid UTF-8")).when(rich, F.col("got.error")).when(ext != ".txt", F.concat(F.lit("unsupported format: "), ext))
+    return got.select("source", "file_path", text.alias("text"), error.alias("error"))
 
 
-def missing(spark: SparkSession, paths: list[str], files: DataFrame) -> DataFrame:
-    """Error rows of the requested paths that the scan did not find."""
+def missing(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Error rows of paths that are no files."""
     asked = spark.createDataFrame([(p,) for p in paths], "file_path string")
-    gone = asked.join(files.select(F.col("path").alias("file_path")), "file_path", "left_anti")
-    return gone.select(basename(F.col("file_path")).alias("source"), "file_path", F.lit(None).cast("string").alias("text"), F.lit("file not found").alias("error"))
+    return asked.select(basename(F.col("file_path")).alias("source"), "file_path", F.lit(None).cast("string").alias("text"), F.lit("file not found").alias("error"))
 
 
 def inline(spark: SparkSession, documents: dict[str, str]) -> DataFrame:

@@ -47,3 +47,31 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_recall_of_the_approximate_search(spark, size):
+    data = DATA.replace("sf0.001", size)
+    if not os.path.isdir(data):
+        pytest.skip("the test tables are not here")
+    found = {(r["query_id"], r["vec_id"]) for r in catalogue.lsh_topk(spark, data).collect()}
+    exact = {(r["query_id"], r["vec_id"]) for r in catalogue.knn_topk(spark, data).collect()}
+    assert len(found) == len(exact) and len(found & exact) >= 0.9 * len(exact)
+
+
+@pytest.mark.parametrize("room", [1, 700])
+def test_questions_in_several_blocks(spark, monkeypatch, room):
+    from folioscan.operators import retrieve
+
+    want = rows(catalogue.knn_topk(spark, DATA).toPandas())
+    monkeypatch.setattr(retrieve, "BLOCK_CELLS", room)
+    monkeypatch.setattr(retrieve, "PART", 100)
+    assert rows(catalogue.knn_topk(spark, DATA).toPandas()) == want
+    near = rows(catalogue.similarity_search_wide(spark, DATA).toPandas())
+    monkeypatch.undo()
+    assert near == rows(catalogue.similarity_search_wide(spark, DATA).toPandas())
+
+
+def test_risk_check_has_rows_of_either_kind(spark):
+    got = {(r["variant"], r["is_honest"], r["has_citation"], r["risk_level"]) for r in catalogue.risk_check(spark, DATA).collect()}
+    assert {("cited", False, True, "low"), ("honest", True, False, "low"), ("both", True, True, "low"), ("plain", False, False, "medium")} <= got

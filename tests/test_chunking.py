@@ -1,3 +1,7 @@
+import pathlib
+import re
+
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -49,3 +53,75 @@ def test_recursive_chunks_number_the_chunks_of_each_text(spark):
     got = chunking.with_chunk_ids(chunking.recursive_chunks(rows, ["source"], size=9, overlap=0)).orderBy("chunk_index").collect()
     assert [r["chunk_id"] for r in got] == ["a_0", "a_1", "a_2"]
     assert [r["content"] for r in got] == ["one two", "three", "four"]
+
+
+def plain_split(text, size, overlap, marks=chunking.SEPARATORS):
+    """The rule by places in the text instead of pieces: cuts at the first mark that occurs, then windows over whole pieces."""
+    mark = next((m for m in marks if m == "" or m in text), None)
+    weaker = marks[marks.index(mark) + 1 :] if mark is not None else ()
+    if mark is None:
+        cuts = [0, len(text)]
+    elif mark == "":
+        cuts = list(range(len(text) + 1))
+    else:
+        cuts, at = [0], text.find(mark)
+        while at >= 0:
+            cuts.append(at)
+            at = text.find(mark, at + len(mark))
+        cuts.append(len(text))
+    spans = [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+    out, run = [], []
+
+    def merge():
+        first = 0
+        for last in range(len(run)):
+            total = sum(b - a for a, b in run[first:last])
+            own = run[last][1] - run[last][0]
+            if total + own > size and last > first:
+                out.append(text[run[first][0] : run[last - 1][1]])
+                while first < last and (sum(b - a for a, b in run[first:last]) > overlap or sum(b - a for a, b in run[first:last]) + own > size):
+                    first += 1
+        if run[first:]:
+            out.append(text[run[first][0] : run[-1][1]])
+        run.clear()
+
+    for a, b in spans:
+        if b - a < size:
+            run.append((a, b))
+            continue
+        merge()
+        if weaker:
+            out.extend(plain_split(text[a:b], size, overlap, weaker))
+        else:
+            out.append(text[a:b])
+    merge()
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text("ab 。！\n；", max_size=60), st.integers(1, 12), st.integers(0, 11))
+def test_recursive_split_equals_a_plain_version(text, size, overlap):
+    overlap = min(overlap, size - 1)
+    want = [c.strip() for c in plain_split(text, size, overlap)]
+    assert list(chunking.split_text(text, size, overlap)) == [c for c in want if c]
+
+
+def golden():
+    """The folder, and the lengths of each file's chunks, that the table of fixtures names."""
+    path = pathlib.Path(__file__).parent.parent / "FIXTURES.md"
+    text = path.read_text(encoding="utf-8") if path.exists() else ""
+    folder = re.search(r"\(`(/[^`]+/)`", text)
+    rows = re.findall(r"^\| (\S+\.txt) \|.*?\| (\d+) \| (\d+) \| ([\d, ]+) \|$", text, re.MULTILINE)
+    return pathlib.Path(folder[1]) if folder else None, {name: (int(size), [int(x) for x in lengths.split(",")]) for name, size, _, lengths in rows}
+
+
+def test_recorded_chunk_lengths():
+    folder, files = golden()
+    if folder is None or not folder.is_dir() or not files:
+        pytest.skip("the recorded texts are not here")
+    got = {}
+    for name, (size, _) in files.items():
+        text = (folder / name).read_text(encoding="utf-8")
+        assert len(text) == size
+        got[name] = [len(c) for c in chunking.split_text(text)]
+    assert got == {name: lengths for name, (_, lengths) in files.items()} and sum(map(len, got.values())) == 16

@@ -64,9 +64,10 @@ def test_parse_isolates_errors(spark, folder):
 
 
 def test_missing_files_are_error_rows(spark, folder):
-    found = files.scan(spark, folder)
-    path = found.filter(F.col("path").endswith("leave.txt")).first()["path"]
-    assert [r["source"] for r in files.missing(spark, [path, "/none/x.txt"], found).collect()] == ["x.txt"]
+    found, gone = files.scan_paths(spark, [f"{folder}/leave.txt", "/none/x.txt", f"{folder}/empty.txt", folder])
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in found.collect()) == ["empty.txt", "leave.txt"]
+    assert [(r["source"], r["error"]) for r in files.missing(spark, gone[:1]).collect()] == [("x.txt", "file not found")] and gone[1:] == [folder]
+    assert files.scan_paths(spark, ["/none/x.txt"])[0].count() == 0
 
 
 def test_ingest_counts_and_answers(spark, engine, folder):
@@ -101,10 +102,11 @@ def test_append_leaves_existing_ids_and_upsert_replaces(spark, engine, folder):
 
 
 def test_one_id_given_twice_is_an_error(spark, engine):
-    row = ("a_0", "a", "/a", 0, "x", [1], [1.0])
+    row = ("a_0", "a", "/a", 0, "x", None, [1], [1.0])
     rows = spark.createDataFrame([row, row], engine.collection.read().schema)
-    with pytest.raises(ValueError, match="a_0"):
-        engine.collection.append(rows)
+    for write in (engine.collection.append, engine.collection.upsert, engine.collection.rebuild):
+        with pytest.raises(ValueError, match="a_0"):
+            write(rows)
 
 
 def test_change_detection(spark, engine, folder, tmp_path):
@@ -170,3 +172,137 @@ def test_engine_with_a_custom_embedder(spark, folder, tmp_path):
     hits = engine.hits(questions(spark, (1, "button", 1, True))).collect()
     assert [r["chunk_id"] for r in hits] == ["manual.docx_0"]
     assert engine.health().first()["status"] == "healthy"
+
+
+def test_ingest_by_path_counts_missing_files(engine, folder):
+    got = engine.ingest_paths([f"{folder}/leave.txt", f"{folder}/none.txt", f"{folder}/picture.png", f"{folder}/empty.txt"]).first().asDict()
+    assert got == {"success": 2, "failed": 2, "total_chunks": 1, "vector_count": 1}
+
+
+def test_blank_questions_of_any_spaces(spark, engine, folder):
+    engine.ingest_directory(folder)
+    rows = questions(spark, *((i, q, None, True) for i, q in enumerate(["\t\n", "\u3000\u00a0 ", "", None, "\x1f\x85", " leave\t"])))
+    assert {r["query_id"] for r in engine.hits(rows).collect()} == {5}
+
+
+def test_only_new_chunks_are_embedded(spark, folder, tmp_path):
+    from folioscan.functions.embedders import Custom
+
+    log = tmp_path / "log"
+    log.mkdir()
+
+    def encode(texts):
+        with open(log / f"{time.time_ns()}-{id(texts)}", "w") as f:
+            f.write(str(len(texts)))
+        return [[float(len(t)), 1.0] for t in texts]
+
+    engine = Engine(spark, Options(warehouse=str(tmp_path / "warehouse")), embedder=Custom(encode, 2))
+    embedded = lambda: sum(int(p.read_text()) for p in log.iterdir())
+    engine.ingest_directory(folder)
+    assert embedded() == 3
+    with open(f"{folder}/more.txt", "w") as f:
+        f.write("One more file.")
+    assert engine.ingest_directory(folder).first()["vector_count"] == 4
+    assert embedded() == 4
+
+
+def test_metadata_and_default_ids(spark, engine):
+    assert engine.add_documents(["first", "second"], [{"chunk_id": "own", "source": "s", "lang": "en"}, {}]) == 2
+    rows = {r["chunk_id"]: r for r in engine.collection.read().collect()}
+    assert rows["own"]["extra"] == {"lang": "en"} and rows["own"]["source"] == "s" and rows["doc_1"]["content"] == "second" and rows["doc_1"]["extra"] is None
+    parsed = spark.createDataFrame([("t", "/t", "a text with metadata", {"team": "x"})], "source string, file_path string, text string, extra map<string,string>")
+    assert engine.ingest_texts(parsed).first()["vector_count"] == 3
+    assert engine.collection.read().filter("source = 't'").first()["extra"] == {"team": "x"}
+
+
+def test_uploads_and_messages(engine, folder, tmp_path):
+    row = engine.upload({"up.txt": b"An uploaded file.", "bad.bin": b"x"}, str(tmp_path / "documents")).first()
+    assert row["message"] == "2 files uploaded" and (row["stats"]["success"], row["stats"]["failed"]) == (1, 1)
+    assert (tmp_path / "documents" / "up.txt").read_bytes() == b"An uploaded file."
+    assert engine.rebuilt(str(tmp_path / "none")).first()["message"].startswith("index cleared")
+    assert engine.rebuilt(folder).first()["stats"]["success"] == 5
+    assert engine.clear().first()["message"] == "index cleared" and engine.about().first()["version"]
+
+
+def test_settings_file(tmp_path):
+    path = tmp_path / "settings"
+    path.write_text("# comment\nexport TOP_K=9\nLLM_MODEL='m 1'\nLLM_API_KEY=\"k\"\nCHUNK_SIZE=1\n\nnonsense\n")
+    o = Options.from_environment({"CHUNK_SIZE": "77"}, str(path))
+    assert (o.top_k, o.llm_model, o.llm_api_key, o.embedding_api_key, o.chunk_size) == (9, "m 1", "k", "k", 77)
+    assert Options.from_environment({}, str(tmp_path / "none")).top_k == 5
+
+
+def test_pdf_pages(monkeypatch):
+    import sys
+    import types
+
+    class Page:
+        def __init__(self, text):
+            self.extract_text = lambda: text
+
+    class Reader:
+        def __init__(self, stream):
+            self.pages = [Page(t) for t in stream.read().decode().split("|")] + [Page(None)]
+
+    monkeypatch.setitem(sys.modules, "pypdf", types.SimpleNamespace(PdfReader=Reader))
+    assert files.read_pdf(b"one|two") == "one\ntwo\n\n"
+    monkeypatch.setitem(sys.modules, "pypdf", None)
+    with pytest.raises(RuntimeError, match="pypdf"):
+        files.read_pdf(b"x")
+
+
+def test_a_pdf_without_its_parser_is_an_error_row(spark, folder):
+    with open(f"{folder}/paper.pdf", "wb") as f:
+        f.write(b"%PDF-1.4 broken")
+    rows = {r["source"]: r for r in files.parse(files.scan(spark, folder)).collect()}
+    assert rows["paper.pdf"]["text"] is None and rows["paper.pdf"]["error"]
+    texts = {".pdf": lambda content: content.decode()[:4]}
+    assert {r["source"]: r["text"] for r in files.parse(files.scan(spark, folder), texts).collect()}["paper.pdf"] == "%PDF"
+
+
+def test_dataset_index_is_written(spark, tmp_path):
+    import json
+
+    docs = spark.createDataFrame([("b",), ("a",)], "source string")
+    store.write_dataset_index(store.dataset_index(docs, docs), str(tmp_path / "index.json"))
+    assert json.loads((tmp_path / "index.json").read_text()) == {"total_documents": 2, "document_list": ["a", "b"], "total_chunks": 2}
+
+
+@pytest.fixture
+def model_server():
+    import json
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from threading import Thread
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            if self.path.endswith("/embeddings"):
+                assert len(body["input"]) <= 10
+                reply = {"data": [{"index": i, "embedding": [float("leave" in t), float("button" in t), 0.1]} for i, t in reversed(list(enumerate(body["input"])))]}
+            else:
+                text = body["messages"][-1]["content"]
+                assert body["max_tokens"] == 1024 and self.headers["Authorization"] == "Bearer secret"
+                reply = {"choices": [{"message": {"content": "fifteen [来源：leave.txt]"}}]} if "leave" in text else {}
+            data = json.dumps(reply).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_address[1]}/v1"
+    server.shutdown()
+
+
+def test_remote_models(spark, folder, tmp_path, model_server):
+    options = Options(warehouse=str(tmp_path / "warehouse"), embedding_dim=3, embedding_api_base=model_server, llm_api_base=model_server, llm_api_key="secret", llm_model="m")
+    engine = Engine(spark, options)
+    engine.ingest_directory(folder)
+    got = {r["query_id"]: r for r in engine.answer(questions(spark, (1, "annual leave?", 1, True), (2, "green button?", 1, True))).collect()}
+    assert got[1]["answer"].startswith("fifteen") and got[1]["hallucination_risk"]["risk_level"] == "low" and got[1]["sources"][0]["file"] == "leave.txt"
+    assert got[2]["error"] and got[2]["hallucination_risk"] is None
