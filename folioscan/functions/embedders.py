@@ -1,4 +1,5 @@
-"""Embedders: what turns texts into unit vectors. All give key, buckets, weights (sparse, of unit length).
+"""Embedders: what turns texts into unit vectors. All give key, buckets, weights (sparse, of unit length);
+texts without a vector are left out, or have an empty one if ``empty``.
 
 ``Hashed`` needs no model and runs as column expressions; ``Precomputed`` looks vectors up in a
 table; ``Custom`` calls a model, in batches, inside Arrow batches.
@@ -21,8 +22,8 @@ from .vectors import NORM_FLOOR, doubles, hashed_vectors, normalised
 class Hashed:
     dim: int = 1024
 
-    def vectors(self, rows: DataFrame, key: str, text: str) -> DataFrame:
-        return hashed_vectors(rows, key, text, self.dim)
+    def vectors(self, rows: DataFrame, key: str, text: str, empty: bool = False) -> DataFrame:
+        return hashed_vectors(rows, key, text, self.dim, empty)
 
 
 @dataclass(frozen=True)
@@ -34,10 +35,13 @@ class Precomputed:
     key: str = "key"
     vector: str = "vector"
 
-    def vectors(self, rows: DataFrame, key: str, text: str) -> DataFrame:
+    def vectors(self, rows: DataFrame, key: str, text: str, empty: bool = False) -> DataFrame:
         unit = normalised(doubles(F.col(self.vector)))
         own = self.table.select(F.col(self.key).alias(key), F.sequence(F.lit(0), F.size(self.vector) - 1).alias("buckets"), unit.alias("weights"))
-        return rows.select(key).join(own, key)
+        if not empty:
+            return rows.select(key).join(own, key)
+        none = F.array().cast("array<int>"), F.array().cast("array<double>")
+        return rows.select(key).join(own, key, "left").select(key, F.coalesce("buckets", none[0]).alias("buckets"), F.coalesce("weights", none[1]).alias("weights"))
 
 
 @dataclass(frozen=True)
@@ -49,7 +53,7 @@ class Custom:
     batch_size: int = 10
     normalise: bool = True
 
-    def vectors(self, rows: DataFrame, key: str, text: str) -> DataFrame:
+    def vectors(self, rows: DataFrame, key: str, text: str, empty: bool = False) -> DataFrame:
         kind = dict(rows.dtypes)[key]
         encode, dim, size, normalise = self.encode, self.dim, self.batch_size, self.normalise
 

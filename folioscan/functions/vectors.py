@@ -43,19 +43,21 @@ def bucket(word: Column, dim: int) -> Column:
 
 
 def hashed_postings(rows: DataFrame, key: str, text: str, dim: int) -> DataFrame:
-    """key, bucket, tf of hashed bags of words.
+    """key, bucket, tf of hashed bags of words; a text without words has one row with a null bucket.
 
     Texts are dealt by key once; counting a key's words, hashing each different one, counting its
     buckets and listing them all stay in that task.
     """
     dealt = rows.select(key, text).repartition(key)
-    counted = dealt.select(key, F.explode(words(F.col(text))).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
+    counted = dealt.select(key, F.explode_outer(words(F.col(text))).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
     return counted.groupBy(key, bucket(F.col("word"), dim).alias("bucket")).agg(F.sum("n").alias("tf"))
 
 
-def hashed_vectors(rows: DataFrame, key: str, text: str, dim: int) -> DataFrame:
-    """key, buckets, weights: sparse vectors of unit length; texts without words have none."""
-    one = F.struct("bucket", "tf")
-    length = F.greatest(F.sqrt(F.sum(F.col("tf").cast("double") * F.col("tf"))), F.lit(NORM_FLOOR))
+def hashed_vectors(rows: DataFrame, key: str, text: str, dim: int, empty: bool = False) -> DataFrame:
+    """key, buckets, weights: sparse vectors of unit length; texts without words have none, or empty ones if ``empty``."""
+    one = F.when(F.col("bucket").isNotNull(), F.struct("bucket", "tf"))
+    square = F.when(F.col("bucket").isNotNull(), F.col("tf").cast("double") * F.col("tf"))
+    length = F.greatest(F.sqrt(F.sum(square)), F.lit(NORM_FLOOR))
     listed = hashed_postings(rows, key, text, dim).groupBy(key).agg(F.sort_array(F.collect_list(one)).alias("p"), length.alias("length"))
-    return listed.select(key, F.col("p.bucket").alias("buckets"), F.transform("p", lambda x: x["tf"] / F.col("length")).alias("weights"))
+    found = listed if empty else listed.filter(F.size("p") > 0)
+    return found.select(key, F.col("p.bucket").alias("buckets"), F.transform("p", lambda x: x["tf"] / F.col("length")).alias("weights"))
