@@ -11,17 +11,24 @@ and as the number of characters that train.
 
 Defined cases: turns are ordered by turn, then role and text; a null turn comes first, a null role
 is rendered as ``unknown`` and a null text as an empty one; repeated rows are turns of their own;
-rows with a null conv_id take no part; an empty table gives no pairs; extra columns are ignored.
+a conversation may have any number of turns, and a turn a text of any length; rows with a null conv_id
+take no part; an empty table gives no pairs; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Fixed marks of the rendered form.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 TRAINED = "assistant"
+#: Turns whose places are summed up together.
+BLOCK = 64
 
 
 def conversations_of(turns: DataFrame) -> DataFrame:
@@ -51,32 +58,66 @@ def render(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(_header(t), _body(t))), "")
 
 
-def trained_ranges(turns: Column) -> Column:
-    """array<struct<begin, end>> of the rendered turns' characters that train."""
-    sizes = F.transform(turns, lambda t: F.struct((t["role"] == TRAINED).alias("trains"), F.length(_header(t)).alias("head"), F.length(_body(t)).alias("body")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,end:int>>").alias("ranges"))
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often a lambda inside reads it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+RANGES = "array<struct<begin:int,end:int>>"
+
+
+def _block_ranges(sizes: Column) -> Column:
+    """Of a few turns: struct<at, ranges>, the characters that they take and the ranges that train."""
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(RANGES).alias("ranges"))
 
     def add(done, s):
         begin = done["at"] + s["head"]
         end = begin + s["body"]
-        own = F.when(s["trains"], F.array(F.struct(begin.alias("begin"), end.alias("end")))).otherwise(F.array().cast("array<struct<begin:int,end:int>>"))
+        own = F.when(s["trains"], F.array(F.struct(begin.alias("begin"), end.alias("end")))).otherwise(F.array().cast(RANGES))
         return F.struct(end.alias("at"), F.concat(done["ranges"], own).alias("ranges"))
 
-    return F.aggregate(sizes, empty, add, lambda done: done["ranges"])
+    return F.aggregate(sizes, empty, add)
+
+
+def trained_ranges(turns: Column) -> Column:
+    """array<struct<begin, end>> of the rendered turns' characters that train.
+
+    Turns go in blocks of ``BLOCK``, whose places are summed up apart, so that a long conversation
+    does not copy its whole list at each turn.
+    """
+    sizes = F.transform(turns, lambda t: F.struct((t["role"] == TRAINED).alias("trains"), F.length(_header(t)).alias("head"), F.length(_body(t)).alias("body")))
+
+    def blocks(sizes):
+        last = F.floor((F.size(sizes) - 1) / BLOCK).cast("int")
+        return F.when(F.size(sizes) > 0, F.transform(F.sequence(F.lit(0), last), lambda b: _block_ranges(F.slice(sizes, b * BLOCK + 1, F.lit(BLOCK)))))
+
+    def placed(done):
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(done, none, lambda s, d: F.struct((s["at"] + d["at"]).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")), lambda s: s["starts"])
+        shifted = F.zip_with(done, starts, lambda d, at: F.transform(d["ranges"], lambda r: F.struct((r["begin"] + at).alias("begin"), (r["end"] + at).alias("end"))))
+        return F.coalesce(F.flatten(shifted), F.array().cast(RANGES))
+
+    return _bound(_bound(sizes, blocks), placed)
 
 
 def format_pairs(pairs: DataFrame) -> DataFrame:
-    """The columns of ``pairs`` without chosen and rejected (arrays of turns), with prompt, completions and masks."""
-    own = [c for c in pairs.columns if c not in ("chosen", "rejected", "shared")]
-    parts = pairs.withColumn("_shared", common_prefix(F.col("chosen"), F.col("rejected")))
-    out = [*own, F.col("_shared").alias("n_shared"), render(F.slice("chosen", F.lit(1), F.col("_shared"))).alias("prompt")]
-    for side in ("chosen", "rejected"):
-        rest = F.slice(side, F.col("_shared") + 1, F.size(side))
-        ranges = trained_ranges(rest)
+    """The columns of ``pairs`` without chosen and rejected (arrays of turns), with prompt, completions and masks.
+
+    A column of ``pairs`` that is named as an output is replaced.
+    """
+    outputs = ["n_shared", "prompt", *(f"{side}_{what}" for side in ("chosen", "rejected") for what in ("completion", "mask", "trained"))]
+    own = [c for c in pairs.columns if c not in ("chosen", "rejected", *outputs)]
+    shared, *rests = fresh(pairs.columns, "shared", "chosen_rest", "rejected_rest")
+    ranges = fresh([*pairs.columns, shared, *rests], "chosen_ranges", "rejected_ranges")
+    parts = pairs.withColumn(shared, common_prefix(F.col("chosen"), F.col("rejected")))
+    parts = parts.select(*own, shared, render(F.slice("chosen", F.lit(1), F.col(shared))).alias("prompt"), *(F.slice(side, F.col(shared) + 1, F.size(side)).alias(rest) for side, rest in zip(("chosen", "rejected"), rests, strict=True)))
+    parts = parts.withColumns({name: trained_ranges(F.col(rest)) for name, rest in zip(ranges, rests, strict=True)})
+    out = [*own, F.col(shared).alias("n_shared"), "prompt"]
+    for side, rest, name in zip(("chosen", "rejected"), rests, ranges, strict=True):
         out += [
-            render(rest).alias(f"{side}_completion"),
-            F.array_join(F.transform(ranges, lambda r: F.concat_ws("-", r["begin"].cast("string"), r["end"].cast("string"))), ",").alias(f"{side}_mask"),
-            F.aggregate(ranges, F.lit(0), lambda n, r: n + r["end"] - r["begin"]).alias(f"{side}_trained"),
+            render(F.col(rest)).alias(f"{side}_completion"),
+            F.array_join(F.transform(name, lambda r: F.concat_ws("-", r["begin"].cast("string"), r["end"].cast("string"))), ",").alias(f"{side}_mask"),
+            F.aggregate(name, F.lit(0), lambda n, r: n + r["end"] - r["begin"]).alias(f"{side}_trained"),
         ]
     return parts.select(out)
 

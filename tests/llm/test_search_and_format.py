@@ -181,3 +181,27 @@ def test_preference_edge_cases(spark):
 def test_equal_replies_are_all_prompt(spark):
     rows = [(c, i, role, text) for c in (4, 5) for i, (role, text) in enumerate([("user", "q"), ("assistant", "a")])]
     assert formatted(spark, rows)[4]["n_shared"] == 2
+
+
+def test_long_conversations_and_long_turns(spark):
+    rows = [(20, i, "assistant" if i % 2 else "user", f"turn {i}") for i in range(5000)] + [(21, 0, "user", "x" * 300_000), (21, 1, "assistant", "y" * 300_000)]
+    start = time.time()
+    got = formatted(spark, rows)
+    assert time.time() - start < 20
+    row = got[20]
+    assert row["n_shared"] == 4999 and row["chosen_completion"] == "<|im_start|>assistant\nturn 4999<|im_end|>\n" and row["rejected_trained"] == 300_000 + len("<|im_end|>\n")
+
+
+def test_ranges_of_many_turns_equal_a_plain_version(spark):
+    turns = [("assistant" if i % 3 else "user", "t" * (i % 7)) for i in range(300)]
+    pairs = spark.createDataFrame([(1, "kept", turns, []), (2, "kept", [], turns[:64]), (3, "kept", turns[:65], turns)], "conv_id long, shared string, chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>")
+    for r in preference.format_pairs(pairs).collect():
+        assert r["shared"] == "kept"
+        for side, own in (("chosen", turns if r["conv_id"] == 1 else []), ("rejected", {1: [], 2: turns[:64], 3: turns[65:]}[r["conv_id"]])):
+            at, ranges = 0, []
+            for role, text in own:
+                at += len(f"<|im_start|>{role}\n")
+                end = at + len(f"{text}<|im_end|>\n")
+                ranges += [f"{at}-{end}"] if role == "assistant" else []
+                at = end
+            assert r[f"{side}_mask"] == ",".join(ranges) and len(r[f"{side}_completion"]) == at
