@@ -13,7 +13,8 @@ Scoring. Features of the restored text are its words and their first 4, 5 and 6
 a feature come from at most ``SAMPLE`` toxic and as many other labelled documents; features in
 ``LEAST_DOCUMENTS`` toxic ones or more that speak for toxicity with a z value of ``LEAST_Z`` or more
 count, however many they are. A text's score is a logistic function of the sum of its distinct
-features' log-odds, fitted on the same rows.
+features' log-odds; it is fitted on these rows, whose sums then come from the features of the other
+half of them (halves by the texts' beginnings, so that copies stay together).
 
 Defined cases: null and empty texts get the score of a text without evidence; contradicting or
 null labels take no part; without a toxic label every score is next to 0; repeated rows are scored
@@ -282,12 +283,12 @@ def _model_of(held) -> Model:
 
 
 def _documents_with(held):
-    """(feature, toxic, clean): in how many texts of either label a feature occurs."""
+    """(feature, toxic_0, toxic_1, clean_0, clean_1): in how many texts of either label and half a feature occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model_of(held)
         for batch in batches:
-            label = batch.column("label").to_numpy()
+            kind = 2 * (1 - batch.column("label").to_numpy()) + batch.column("half").to_numpy()
             for first, end, raw, offsets in slices(batch):
                 text, feature = text_features(model, raw, offsets)
                 order = np.lexsort((text, feature))
@@ -295,12 +296,22 @@ def _documents_with(held):
                 new = np.ones(len(text), bool)
                 new[1:] = (text[1:] != text[:-1]) | (feature[1:] != feature[:-1])
                 names, at = np.unique(feature[new], return_inverse=True)
-                toxic = np.bincount(at, weights=label[first:end][text[new]], minlength=len(names)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(toxic), pa.array(np.bincount(at, minlength=len(names)) - toxic)], ["feature", "toxic", "clean"])
+                counts = np.bincount(at * 4 + kind[first:end][text[new]], minlength=4 * len(names)).reshape(-1, 4)
+                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), *(pa.array(counts[:, k].copy()) for k in range(4))], ["feature", *COUNTS])
 
     return run
 
 
+COUNTS = ("toxic_0", "toxic_1", "clean_0", "clean_1")
+
+
+def _odds(toxic, clean, n_toxic: int, n_clean: int):
+    """A feature's log-odds where it speaks for toxicity, null elsewhere."""
+    a, b = toxic + 0.5, clean + 0.5
+    odds = F.log(a / (n_toxic + 1)) - F.log(b / (n_clean + 1))
+    return F.when((toxic >= LEAST_DOCUMENTS) & (odds / F.sqrt(1 / a + 1 / b) >= LEAST_Z) & (odds >= log(4)), odds)
+
+
 def _evidence(held, names: np.ndarray, weights: np.ndarray):
     """The columns of a batch but text, with the sum of the weights of each text's distinct features."""
     bits = 20
@@ -349,21 +360,28 @@ def _learned(docs: DataFrame, known: DataFrame, held, sample: int) -> tuple[np.n
     if not any(k for _, k in ids):
         return nothing
     chosen = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, label int"))  # 2 x sample ids at most
-    rows = staged(docs.join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text"), "sample")
-    size = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    counts = rows.mapInArrow(_documents_with(held), "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
-    odds = F.log(a / (size.get(1, 0) + 1)) - F.log(b / (size.get(0, 0) + 1))
-    strong = counts.filter(F.col("toxic") >= LEAST_DOCUMENTS).select("feature", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"))
-    strong = strong.filter((F.col("z") >= LEAST_Z) & (F.col("odds") >= log(4))).select("feature", "odds").toPandas()
-    names = strong["feature"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(names)
-    names, weights = names[order], strong["odds"].to_numpy(np.float64)[order]
-    told = rows.mapInArrow(_evidence(held, names, weights), "label int, evidence double").toPandas()
+    rows = docs.join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    half = F.pmod(F.xxhash64(F.substring(F.coalesce("text", F.lit("")), 1, 40)), F.lit(2)).cast("int")
+    rows = staged(rows.select("label", half.alias("half"), "text"), "sample")
+    size = {(r["label"], r["half"]): r["count"] for r in rows.groupBy("label", "half").count().collect()}
+    n = {(label, half): size.get((label, half), 0) for label in (0, 1) for half in (0, 1)}
+    counts = rows.mapInArrow(_documents_with(held), "feature long, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("feature").agg(*(F.sum(c).alias(c) for c in COUNTS))
+    toxic, clean = F.col("toxic_0") + F.col("toxic_1"), F.col("clean_0") + F.col("clean_1")
+    odds = [_odds(F.col(f"toxic_{k}"), F.col(f"clean_{k}"), n[1, k], n[0, k]) for k in (0, 1)]
+    odds.append(_odds(toxic, clean, n[1, 0] + n[1, 1], n[0, 0] + n[0, 1]))
+    strong = counts.select("feature", *(o.alias(f"odds_{k}") for k, o in enumerate(odds))).filter("odds_0 is not null or odds_1 is not null or odds_2 is not null").toPandas()
+
+    def learned(k: int) -> tuple[np.ndarray, np.ndarray]:
+        own = strong[strong[f"odds_{k}"].notna()].sort_values("feature")
+        names = own["feature"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(names)
+        return names[order], own[f"odds_{k}"].to_numpy(np.float64)[order]
+
+    told = [rows.filter(F.col("half") == 1 - k).select("label", "text").mapInArrow(_evidence(held, *learned(k)), "label int, evidence double") for k in (0, 1)]
+    told = told[0].union(told[1]).toPandas().sort_values(["label", "evidence"])
     if not told["label"].any():
         return nothing
-    told = told.sort_values(["label", "evidence"])
-    return names, weights, *_logistic(np.log1p(told["evidence"].to_numpy()), told["label"].to_numpy(np.float64))
+    return *learned(2), *_logistic(np.log1p(told["evidence"].to_numpy()), told["label"].to_numpy(np.float64))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, sample: int = SAMPLE) -> DataFrame:

@@ -1,6 +1,8 @@
 """The pipeline against a plain-Python version of its stages' decisions, on a small made-up corpus."""
 
 import importlib.util
+import pathlib
+import types
 from collections import Counter
 
 import pytest
@@ -82,3 +84,31 @@ def test_every_operator_is_registered():
     assert "pipeline" in names
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert importlib.util.find_spec("folioscan.llm")
+
+
+def test_tables_on_the_way_are_removed(spark):
+    from folioscan.llm import common
+
+    before = list(common._written)
+    out = common.finished(lambda: common.staged(common.staged(spark.range(5), "one").filter("id > 1"), "two"), "three")
+    assert out.count() == 3
+    (path,) = common._written[len(before) :]
+    assert common._written[: len(before)] == before and "three-" in path
+    folder = common.shared_dir(spark).removeprefix("file://")
+    assert not list(pathlib.Path(folder).glob("one-*")) and not list(pathlib.Path(folder).glob("two-*"))
+
+
+def test_a_cluster_has_to_name_its_shared_folder():
+    from folioscan.llm import common
+
+    session = types.SimpleNamespace(conf={}, sparkContext=types.SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
+        common.shared_dir(session)
+    session.conf = {"spark.checkpoint.dir": "hdfs://shared/"}
+    assert common.shared_dir(session) == "hdfs://shared"
+
+
+def test_new_names_are_free_in_any_case():
+    from folioscan.llm import common
+
+    assert common.fresh(["Row", "row_", "x"], "row", "y", "y") == ["row__", "y", "y_"]
