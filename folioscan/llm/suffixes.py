@@ -530,10 +530,11 @@ def deduplicate(docs: DataFrame, whole_text: bool = True) -> DataFrame:
 
     prints = cut.mapInArrow(_fingerprinted(parts), "slice long, part int, keys binary")
     shared = staged(by_part(prints).applyInArrow(_shared_prefixes, BITS), "bits")
-    # only slices that hold a hot prefix are read for their windows
-    hot = cut.join(shared.filter("n_hot > 0").select("slice").distinct(), "slice", "left_semi")
-    windows = by_slice(hot, bits=shared.drop("n_hot")).mapInArrow(_window_prints(parts), "slice long, part int, keys binary")
-    windows = staged(by_part(windows).applyInArrow(_shared_windows, BITS), "windows")
+    if shared.filter("n_hot > 0").isEmpty():  # nothing is set apart
+        windows = docs.sparkSession.createDataFrame([], BITS)
+    else:
+        apart = by_slice(cut, bits=shared.drop("n_hot")).mapInArrow(_window_prints(parts), "slice long, part int, keys binary")
+        windows = staged(by_part(apart).applyInArrow(_shared_windows, BITS), "windows")
     marked = {"bits": shared.drop("n_hot"), "windows": windows.drop("hot", "n_hot")}
     runs = by_slice(cut, **marked).mapInArrow(_runs(parts), "slice long, part int, run binary")
     answers = staged(by_part(runs).applyInArrow(_settled, "slice long, part int, answer binary"), "answers")

@@ -226,15 +226,16 @@ def top_k(rows: DataFrame, k: int = K, query_step: int = QUERY_STEP, group_bytes
         asked = vectors.filter(F.col("vec_id") % query_step == 0).select("row", "vec_id", "v", "norm")
         asked = staged(asked.mapInArrow(_needs(held, basis, dim, k), "row long, vec_id long, v array<long>, norm double, floor double, limit long, need double"), "asked")
         held.unpersist()
-        n = -(-asked.count() // max(1, group_bytes // (8 * dim)))
-        asked = staged(asked.repartitionByRange(n, "need", "row").withColumn("group", F.spark_partition_id()), "groups") if n else asked.withColumn("group", F.lit(0))
-        for r in asked.groupBy("group").agg(F.min("need").alias("need")).orderBy("group").collect():  # one row for GROUP_BYTES of queries
-            own = asked.filter(F.col("group") == r["group"]).toPandas()
+        room = max(1, group_bytes // (8 * dim))
+        ranged = asked.repartitionByRange(max(1, -(-asked.count() * 2 // room)), "need", "row")  # ranges of half a group, about
+        asked = staged(ranged.withColumn("range", F.spark_partition_id()), "ranges")
+        for first, last, need in _groups(asked, room):
+            own = asked.filter(F.col("range").between(first, last)).toPandas()
             v = np.zeros((len(own), dim), np.int64)
             for i, x in enumerate(own["v"]):
                 v[i, : len(x)] = x
             group = spark.sparkContext.broadcast((own["row"].to_numpy(), own["vec_id"].to_numpy(), v, own["floor"].to_numpy(), own["limit"].to_numpy()))
-            reached = parts.filter(F.col("longest") * (1 + SLACK) + SLACK >= F.lit(r["need"]))
+            reached = parts.filter(F.col("longest") * (1 + SLACK) + SLACK >= F.lit(need))
             found.append(staged(reached.mapInArrow(_searched(group, basis, k), "row long, query_id long, vec_id long, score long"), "found"))
             group.unpersist()
     if not found:
@@ -246,6 +247,19 @@ def top_k(rows: DataFrame, k: int = K, query_step: int = QUERY_STEP, group_bytes
     return united.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _groups(asked: DataFrame, room: int) -> list[tuple[int, int, float]]:
+    """(first range, last range, least need) of runs of ranges with about ``room`` queries; the driver holds a row for each range."""
+    out: list[list] = []
+    held = 0
+    for r in asked.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).orderBy("range").collect():
+        if out and held + r["n"] <= room:
+            out[-1][1], held = r["range"], held + r["n"]
+        else:
+            out.append([r["range"], r["range"], r["need"]])
+            held = r["n"]
+    return [tuple(x) for x in out]
+
+
 def op1_norm_sorted_topk(embeddings: DataFrame) -> DataFrame:
     return top_k(embeddings)
 
