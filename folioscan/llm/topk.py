@@ -5,8 +5,9 @@ of the whole table, whose Gram matrix is summed over all rows, so that a few lea
 carry most of a product. Candidates lie in parts of falling length; a part is read block by block.
 A block is given up when its longest vector times the query's length can't reach the query's k-th
 best score. Inside a block, the leading coordinates give a partial product, and the lengths of the
-rests bound what is missing (Cauchy-Schwarz); only candidates whose bound reaches the k-th best
-are multiplied out, in integers. The first k-th best scores come from the longest vectors.
+rests bound what is missing (Cauchy-Schwarz); where few candidates fall out, half of all coordinates
+bound them closer. Only candidates whose bound reaches the k-th best are multiplied out, in integers;
+a step in which most do is multiplied out as a matrix, in doubles that hold these integers exactly. The first k-th best scores come from the longest vectors.
 
 Search. Every query first meets one blob of the longest vectors, which gives its k-th best score so
 far, and so the length that a vector must have to be of use to it. Queries are put in the order of
@@ -43,9 +44,11 @@ GROUP_BYTES = 32 << 20
 #: Candidates in one blob, and in one step of the search.
 PART = 4096
 STEP = 512
-#: Leading coordinates of the partial product, and allowance for rounding in the bounds.
+#: Leading coordinates of the first partial product, and allowance for rounding in the bounds.
 LEAD = 16
 SLACK = 1e-6
+#: Share of a step's pairs from which on the bounds are drawn closer, and then all its pairs multiplied out.
+MANY = 0.02
 
 
 def whole_vectors(rows: DataFrame) -> DataFrame:
@@ -120,29 +123,47 @@ class Vectors:
         length = np.sqrt((turned**2).sum(axis=1))
         order = np.argsort(-length, kind="stable")
         self.rows, self.ids, self.v, self.turned, self.length = rows[order], ids[order], v[order], turned[order], length[order]
-        self.lead = min(LEAD, v.shape[1])
-        self.rest = np.sqrt((self.turned[:, self.lead :] ** 2).sum(axis=1))
+        self.exact = self.v.astype(np.float64)
+        self.leads = sorted({min(LEAD, v.shape[1]), v.shape[1] // 2} - {0})
+        self.rests = [np.sqrt((self.turned[:, lead:] ** 2).sum(axis=1)) for lead in self.leads]
+
+
+def _may_reach(q: Vectors, open_: np.ndarray, c: Vectors, own: slice, need: np.ndarray) -> np.ndarray:
+    """Which pairs' partial products and bounds of the rests reach ``need``; more coordinates where few pairs fall out."""
+    partial, done, fits = 0.0, 0, None
+    for lead, q_rest, c_rest in zip(q.leads, q.rests, c.rests, strict=True):
+        partial = partial + q.turned[open_, done:lead] @ c.turned[own, done:lead].T
+        bound = np.multiply.outer(q_rest[open_], c_rest[own])
+        bound += partial
+        fits, done = bound >= need[:, None], lead
+        if np.count_nonzero(fits) <= MANY * fits.size:
+            break
+    return fits
 
 
 def search(queries: Vectors, candidates: Vectors, best: _Best) -> None:
     """Offer ``best`` every candidate that may be among the k best of a query."""
     q, c = queries, candidates
     for block in range(0, len(q.ids), QUERY_BLOCK):
-        own = np.arange(block, min(len(q.ids), block + QUERY_BLOCK))
+        asked = np.arange(block, min(len(q.ids), block + QUERY_BLOCK))
         for at in range(0, len(c.ids), STEP):
-            end = min(len(c.ids), at + STEP)
-            reach = q.length[own] * c.length[at]
-            open_ = own[reach + SLACK * (1 + reach) >= best.floor[own]]
+            own = slice(at, min(len(c.ids), at + STEP))
+            reach = q.length[asked] * c.length[at]
+            open_ = asked[reach + SLACK * (1 + reach) >= best.floor[asked]]
             if not len(open_):
                 break
-            slack = SLACK * (1 + q.length[open_] * c.length[at])
-            bound = q.turned[open_, : q.lead] @ c.turned[at:end, : q.lead].T + q.rest[open_, None] * c.rest[None, at:end] + slack[:, None]
-            row, col = np.nonzero((bound >= best.floor[open_][:, None]) & (q.rows[open_][:, None] != c.rows[None, at:end]))
-            if not len(row):
-                continue
-            score, ids = np.einsum("ij,ij->i", q.v[open_[row]], c.v[at + col]), c.ids[at + col]
-            floor = best.floor[open_[row]]
+            reach = q.length[open_] * c.length[at]
+            fits = _may_reach(q, open_, c, own, best.floor[open_] - SLACK * (1 + reach))
+            if np.count_nonzero(fits) > MANY * fits.size and reach.max() < 1 << 52:
+                whole = q.exact[open_] @ c.exact[own].T  # integers that doubles hold
+                row, col = np.nonzero(fits & (whole >= best.floor[open_][:, None]))
+                score = whole[row, col].astype(np.int64)
+            else:
+                row, col = np.nonzero(fits)
+                score = np.einsum("ij,ij->i", q.v[open_[row]], c.v[at + col])
+            ids, floor = c.ids[at + col], best.floor[open_[row]]
             good = (score > floor) | ((score == floor) & (ids <= best.limit[open_[row]]))  # rows that share an id and a score are told apart by none
+            good &= q.rows[open_[row]] != c.rows[at + col]
             row, score, ids = row[good], score[good], ids[good]
             edge = np.searchsorted(row, np.arange(len(open_) + 1))
             for i in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
