@@ -125,7 +125,7 @@ def test_decontamination_keeps_columns_of_any_name(spark, part_bytes):
 
 def test_a_long_text_of_hits_takes_linear_time(spark):
     item = " ".join(f"w{i}" for i in range(24))
-    docs = spark.createDataFrame([(1, (item + " ") * 8000)], "doc_id long, text string")  # 740 kB
+    docs = spark.createDataFrame([(1, (item + " ") * 8000)], "doc_id long, text string")  # 688 kB
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     start = time.time()
     row = decontaminate.op10_wu_manber(docs, bench).first()
